@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"          # base money / quantity columns
-COST = "decimal(20,6)"           # unit cost taken from a double or a JSON number
+COST = "decimal(18,6)"           # unit cost taken from a double or a JSON number
 TOTAL = "decimal(38,2)"          # summed money
 TOTAL_COST = "decimal(38,8)"     # summed quantity x cost
 OUT_DIGITS = 6                   # double outputs are rounded to this many places
