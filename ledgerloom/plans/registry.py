@@ -21,3 +21,88 @@ def _category_sales(T):
 def _sales_contribution(T):
     """The report."""
     return sc.sales_contribution(T)
+
+
+# ---- B: Gross Profit --------------------------------------------------------
+from . import gross_profit as gp  # noqa: E402
+from ..functions.dates import effective_order_date  # noqa: E402
+from ..functions.money import out  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+@query("effective_date")
+def _effective_date(T):
+    """B1: custom order date when set, else the order date (all orders)."""
+    so = T["sale_order"]
+    return so.select(F.col("id").alias("order_id"), effective_order_date(so).alias("order_date"))
+
+
+@query("valid_orders")
+def _valid_orders(T):
+    """B2: confirmed or done orders with their effective date."""
+    from .common import valid_orders
+    return valid_orders(T)
+
+
+@query("category_dim")
+def _category_dim(T):
+    """Category dimension plus the unkeyed 'Uncategorized' member."""
+    return gp.category_dim(T)
+
+
+@query("daily_category_sales")
+def _daily_category_sales(T):
+    """Daily qty/amount per category."""
+    d = gp.daily_category_sales(T)
+    return d.select("category_items", "categ_id", "so_date", "so_month",
+                    out("qty").alias("qty"), out("amount").alias("amount"))
+
+
+@query("monthly_margin")
+def _monthly_margin(T):
+    """Monthly invoiced margin ratio per category."""
+    m = gp.monthly_margin(T)
+    return m.select("category_items", "categ_id", "inv_month",
+                    F.round("gp_percent_accounting", 6).alias("gp_percent_accounting"))
+
+
+@query("order_dates")
+def _order_dates(T):
+    """Distinct valid order dates."""
+    return gp.order_dates(T)
+
+
+@query("category_date_spine")
+def _category_date_spine(T):
+    """Dense category x date grid."""
+    return gp.category_date_spine(T)
+
+
+@query("spine_fill")
+def _spine_fill(T):
+    """Grid filled with daily sales (0 when none)."""
+    g = gp.spine_fill(gp.category_date_spine(T), gp.daily_category_sales(T).drop("so_month"))
+    return g.select("category_items", "categ_id", "so_date", "so_month",
+                    out("qty").alias("qty"), out("amount").alias("amount"))
+
+
+@query("prev_month_margin")
+def _prev_month_margin(T):
+    """Previous calendar month's margin for every grid row."""
+    g = gp.margin_lookup(gp.category_date_spine(T), gp.monthly_margin(T), 1, "gp_percent")
+    return g.select("category_items", "categ_id", "so_date", "so_month",
+                    F.round("gp_percent", 6).alias("gp_percent"))
+
+
+@query("curr_month_margin")
+def _curr_month_margin(T):
+    """Same month's margin for every grid row."""
+    g = gp.margin_lookup(gp.category_date_spine(T), gp.monthly_margin(T), 0, "gp_percent_current_month")
+    return g.select("category_items", "categ_id", "so_date", "so_month",
+                    F.round("gp_percent_current_month", 6).alias("gp_percent_current_month"))
+
+
+@query("gross_profit")
+def _gross_profit(T):
+    """The report."""
+    return gp.gross_profit(T)
