@@ -106,3 +106,83 @@ def _curr_month_margin(T):
 def _gross_profit(T):
     """The report."""
     return gp.gross_profit(T)
+
+
+# ---- C: Order to cash ---------------------------------------------------------
+from . import order_to_cash as o2c  # noqa: E402
+from .common import product_names  # noqa: E402
+from ..functions.text import first_nonblank, localized, strip_html  # noqa: E402
+
+TEXT_COLS = ["line_id", "picking_id", "move_product_id", "bundle_line_id", "product_code",
+             "product_name", "bundle_name", "customer", "company_name", "receiver",
+             "delivery_address", "incoterm", "shipping_note", "branch_delivery"]
+
+
+@query("localized_names")
+def _localized_names(T):
+    """Localized product and incoterm names."""
+    prod = product_names(T).select(F.lit("product").alias("kind"), F.col("tmpl_id").alias("ref_id"),
+                                   F.col("product_name").alias("name"))
+    inc = T["account_incoterms"].select(F.lit("incoterm").alias("kind"), F.col("id").alias("ref_id"),
+                                        first_nonblank(localized("name")).alias("name"))
+    return prod.unionByName(inc)
+
+
+@query("first_payment")
+def _first_payment(T):
+    """Earliest posted payment per invoice (edge-union rewrite of the OR-joins)."""
+    return o2c.first_payment(T)
+
+
+@query("receivable_lines")
+def _receivable_lines(T):
+    """Semi-join of journal lines on receivable accounts."""
+    return o2c.receivable_lines(T).select("id", "move_id", "account_id")
+
+
+@query("deliveries")
+def _deliveries(T):
+    """C4: delivered quantity per line, picking, product and bundle line."""
+    d = o2c.deliveries(T)
+    return d.select("so_line_id", "picking_id", "picking_partner_id", "delivery_number", "delivery_date",
+                    "delivery_status", "shipping_note", "branch_name", "move_product_id",
+                    "move_product_code", "move_product_name", "line_type",
+                    out("total_delivered_qty").alias("total_delivered_qty"), "bundle_line_id")
+
+
+@query("line_type")
+def _line_type(T):
+    """Bundle / Standard per stock move."""
+    sm = T["stock_move"]
+    return sm.select(F.col("id").alias("move_id"), o2c.line_type(sm).alias("line_type"))
+
+
+@query("shipping_note")
+def _shipping_note(T):
+    """Picking note with HTML tags stripped."""
+    return T["stock_picking"].select(F.col("id").alias("picking_id"), strip_html("note").alias("shipping_note"))
+
+
+@query("line_invoices")
+def _line_invoices(T):
+    """Distinct posted customer invoices per order line."""
+    return o2c.line_invoices(T)
+
+
+@query("text_fallbacks")
+def _text_fallbacks(T):
+    """Fallback text chains at the delivery grain (no invoice fan-out)."""
+    return o2c.order_to_cash(T, keep_keys=True, with_invoices=False).select(*TEXT_COLS)
+
+
+@query("row_id")
+def _row_id(T):
+    """Dense ordered row id over the order-to-cash rows (two-pass, parallel)."""
+    r = o2c.order_to_cash(T, with_id=True, keep_keys=True)
+    return r.select("id", "line_id", "picking_id", "move_product_id", "bundle_line_id", "invoice_id")
+
+
+@query("order_to_cash")
+def _order_to_cash(T):
+    """C11: the report."""
+    return o2c.order_to_cash(T)
