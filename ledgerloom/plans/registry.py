@@ -186,3 +186,133 @@ def _row_id(T):
 def _order_to_cash(T):
     """C11: the report."""
     return o2c.order_to_cash(T)
+
+
+# ---- E: filters, groups, footers, pivots, charts --------------------------------
+from ..catalog import DATE_FROM, DATE_TO, TODAY, AS_OF  # noqa: E402
+from ..functions.dates import preset_bounds  # noqa: E402
+from ..operators import filters as flt  # noqa: E402
+from ..operators import grouping as grp  # noqa: E402
+import datetime as _dt  # noqa: E402
+
+GP_MEASURES = ["qty", "amount", "gp_percent", "total_gross_profit", "gp_percent_current_month"]
+O2C_MEASURES = ["qty", "price_unit", "subtotal", "tax_amount", "total_amount", "delivered_qty"]
+SC_MEASURES = ["sales_amount", "cogs", "gross_profit", "margin_percent", "sales_contribution_percent"]
+
+REPORTS = {"gp": gp.gross_profit, "o2c": o2c.order_to_cash, "sc": sc.sales_contribution}
+
+
+def _preset_report(report: str, name: str):
+    """Date preset turned into report bounds, so the window is applied to the
+    orders before the joins (same rows as filtering the finished report)."""
+    lo, hi, inclusive = preset_bounds(name, TODAY)
+    if hi is not None and not inclusive:
+        hi = hi - _dt.timedelta(days=1)
+    return lambda T: REPORTS[report](T, date_from=lo, date_to=hi)
+
+
+@query("date_range")
+def _date_range(T):
+    """Inclusive so_date window on Gross Profit (pushed below the joins)."""
+    return gp.gross_profit(T, date_from=DATE_FROM, date_to=DATE_TO)
+
+
+for _name, _rep in (("today", "gp"), ("this_week", "sc"), ("this_month", "o2c"),
+                    ("last_month", "gp"), ("this_year", "sc")):
+    query(f"preset_{_name}")(_preset_report(_rep, _name))
+
+for _name in ("paid", "not_paid", "delivered", "not_delivered", "invoiced"):
+    query(f"preset_{_name}")(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
+
+for _key, _name in (("preset_bundle", "bundle"), ("preset_standard", "standard")):
+    query(_key)(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
+
+
+@query("text_search")
+def _text_search(T):
+    """E5: case-insensitive contains on the order-to-cash product name."""
+    return flt.search(o2c.order_to_cash(T), "product_name", "RED")
+
+
+for _key, _rep, _by, _grain, _ms in (
+        ("group_gp_month", "gp", "so_month", "day", GP_MEASURES),
+        ("group_gp_category", "gp", "category_items", "day", GP_MEASURES),
+        ("group_o2c_customer", "o2c", "customer", "day", O2C_MEASURES),
+        ("group_o2c_salesperson", "o2c", "salesperson", "day", O2C_MEASURES),
+        ("group_o2c_company", "o2c", "company_name", "day", O2C_MEASURES),
+        ("group_o2c_branch", "o2c", "branch_delivery", "day", O2C_MEASURES),
+        ("group_o2c_month", "o2c", "po_date", "month", O2C_MEASURES),
+        ("group_o2c_year", "o2c", "po_date", "year", O2C_MEASURES),
+        ("group_sc_month", "sc", "so_month", "day", SC_MEASURES),
+        ("group_sc_category", "sc", "category", "day", SC_MEASURES)):
+    query(_key)(lambda T, _r=_rep, _b=_by, _g=_grain, _m=_ms:
+                grp.group_report(REPORTS[_r](T), _b, _m, _g))
+
+query("footer_gp")(lambda T: grp.footer(gp.gross_profit(T), ["qty", "amount", "total_gross_profit"]))
+query("footer_o2c")(lambda T: grp.footer(o2c.order_to_cash(T), ["subtotal", "tax_amount", "total_amount"]))
+query("footer_sc")(lambda T: grp.footer(sc.sales_contribution(T), ["sales_amount", "cogs", "gross_profit"]))
+
+
+@query("pivot_gp")
+def _pivot_gp(T):
+    """Category x month cube of qty, amount, GP% and total GP."""
+    return grp.pivot_long(gp.gross_profit(T), F.col("category_items"),
+                          grp.group_key("so_date", "month"),
+                          ["qty", "amount", "gp_percent", "total_gross_profit"])
+
+
+@query("pivot_o2c")
+def _pivot_o2c(T):
+    """Customer x month cube of subtotal and qty."""
+    return grp.pivot_long(o2c.order_to_cash(T), F.col("customer"), grp.group_key("po_date", "month"),
+                          ["subtotal", "qty"])
+
+
+@query("pivot_sc")
+def _pivot_sc(T):
+    """Category rows with a total row."""
+    return grp.pivot_rows(sc.sales_contribution(T), F.col("category"),
+                          ["sales_amount", "cogs", "gross_profit", "margin_percent"])
+
+
+query("chart_gp_bar")(lambda T: grp.chart_data(gp.gross_profit(T), F.col("category_items"), "total_gross_profit"))
+query("chart_o2c_line")(lambda T: grp.chart_data(o2c.order_to_cash(T), grp.group_key("po_date", "month"),
+                                                 "subtotal"))
+query("chart_sc_pie")(lambda T: grp.chart_data(sc.sales_contribution(T), F.col("category"), "sales_amount"))
+
+
+# ---- F: export tables ------------------------------------------------------------
+from . import exports as ex  # noqa: E402
+from ..functions.labels import (delivery_status_label, invoice_status_label,  # noqa: E402
+                                payment_state_label)
+
+query("export_gp_mtd")(lambda T: ex.gross_profit_mtd(T, AS_OF))
+query("export_gp_total")(lambda T: ex.gross_profit_total(T, AS_OF))
+query("sales_run_rate")(lambda T: ex.sales_run_rate(T, AS_OF))
+query("export_o2c")(lambda T: ex.order_to_cash_export(T, DATE_FROM, DATE_TO))
+query("export_sc")(lambda T: ex.sales_contribution_export(T, DATE_FROM, DATE_TO))
+query("export_sc_total")(lambda T: ex.sales_contribution_total(T, DATE_FROM, DATE_TO))
+
+
+@query("map_delivery_status")
+def _map_delivery_status(T):
+    """delivery labels over every picking state."""
+    return T["stock_picking"].select(F.col("id").alias("picking_id"), F.col("state"),
+                                     delivery_status_label("state").alias("label"))
+
+
+@query("map_invoice_status")
+def _map_invoice_status(T):
+    """F8: invoice labels over the orders' invoice_status (as the export feeds it)."""
+    return T["sale_order"].select(F.col("id").alias("order_id"), F.col("invoice_status"),
+                                  invoice_status_label("invoice_status").alias("label"))
+
+
+@query("map_payment_state")
+def _map_payment_state(T):
+    """payment labels over every move's first-payment states (draft and posted)."""
+    fp = o2c.first_payment(T, states=("draft", "posted"))
+    mv = T["account_move"].select(F.col("id").alias("invoice_id"))
+    x = mv.join(fp, "invoice_id", "left")
+    st = F.coalesce(F.col("payment_states"), F.lit(""))
+    return x.select("invoice_id", st.alias("payment_state"), payment_state_label(st).alias("label"))
