@@ -21,4 +21,5 @@ def json_first_value(c: Column | str) -> Column:
 
 
 def json_value(c: Column | str, key: str) -> Column:
-    return F.get_json_object(as_col(c), f'$["{key}"]')
+    """Value of ``key`` in a JSON object (any key text, including digits)."""
+    return F.from_json(as_col(c), "map<string,string>")[key]

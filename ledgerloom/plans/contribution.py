@@ -45,13 +45,20 @@ def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
         (F.col("sales") - F.col("cogs_exact")).alias("gp_exact"))
 
 
+def with_daily_totals(cs: DataFrame) -> DataFrame:
+    """Attach the day's total sales to every category row.  A window over
+    the (category, day) aggregate -- at most one row per category per day --
+    replaces the reference's second aggregation joined back; the inner join
+    it replaces drops NULL dates, so they are dropped here too."""
+    return (cs.where(F.col("so_date").isNotNull())
+            .withColumn("day_total", F.sum("sales").over(Window.partitionBy("so_date"))))
+
+
 def sales_contribution(T: Tables, date_from=None, date_to=None, with_id: bool = False) -> DataFrame:
     """The report.  Row order (so_date desc, sales desc) is applied only
     at the sink; ``with_id`` numbers rows in that order with tie-breakers."""
-    cs = category_sales(T, date_from, date_to)
-    # The inner join to the per-day total drops NULL dates
-    cs = cs.where(F.col("so_date").isNotNull())
-    day_total = F.sum("sales").over(Window.partitionBy("so_date"))
+    cs = with_daily_totals(category_sales(T, date_from, date_to))
+    day_total = F.col("day_total")
     rep = cs.select(
         "category", "categ_id", "so_date", "so_month",
         out("sales").alias("sales_amount"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..catalog import query
+from ..functions.money import out
 from . import contribution as sc
 
 
@@ -10,13 +13,37 @@ from . import contribution as sc
 @query("category_sales")
 def _category_sales(T):
     """Per-category daily sums (exact decimals shown as doubles)."""
-    from ..functions.money import out
     cs = sc.category_sales(T)
     return cs.select("category", "categ_id", "so_date", "so_month",
                      out("sales").alias("sales_amount"), out("cogs_exact").alias("cogs"),
                      out("gp_exact").alias("gross_profit"))
 
 
+@query("daily_totals")
+def _daily_totals(T):
+    """Each category-day with its day's total sales (window over the aggregate)."""
+    cs = sc.with_daily_totals(sc.category_sales(T))
+    return cs.select("category", "categ_id", "so_date", out("day_total").alias("daily_total"))
+
+
+@query("margin_ratio")
+def _margin_ratio(T):
+    """D3: guarded margin ratio per category-day."""
+    from ..functions.money import safe_ratio
+    cs = sc.category_sales(T)
+    return cs.select("category", "categ_id", "so_date",
+                     F.round(safe_ratio("gp_exact", "sales"), 6).alias("margin_percent"))
+
+
+@query("contribution_share")
+def _contribution_share(T):
+    """Guarded share of the day's sales per category-day."""
+    from ..functions.money import safe_ratio
+    cs = sc.with_daily_totals(sc.category_sales(T))
+    return cs.select("category", "categ_id", "so_date",
+                     F.round(safe_ratio("sales", "day_total"), 6).alias("sales_contribution_percent"))
+
+
 @query("sales_contribution")
 def _sales_contribution(T):
     """The report."""
@@ -316,3 +343,94 @@ def _map_payment_state(T):
     x = mv.join(fp, "invoice_id", "left")
     st = F.coalesce(F.col("payment_states"), F.lit(""))
     return x.select("invoice_id", st.alias("payment_state"), payment_state_label(st).alias("label"))
+
+
+# ---- G: line enrichments -------------------------------------------------------------
+from . import enrich as en  # noqa: E402
+
+COST_COMPANY = "2"  # company whose cost is snapshotted (a fixed parameter)
+
+
+@query("cost_snapshot")
+def _cost_snapshot(T):
+    """G1: product standard price per line for one company, 0.0 when missing."""
+    return en.cost_snapshot(T["sale_order_line"], T["product_product"], COST_COMPANY)
+
+
+@query("bundle_display")
+def _bundle_display(T):
+    """Bundle components text per line."""
+    return en.bundle_display(T["sale_order_line"], T["sale_order_line_bundle"], T["product_product"],
+                             T["product_template"])
+
+
+@query("component_label")
+def _component_label(T):
+    """Display label of every bundle component."""
+    return en.component_label(T["sale_order_line_bundle"], T["product_product"], T["product_template"],
+                              T["uom_uom"])
+
+
+# ---- A: scans, optional columns, views, sink, record reads ---------------------------
+from ..sources.tables import table_counts  # noqa: E402
+from ..sources.sinks import read_report, shared_output_dir, write_report  # noqa: E402
+from ..operators.records import read_records  # noqa: E402
+from .views import register_reports  # noqa: E402
+
+
+@query("scan_tables")
+def _scan_tables(T):
+    """A1: row count of every base table."""
+    return table_counts(T)
+
+
+@query("optional_columns")
+def _optional_columns(T):
+    """A2: effective order date with and without the optional custom-date column,
+    and the line type with and without the optional bundle column."""
+    so = T["sale_order"]
+    plain = so.drop("x_studio_date")
+    return so.select(F.col("id").alias("order_id"),
+                     effective_order_date(so).alias("date_with_custom"),
+                     effective_order_date(plain).alias("date_without_custom"))
+
+
+@query("report_views")
+def _report_views(T):
+    """A3: the three reports registered as views and queried through SQL."""
+    spark = T["sale_order"].sparkSession
+    v = register_reports(spark, T)
+    return spark.sql(
+        f"SELECT 'gross_profit' AS report, COUNT(*) AS row_count, "
+        f"CAST(SUM(CAST(amount AS DECIMAL(38,6))) AS DOUBLE) AS total FROM {v['gross_profit']} "
+        f"UNION ALL SELECT 'order_to_cash', COUNT(*), "
+        f"CAST(SUM(CAST(subtotal AS DECIMAL(38,6))) AS DOUBLE) FROM {v['order_to_cash']} "
+        f"UNION ALL SELECT 'sales_contribution', COUNT(*), "
+        f"CAST(SUM(CAST(sales_amount AS DECIMAL(38,6))) AS DOUBLE) FROM {v['sales_contribution']}")
+
+
+@query("sink_roundtrip")
+def _sink_roundtrip(T):
+    """A4: Sales Contribution written as parquet partitioned by month (in report
+    order) to the shared folder, then read back."""
+    spark = T["sale_order"].sparkSession
+    path = shared_output_dir(spark)
+    write_report(sc.sales_contribution(T), path, "parquet", partition_by=["so_month"],
+                 order=sc.report_order())
+    return read_report(spark, path, "parquet").select(*sc.COLUMNS)
+
+
+@query("read_records")
+def _read_records(T):
+    """A5: every Sales Contribution id plus two ids past the end, newest first,
+    with the category reference resolved to (id, display_name)."""
+    spark = T["sale_order"].sparkSession
+    rep = sc.sales_contribution(T, with_id=True)
+    n = rep.count()
+    ids = spark.range(1, n + 3).select(F.col("id"), (F.lit(n + 3) - F.col("id")).alias("pos"))
+    cats = T["product_category"]
+    r = read_records(rep, ids, ["category", "so_date", "sales_amount", "categ_id"],
+                     {"categ_id": (cats, "name")})
+    return r.select("pos", "id", "category", "so_date", "sales_amount",
+                    F.col("categ_id.id").alias("categ_ref_id"),
+                    F.col("categ_id.display_name").alias("categ_ref_name"))
