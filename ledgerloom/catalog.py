@@ -14,6 +14,8 @@ from .sources.fixtures import derive
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
+# the same queries over an already loaded table set: key -> f(tables) -> DataFrame
+TABLE_QUERIES: dict[str, Callable[[dict], DataFrame]] = {}
 
 # Fixed parameters of the registered queries: a "today" and a date window
 # inside the data range (orders run from 1995-01-01 to 2001-08-01).
@@ -30,6 +32,7 @@ def query(key: str):
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
+        TABLE_QUERIES[key] = fn
         return fn
     return deco
 
@@ -37,3 +40,8 @@ def query(key: str):
 def load_all() -> dict[str, QueryFn]:
     from .plans import registry  # noqa: F401  (registers on import)
     return dict(QUERIES)
+
+
+def load_table_queries() -> dict[str, Callable[[dict], DataFrame]]:
+    from .plans import registry  # noqa: F401  (registers on import)
+    return dict(TABLE_QUERIES)

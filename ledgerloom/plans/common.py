@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import effective_order_date
 from ..functions.text import first_nonblank, localized
 from ..operators.filters import date_range
-from ..operators.joins import bounded_broadcast
 
 Tables = dict[str, DataFrame]
 
@@ -36,11 +35,13 @@ def valid_orders(T: Tables, date_from: dt.date | str | None = None,
 
 def product_categories(T: Tables) -> DataFrame:
     """product id -> (category id, raw category name); NULLs when the product has
-    no template/category.  Categories are a bounded dimension: broadcast when small."""
+    no template/category.  Join strategy is left to the planner: a side is
+    broadcast only when its estimated (or, under AQE, measured) size is under
+    the broadcast threshold, otherwise the join stays a sort-merge join."""
     pp = T["product_product"].select(F.col("id").alias("product_id"), "product_tmpl_id")
     pt = T["product_template"].select(F.col("id").alias("product_tmpl_id"), "categ_id")
-    pc = bounded_broadcast(T["product_category"].select(
-        F.col("id").alias("categ_id"), F.col("id").alias("pc_id"), F.col("name").alias("categ_name")))
+    pc = T["product_category"].select(
+        F.col("id").alias("categ_id"), F.col("id").alias("pc_id"), F.col("name").alias("categ_name"))
     # pc_id is NULL when the template has no category or points at a missing one
     return (pp.join(pt, "product_tmpl_id", "left")
             .join(pc, "categ_id", "left")

@@ -31,11 +31,14 @@ def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
         "order_id", "product_id", "price_subtotal",
         (F.col("product_uom_qty") * F.coalesce(F.col("purchase_price"), F.lit(0.0)).cast(COST))
         .alias("line_cogs"))
-    joined = (lines.join(orders, "order_id")
-              .join(product_categories(T), "product_id", "left"))
-    agg = joined.groupBy("pc_id", "categ_name", "so_date").agg(
-        F.sum("price_subtotal").cast(TOTAL).alias("sales"),
-        F.sum("line_cogs").cast(TOTAL_COST).alias("cogs_exact"))
+    # sum per (product, day) first (map-side combined), then look up categories
+    per_product = (lines.join(orders, "order_id")
+                   .groupBy("product_id", "so_date")
+                   .agg(F.sum("price_subtotal").alias("sales"), F.sum("line_cogs").alias("cogs")))
+    agg = (per_product.join(product_categories(T), "product_id", "left")
+           .groupBy("pc_id", "categ_name", "so_date")
+           .agg(F.sum("sales").cast(TOTAL).alias("sales"),
+                F.sum("cogs").cast(TOTAL_COST).alias("cogs_exact")))
     return agg.select(
         category_label("categ_name").alias("category"),
         F.coalesce(F.col("pc_id"), F.lit(0)).cast("long").alias("categ_id"),

@@ -51,32 +51,36 @@ def category_dim(T: Tables) -> DataFrame:
 
 def daily_category_sales(T: Tables, date_from=None, date_to=None,
                          custom_date: bool = True) -> DataFrame:
-    """Qty and amount per (category, order date); section/note lines removed."""
+    """Qty and amount per (category, order date); section/note lines removed.
+
+    Lines are first summed per (product, day) -- map-side combined, so the
+    product -> category lookup runs on that much smaller table instead of
+    shuffling every line by product."""
     orders = valid_orders(T, date_from, date_to, custom_date=custom_date, date_col="so_date")
     dt_ = F.col("display_type")
     lines = (T["sale_order_line"].where(dt_.isNull() | (dt_ == ""))
              .select("order_id", "product_id", "product_uom_qty", "price_subtotal"))
-    joined = lines.join(orders, "order_id").join(product_categories(T), "product_id", "left")
-    agg = joined.groupBy("pc_id", "categ_name", "so_date").agg(
-        F.sum("product_uom_qty").cast(TOTAL).alias("qty"),
-        F.sum("price_subtotal").cast(TOTAL).alias("amount"))
+    per_product = (lines.join(orders, "order_id")
+                   .groupBy("product_id", "so_date")
+                   .agg(F.sum("product_uom_qty").alias("qty"), F.sum("price_subtotal").alias("amount")))
+    agg = (per_product.join(product_categories(T), "product_id", "left")
+           .groupBy("pc_id", "categ_name", "so_date")
+           .agg(F.sum("qty").cast(TOTAL).alias("qty"), F.sum("amount").cast(TOTAL).alias("amount")))
     return agg.select(category_label("categ_name").alias("category_items"),
                       F.col("pc_id").alias("categ_id"), "so_date",
                       month_start("so_date").alias("so_month"), "qty", "amount")
 
 
-def invoice_line_cost() -> F.Column:
-    """Unit cost of an invoiced order line: non-zero line cost, else the first
-    value of the product's JSON cost map (jsonb key order), else 0."""
-    return F.coalesce(F.nullif(F.col("purchase_price"), F.lit(0.0)).cast(COST),
-                      json_first_value("standard_price").cast(COST),
-                      F.lit(0).cast(COST))
-
-
 def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
     """Margin ratio per (category, invoice month) from posted customer
     invoices; 0 when revenue is not positive.  ``month_from``/``month_to``
-    (first days of months) restrict the invoices read."""
+    (first days of months) restrict the invoices read.
+
+    Unit cost = non-zero line cost, else the first value of the product's JSON
+    cost map (jsonb key order), else 0.  As the fallback price belongs to the
+    product, the cost sum splits exactly into sum(qty x line cost) over lines
+    with a cost plus price x sum(qty) over the others, so invoice lines are
+    summed per (product, month) before the product/category lookup."""
     am = T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
     if month_from is not None:
         am = am.where(F.col("invoice_date") >= F.lit(_d(month_from)))
@@ -87,15 +91,23 @@ def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
                                         "quantity", "price_subtotal")
     rel = T["sale_order_line_invoice_rel"].select("invoice_line_id", "order_line_id")
     sol = T["sale_order_line"].select(F.col("id").alias("order_line_id"), "product_id", "purchase_price")
-    prices = T["product_product"].select(F.col("id").alias("product_id"), "standard_price")
-    x = (aml.join(am, "move_id")
-         .join(rel, "invoice_line_id")
-         .join(sol, "order_line_id")
-         .join(prices, "product_id", "left")
+    line_cost = F.nullif(F.col("purchase_price"), F.lit(0.0)).cast(COST)
+    per_product = (aml.join(am, "move_id")
+                   .join(rel, "invoice_line_id")
+                   .join(sol, "order_line_id")
+                   .groupBy("product_id", "inv_month")
+                   .agg(F.sum("price_subtotal").alias("revenue"),
+                        F.sum(F.col("quantity") * line_cost).alias("costed"),
+                        F.sum(F.when(line_cost.isNull(), F.col("quantity"))).alias("uncosted_qty")))
+    prices = T["product_product"].select(F.col("id").alias("product_id"),
+                                         json_first_value("standard_price").cast(COST).alias("price"))
+    cost = (F.coalesce(F.col("costed"), F.lit(0))
+            + F.coalesce(F.col("uncosted_qty") * F.col("price"), F.lit(0)))
+    x = (per_product.join(prices, "product_id", "left")
          .join(product_categories(T), "product_id", "left"))
     agg = x.groupBy("pc_id", "categ_name", "inv_month").agg(
-        F.sum("price_subtotal").cast(TOTAL).alias("revenue"),
-        F.sum(F.col("quantity") * invoice_line_cost()).cast(TOTAL_COST).alias("cost"))
+        F.sum("revenue").cast(TOTAL).alias("revenue"),
+        F.sum(cost).cast(TOTAL_COST).alias("cost"))
     return agg.select(
         category_label("categ_name").alias("category_items"),
         F.col("pc_id").alias("categ_id"), "inv_month",

@@ -26,7 +26,7 @@ from ..functions.dates import effective_order_date
 from ..functions.money import MONEY, TOTAL, out
 from ..functions.text import first_nonblank, localized, strip_html
 from ..operators.filters import date_range
-from ..operators.joins import bounded_broadcast, symmetric_edges
+from ..operators.joins import symmetric_edges
 from ..operators.row_id import dense_row_id
 from .common import CUSTOMER_INVOICE, POSTED, RECEIVABLE, VALID_ORDER_STATES, Tables, product_names
 
@@ -49,8 +49,8 @@ HIDDEN_KEYS = ["line_id", "move_product_id", "bundle_line_id"]
 # ---- C2 / C3: first payment per invoice -------------------------------------
 def receivable_lines(T: Tables) -> DataFrame:
     """Journal lines on receivable accounts (semi-join on the account type)."""
-    acc = bounded_broadcast(T["account_account"].where(F.col("account_type") == RECEIVABLE)
-                            .select(F.col("id").alias("account_id")))
+    acc = (T["account_account"].where(F.col("account_type") == RECEIVABLE)
+           .select(F.col("id").alias("account_id")))
     return T["account_move_line"].join(acc, "account_id", "left_semi")
 
 
@@ -107,10 +107,9 @@ def deliveries(T: Tables, check_lines: bool = True) -> DataFrame:
     keyed = (moves.join(per_move, "move_id")
              .groupBy("so_line_id", "picking_id", "move_product_id", "bundle_line_id", "line_type")
              .agg(F.sum("qty").cast(TOTAL).alias("total_delivered_qty")))
-    spt = bounded_broadcast(T["stock_picking_type"].where(F.col("code") == OUTGOING)
-                            .select(F.col("id").alias("picking_type_id"), "warehouse_id"))
-    wh = bounded_broadcast(T["stock_warehouse"].select(F.col("id").alias("warehouse_id"),
-                                                       F.col("name").alias("branch_name")))
+    spt = (T["stock_picking_type"].where(F.col("code") == OUTGOING)
+           .select(F.col("id").alias("picking_type_id"), "warehouse_id"))
+    wh = T["stock_warehouse"].select(F.col("id").alias("warehouse_id"), F.col("name").alias("branch_name"))
     picks = (T["stock_picking"].where(F.col("state") == DONE)
              .join(spt, "picking_type_id")
              .join(wh, "warehouse_id", "left")
@@ -145,18 +144,15 @@ def line_invoices(T: Tables) -> DataFrame:
 
 
 # ---- C8 / C9 / C11: the lifecycle join -----------------------------------------
-def _partner(T: Tables, prefix: str) -> DataFrame:
+def _partner(T: Tables, prefix: str, cols: tuple[str, ...] = ("name",)) -> DataFrame:
     rp = T["res_partner"]
-    return rp.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rp.columns])
+    return rp.select(F.col("id").alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
 
-def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False,
-                  keep_keys: bool = False, payment_states: tuple[str, ...] = (POSTED,),
-                  with_invoices: bool = True) -> DataFrame:
-    """C11: the report; ``[date_from, date_to]`` bounds the order date before any join.
-
-    ``with_invoices=False`` stops at the delivery grain (no invoice fan-out;
-    invoice and payment columns are NULL/empty)."""
+def order_header(T: Tables, date_from=None, date_to=None) -> DataFrame:
+    """Valid orders in the window with every order-level text resolved once per
+    order (customer, company, salesperson, shipping address, incoterm), so the
+    partner / user / incoterm lookups never run at the exploded row grain."""
     so = T["sale_order"]
     orders = so.where(F.col("state").isin(*VALID_ORDER_STATES)).select(
         F.col("id").alias("order_id"), F.col("name").alias("so_number"),
@@ -164,31 +160,64 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
         "client_order_ref", F.to_date("commitment_date").alias("so_delivery_date"),
         F.col("incoterm").alias("incoterm_ref"), "incoterm_location", "franco", "invoice_status")
     orders = date_range(orders, "po_date", date_from, date_to)
+    users = T["res_users"].select(F.col("id").alias("user_id"), F.col("partner_id").alias("sales_partner_id"))
+    inc = T["account_incoterms"].select(F.col("id").alias("incoterm_ref"), F.col("name").alias("incoterm_name"))
+    x = (orders
+         .join(_partner(T, "rp", ("name", "commercial_company_name")),
+               F.col("partner_id") == F.col("rp_id"), "left")
+         .join(users, "user_id", "left")
+         .join(_partner(T, "rs"), F.col("sales_partner_id") == F.col("rs_id"), "left")
+         .join(_partner(T, "rh", ("name", "street", "street2", "city", "zip")),
+               F.col("partner_shipping_id") == F.col("rh_id"), "left")
+         .join(inc, "incoterm_ref", "left"))
+    address = F.concat_ws(", ", "rh_street", "rh_street2", "rh_city", "rh_zip")
+    return x.select(
+        "order_id", "so_number", "po_date",
+        F.col("rp_id").alias("partner_id"),
+        first_nonblank("rp_name").alias("customer"),
+        first_nonblank("rp_commercial_company_name", "rp_name").alias("company_name"),
+        first_nonblank("client_order_ref").alias("customer_po_number"),
+        first_nonblank("rs_name").alias("salesperson"),
+        "so_delivery_date",
+        # receiver falls back to these when the picking has no partner name
+        first_nonblank("incoterm_location", "rh_name", default=None).alias("receiver_fallback"),
+        first_nonblank(address, "rh_name").alias("delivery_address"),
+        first_nonblank("franco").alias("franco"),
+        first_nonblank(localized("incoterm_name")).alias("incoterm"),
+        first_nonblank("incoterm_location").alias("incoterm_location"),
+        F.coalesce("invoice_status", F.lit("")).alias("invoice_status"))
+
+
+def order_lines_named(T: Tables) -> DataFrame:
+    """Order lines with their own product code and name (fallbacks of the
+    delivered product's, and the bundle name)."""
     lines = T["sale_order_line"].select(
         F.col("id").alias("line_id"), "order_id", F.col("product_id").alias("line_product_id"),
         "sequence", "product_uom_qty", "price_unit", "price_subtotal", "price_tax", "price_total")
-    dd = deliveries(T, check_lines=False).withColumnRenamed("so_line_id", "line_id")
-    users = T["res_users"].select(F.col("id").alias("user_id"), F.col("partner_id").alias("sales_partner_id"))
-    inc = T["account_incoterms"].select(F.col("id").alias("incoterm_ref"), F.col("name").alias("incoterm_name"))
     pp = T["product_product"].select(F.col("id").alias("line_product_id"),
                                      F.col("default_code").alias("line_code"),
                                      F.col("product_tmpl_id").alias("line_tmpl_id"))
     names = product_names(T).select(F.col("tmpl_id").alias("line_tmpl_id"),
                                     F.col("product_name").alias("line_product_name"))
-    inv = line_invoices(T).withColumnRenamed("so_line_id", "line_id")
-    pay = first_payment(T, payment_states).withColumnRenamed("invoice_id", "pay_invoice_id")
+    return (lines.join(pp, "line_product_id", "left").join(names, "line_tmpl_id", "left")
+            .drop("line_tmpl_id"))
 
-    x = (lines.join(orders, "order_id")
-         .join(dd, "line_id")
-         .join(_partner(T, "rp"), F.col("partner_id") == F.col("rp_id"), "left")
-         .join(users, "user_id", "left")
-         .join(_partner(T, "rs"), F.col("sales_partner_id") == F.col("rs_id"), "left")
-         .join(_partner(T, "rh"), F.col("partner_shipping_id") == F.col("rh_id"), "left")
-         .join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left")
-         .join(inc, "incoterm_ref", "left")
-         .join(pp, "line_product_id", "left")
-         .join(names, "line_tmpl_id", "left"))
+
+def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False,
+                  keep_keys: bool = False, payment_states: tuple[str, ...] = (POSTED,),
+                  with_invoices: bool = True) -> DataFrame:
+    """C11: the report; ``[date_from, date_to]`` bounds the order date before any join.
+
+    ``with_invoices=False`` stops at the delivery grain (no invoice fan-out;
+    invoice and payment columns are NULL/empty)."""
+    header = order_header(T, date_from, date_to)
+    lines = order_lines_named(T)
+    dd = (deliveries(T, check_lines=False).withColumnRenamed("so_line_id", "line_id")
+          .join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left"))
+    x = lines.join(header, "order_id").join(dd, "line_id")
     if with_invoices:
+        inv = line_invoices(T).withColumnRenamed("so_line_id", "line_id")
+        pay = first_payment(T, payment_states).withColumnRenamed("invoice_id", "pay_invoice_id")
         x = (x.join(inv, "line_id", "left")
              .join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left"))
     else:
@@ -197,14 +226,9 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
             ("first_payment_date", "date"), ("payment_states", "string"))])
 
     zero = F.lit(0).cast(MONEY)
-    address = F.concat_ws(", ", "rh_street", "rh_street2", "rh_city", "rh_zip")
     cols = [
-        F.col("order_id"), F.col("so_number"), F.col("po_date"),
-        F.col("rp_id").alias("partner_id"),
-        first_nonblank("rp_name").alias("customer"),
-        first_nonblank("rp_commercial_company_name", "rp_name").alias("company_name"),
-        first_nonblank("client_order_ref").alias("customer_po_number"),
-        first_nonblank("rs_name").alias("salesperson"),
+        F.col("order_id"), F.col("so_number"), F.col("po_date"), F.col("partner_id"),
+        F.col("customer"), F.col("company_name"), F.col("customer_po_number"), F.col("salesperson"),
         first_nonblank("move_product_code", "line_code").alias("product_code"),
         first_nonblank("move_product_name", "line_product_name").alias("product_name"),
         F.when(F.col("line_type") == BUNDLE, first_nonblank("line_product_name"))
@@ -221,13 +245,11 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
         F.coalesce("delivery_status", F.lit("")).alias("delivery_status"),
         out(F.coalesce("total_delivered_qty", zero)).alias("delivered_qty"),
         first_nonblank("branch_name", default=DEFAULT_BRANCH).alias("branch_delivery"),
-        first_nonblank("rk_name", "incoterm_location", "rh_name").alias("receiver"),
-        first_nonblank(address, "rh_name").alias("delivery_address"),
-        first_nonblank("franco").alias("franco"),
-        first_nonblank(localized("incoterm_name")).alias("incoterm"),
-        first_nonblank("incoterm_location").alias("incoterm_location"),
+        F.coalesce(F.nullif(F.trim(F.col("rk_name")), F.lit("")), F.col("receiver_fallback"),
+                   F.lit("")).alias("receiver"),
+        F.col("delivery_address"), F.col("franco"), F.col("incoterm"), F.col("incoterm_location"),
         F.coalesce("shipping_note", F.lit("")).alias("shipping_note"),
-        F.coalesce("invoice_status", F.lit("")).alias("invoice_status"),
+        F.col("invoice_status"),
         F.col("invoice_id"),
         F.coalesce("invoice_number", F.lit("")).alias("invoice_number"),
         F.col("invoice_date"),

@@ -51,8 +51,7 @@ def _small(spark: SparkSession, rows, ddl: str) -> DataFrame:
 
 def categories(part: DataFrame) -> DataFrame:
     b = F.substring("p_brand", 7, 100).cast("int")
-    return (part.select(b.cast("long").alias("id"), F.col("p_brand"))
-            .groupBy("id").agg(F.min("p_brand").alias("p_brand"))
+    return (part.select(b.cast("long").alias("id"), F.col("p_brand")).distinct()
             .select("id",
                     F.when(F.col("id") == 25, F.lit("  "))
                     .when(F.col("id") == 24, F.lit(" Brand#23 "))
@@ -336,3 +335,46 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sale_order_line_bundle": bundle_components(lines),
         "uom_uom": _small(spark, UNITS, "id long, name string"),
     }
+
+
+def materialize(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
+    """Derive and store every base table under ``path/<table>`` as parquet, in
+    dependency order: order lines and stock moves are written once and the
+    tables built on them are derived from the stored copies (the per-order
+    numbering window runs once).  Returns the stored tables."""
+    d = read_driver(spark, sf_dir)
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    out: dict[str, DataFrame] = {}
+    lines = out["sale_order_line"] = store("sale_order_line", order_lines(d["lineitem"]))
+    mv = out["account_move"] = store("account_move", moves(d["orders"]))
+    sm = out["stock_move"] = store("stock_move", stock_moves(lines))
+    lazy = {
+        "product_category": categories(d["part"]),
+        "product_template": templates(d["part"]),
+        "product_product": products(d["part"]),
+        "sale_order": orders(d["orders"]),
+        "account_move_line": move_lines(lines, mv),
+        "sale_order_line_invoice_rel": invoice_rel(lines),
+        "account_account": _small(spark, ACCOUNTS, "id long, account_type string"),
+        "account_partial_reconcile": reconciles(d["orders"]),
+        "account_payment": payments(d["orders"]),
+        "stock_picking": pickings(d["orders"]),
+        "stock_picking_type": _small(spark, PICKING_TYPES, "id long, code string, warehouse_id long"),
+        "stock_warehouse": _small(spark, WAREHOUSES, "id long, name string"),
+        "stock_move_line": stock_move_lines(sm),
+        "res_partner": partners(d["customer"], d["supplier"]),
+        "res_users": users(d["supplier"]),
+        "account_incoterms": _small(spark, INCOTERMS, "id long, name string"),
+        "sale_order_line_bundle": bundle_components(lines),
+        "uom_uom": _small(spark, UNITS, "id long, name string"),
+    }
+    # independent tables: submit their jobs concurrently (the scheduler shares the executors)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        stored = dict(zip(lazy, pool.map(lambda kv: store(*kv), lazy.items())))
+    out.update(stored)
+    return out
