@@ -43,7 +43,7 @@ COLUMNS = ["order_id", "so_number", "po_date", "partner_id", "customer", "compan
            "delivered_qty", "branch_delivery", "receiver", "delivery_address", "franco", "incoterm",
            "incoterm_location", "shipping_note", "invoice_status", "invoice_id", "invoice_number",
            "invoice_date", "payment_date", "payment_state"]
-HIDDEN_KEYS = ["line_id", "move_product_id", "bundle_line_id"]
+HIDDEN_KEYS = ["line_id", "move_product_id", "bundle_line_id", "sequence"]
 
 
 # ---- C2 / C3: first payment per invoice -------------------------------------
@@ -273,6 +273,7 @@ def id_order() -> list[Column]:
 
 
 def report_order() -> list[Column]:
-    """po_date desc, order name, line sequence, delivery number."""
+    """po_date desc, order name, line sequence, delivery number (needs the
+    hidden keys: build the report with ``keep_keys=True``)."""
     return [F.col("po_date").desc_nulls_first(), F.col("so_number").asc_nulls_last(),
             F.col("sequence").asc_nulls_last(), F.col("delivery_number").asc_nulls_last()]

@@ -33,6 +33,13 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     return path
 
 
+def ordered_for_sink(df: DataFrame, order: list[Column], drop: list[str] | None = None) -> DataFrame:
+    """Apply a report's default order (a range-partitioned global sort)
+    only where rows leave the engine, then drop helper keys."""
+    out = df.orderBy(*order)
+    return out.drop(*drop) if drop else out
+
+
 def read_report(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     r = spark.read
     if schema is not None:
