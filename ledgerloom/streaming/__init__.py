@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reports this package rebuilds read their sources as whole tables on each
+request; the reference has no streams, watermarks, windows over event time or
+stateful operators, so no streaming operator is provided here.
+"""
