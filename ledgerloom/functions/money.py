@@ -30,6 +30,11 @@ def out(c: Column | str) -> Column:
     return F.round(dbl(c), OUT_DIGITS)
 
 
+def out_product(c: Column) -> Column:
+    """Rounded double of a product; ``+ 0.0`` turns IEEE -0.0 (0 x negative) into 0.0."""
+    return F.round(c, OUT_DIGITS) + F.lit(0.0)
+
+
 def safe_ratio(num: Column | str, den: Column | str) -> Column:
     """``num / den`` when ``den > 0`` else 0, in double."""
     d = dbl(den)

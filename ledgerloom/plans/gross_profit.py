@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
 from ..functions.jsonmap import json_first_value
-from ..functions.money import COST, TOTAL, TOTAL_COST, dbl, out, safe_ratio
+from ..functions.money import COST, TOTAL, TOTAL_COST, dbl, out, out_product, safe_ratio
 from ..operators.joins import bounded_broadcast
 from ..operators.row_id import dense_row_id
 from .common import (CUSTOMER_INVOICE, POSTED, UNCATEGORIZED, Tables, category_label,
@@ -177,7 +177,7 @@ def gross_profit(T: Tables, date_from=None, date_to=None, with_id: bool = False,
         out("qty").alias("qty"),
         out("amount").alias("amount"),
         F.round("gp_prev", 6).alias("gp_percent"),
-        F.round(dbl("amount") * F.col("gp_prev"), 6).alias("total_gross_profit"),
+        out_product(dbl("amount") * F.col("gp_prev")).alias("total_gross_profit"),
         F.round("gp_curr", 6).alias("gp_percent_current_month"))
     if with_id:
         rep = dense_row_id(rep, report_order()).select("id", *COLUMNS)
