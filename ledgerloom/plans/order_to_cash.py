@@ -54,7 +54,8 @@ def receivable_lines(T: Tables) -> DataFrame:
     return T["account_move_line"].join(acc, "account_id", "left_semi")
 
 
-def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,)) -> DataFrame:
+def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,),
+                  invoices: DataFrame | None = None) -> DataFrame:
     """Earliest payment date and the distinct payment states (', '-joined,
     sorted) per invoice, over reconciliations in either direction.
 
@@ -65,6 +66,8 @@ def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,)) -> DataFrame:
     edges = symmetric_edges(T["account_partial_reconcile"], "debit_move_id", "credit_move_id",
                             "inv_line_id", "pay_line_id")
     inv = receivable_lines(T).select(F.col("id").alias("inv_line_id"), F.col("move_id").alias("invoice_id"))
+    if invoices is not None:  # only the invoices asked for (``invoice_id`` column)
+        inv = inv.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
     pays = (T["account_payment"].where(F.col("state").isin(*states))
             .select(F.col("move_id").alias("pay_move_id"), "date", "state"))
     pay_lines = (T["account_move_line"].select(F.col("id").alias("pay_line_id"),
@@ -85,7 +88,7 @@ def line_type(sm: DataFrame) -> Column:
     return F.lit(STANDARD)
 
 
-def deliveries(T: Tables, check_lines: bool = True) -> DataFrame:
+def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = None) -> DataFrame:
     """C4: delivered quantity per (order line, done outgoing picking, moved
     product[, bundle line]) with the picking's text fields.
 
@@ -98,7 +101,9 @@ def deliveries(T: Tables, check_lines: bool = True) -> DataFrame:
              .select(F.col("id").alias("move_id"), F.col("sale_line_id").alias("so_line_id"),
                      "picking_id", F.col("product_id").alias("move_product_id"),
                      bundle.alias("bundle_line_id"), line_type(sm).alias("line_type")))
-    if check_lines:
+    if lines is not None:  # only moves of these lines (``so_line_id`` column)
+        moves = moves.join(lines.select("so_line_id"), "so_line_id", "left_semi")
+    elif check_lines:
         moves = moves.join(T["sale_order_line"].select(F.col("id").alias("so_line_id")),
                            "so_line_id", "left_semi")
     # inner join to move lines: a move without move lines delivers nothing
@@ -129,8 +134,9 @@ def deliveries(T: Tables, check_lines: bool = True) -> DataFrame:
 
 
 # ---- C7: invoices per line ---------------------------------------------------
-def line_invoices(T: Tables) -> DataFrame:
-    """Distinct posted customer invoices of each order line."""
+def line_invoices(T: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """Distinct posted customer invoices of each order line (optionally only
+    of ``lines``, a DataFrame with ``so_line_id``)."""
     am = (T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
           .select(F.col("id").alias("invoice_id"), F.col("name").alias("invoice_number"),
                   "invoice_date", F.col("state").alias("invoice_state")))
@@ -138,6 +144,8 @@ def line_invoices(T: Tables) -> DataFrame:
                                         F.col("move_id").alias("invoice_id"))
     rel = T["sale_order_line_invoice_rel"].select(F.col("order_line_id").alias("so_line_id"),
                                                   "invoice_line_id")
+    if lines is not None:
+        rel = rel.join(lines.select("so_line_id"), "so_line_id", "left_semi")
     return (rel.join(aml, "invoice_line_id").join(am, "invoice_id")
             .select("so_line_id", "invoice_id", "invoice_number", "invoice_date", "invoice_state")
             .distinct())
@@ -212,12 +220,19 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
     invoice and payment columns are NULL/empty)."""
     header = order_header(T, date_from, date_to)
     lines = order_lines_named(T)
-    dd = (deliveries(T, check_lines=False).withColumnRenamed("so_line_id", "line_id")
+    windowed = date_from is not None or date_to is not None
+    # With a date window, deliveries / invoices / payments are computed only for
+    # the window's lines (a semi-join before their aggregations, which the
+    # optimizer cannot push through by itself); without one, no extra join.
+    scope = (lines.join(header.select("order_id"), "order_id", "left_semi")
+             .select(F.col("line_id").alias("so_line_id"))) if windowed else None
+    dd = (deliveries(T, check_lines=False, lines=scope).withColumnRenamed("so_line_id", "line_id")
           .join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left"))
     x = lines.join(header, "order_id").join(dd, "line_id")
     if with_invoices:
-        inv = line_invoices(T).withColumnRenamed("so_line_id", "line_id")
-        pay = first_payment(T, payment_states).withColumnRenamed("invoice_id", "pay_invoice_id")
+        inv = line_invoices(T, scope).withColumnRenamed("so_line_id", "line_id")
+        pay = first_payment(T, payment_states, inv if windowed else None) \
+            .withColumnRenamed("invoice_id", "pay_invoice_id")
         x = (x.join(inv, "line_id", "left")
              .join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left"))
     else:

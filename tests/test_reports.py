@@ -221,3 +221,16 @@ def test_row_ids_dense_and_ordered(tiny, o2c_case):
     ordered = sorted(rep, key=lambda r: r["id"])
     keys = [(r["line_id"], r["picking_id"], r["move_product_id"], r["invoice_id"]) for r in ordered]
     assert keys == sorted(keys)
+
+
+def test_report_ids_follow_report_order(tiny, sales_case):
+    T = tiny(**sales_case)
+    rows = sorted(gross_profit.gross_profit(T, with_id=True).collect(), key=lambda r: r["id"])
+    assert [r["id"] for r in rows] == list(range(1, len(rows) + 1))
+    keys = [(-r["so_date"].toordinal(), r["category_items"], r["categ_id"] is None, r["categ_id"] or 0)
+            for r in rows]
+    assert keys == sorted(keys)
+    sc_rows = sorted(contribution.sales_contribution(T, with_id=True).collect(), key=lambda r: r["id"])
+    assert [r["id"] for r in sc_rows] == list(range(1, len(sc_rows) + 1))
+    assert [(-r["so_date"].toordinal(), -r["sales_amount"]) for r in sc_rows] == \
+        sorted((-r["so_date"].toordinal(), -r["sales_amount"]) for r in sc_rows)
