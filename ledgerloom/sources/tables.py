@@ -13,17 +13,66 @@ BASE_TABLES = ("product_category", "product_template", "product_product", "sale_
                "res_users", "account_incoterms", "sale_order_line_bundle", "uom_uom")
 OPTIONAL_COLUMNS = {"sale_order": ("x_studio_date",), "stock_move": ("sale_bundle_line_id",)}
 
+_M = "decimal(18,2)"
+# Columns the reports read, per table, with their Spark types (DDL).
+SCHEMAS = {
+    "product_category": "id bigint, name string",
+    "product_template": "id bigint, name string, categ_id bigint",
+    "product_product": "id bigint, product_tmpl_id bigint, default_code string, standard_price string",
+    "sale_order": ("id bigint, name string, state string, date_order timestamp_ntz, x_studio_date date, "
+                   "partner_id bigint, partner_shipping_id bigint, user_id bigint, client_order_ref string, "
+                   "commitment_date timestamp_ntz, incoterm bigint, incoterm_location string, franco string, "
+                   "invoice_status string"),
+    "sale_order_line": (f"id bigint, order_id bigint, product_id bigint, sequence int, display_type string, "
+                        f"product_uom_qty {_M}, price_unit {_M}, price_subtotal {_M}, price_tax {_M}, "
+                        f"price_total {_M}, purchase_price double"),
+    "account_move": "id bigint, name string, move_type string, state string, invoice_date date",
+    "account_move_line": f"id bigint, move_id bigint, account_id bigint, quantity {_M}, price_subtotal {_M}",
+    "sale_order_line_invoice_rel": "order_line_id bigint, invoice_line_id bigint",
+    "account_account": "id bigint, account_type string",
+    "account_partial_reconcile": "debit_move_id bigint, credit_move_id bigint",
+    "account_payment": "move_id bigint, date date, state string",
+    "stock_picking": ("id bigint, name string, state string, date_done timestamp_ntz, note string, "
+                      "partner_id bigint, picking_type_id bigint"),
+    "stock_picking_type": "id bigint, code string, warehouse_id bigint",
+    "stock_warehouse": "id bigint, name string",
+    "stock_move": ("id bigint, sale_line_id bigint, picking_id bigint, product_id bigint, state string, "
+                   "sale_bundle_line_id bigint"),
+    "stock_move_line": f"id bigint, move_id bigint, quantity {_M}",
+    "res_partner": ("id bigint, name string, commercial_company_name string, street string, street2 string, "
+                    "city string, zip string"),
+    "res_users": "id bigint, partner_id bigint",
+    "account_incoterms": "id bigint, name string",
+    "sale_order_line_bundle": "id bigint, line_id bigint, product_id bigint, quantity double, uom_id bigint",
+    "uom_uom": "id bigint, name string",
+}
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """Cast the columns the reports read to their declared types and drop the
+    rest (a projection: nothing extra is read).  Optional columns are kept only
+    when the stored table has them; a missing required column is an error."""
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(SCHEMAS[table])
+    optional = set(OPTIONAL_COLUMNS.get(table, ()))
+    cols = []
+    for f in schema.fields:
+        if f.name in df.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        elif f.name not in optional:
+            raise ValueError(f"table {table!r} lacks required column {f.name!r}")
+    return df.select(*cols)
+
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                tables=BASE_TABLES, schemas: dict | None = None) -> dict[str, DataFrame]:
-    """Scan stored ERP tables ``{path}/{table}`` (column pruning and filter
-    pushdown happen per query through Catalyst)."""
+                tables=BASE_TABLES, typed: bool = True) -> dict[str, DataFrame]:
+    """Scan stored ERP tables ``{path}/{table}`` and conform them to the
+    declared schemas (column pruning and filter pushdown still reach the scan:
+    the casts are no-ops on already-typed columns)."""
     out = {}
     for t in tables:
-        r = spark.read.format(fmt)
-        if schemas and t in schemas:
-            r = r.schema(schemas[t])
-        out[t] = r.load(f"{path}/{t}")
+        df = spark.read.format(fmt).load(f"{path}/{t}")
+        out[t] = conform(df, t) if typed and t in SCHEMAS else df
     return out
 
 

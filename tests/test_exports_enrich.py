@@ -122,3 +122,15 @@ def test_pushdown_and_pruning_on_stored_tables(spark, T1):
         "In(state, [done,sale])" in plan
     # only the needed columns are read from the line table
     assert "ReadSchema: struct<order_id:bigint,price_subtotal:decimal(18,2)>" in plan
+
+
+def test_conform_checks_required_and_keeps_optional(spark, T1):
+    from ledgerloom.sources.tables import conform
+    so = T1["sale_order"]
+    assert "x_studio_date" in conform(so, "sale_order").columns
+    assert "x_studio_date" not in conform(so.drop("x_studio_date"), "sale_order").columns
+    with pytest.raises(ValueError):
+        conform(so.drop("state"), "sale_order")
+    # every derived table already matches its declared schema
+    for name, df in T1.items():
+        assert conform(df, name).schema == df.select(*conform(df, name).columns).schema, name
