@@ -1,12 +1,29 @@
-"""Query registrations (one per SURVEY section 2 key)."""
+"""Query registrations: one key per SURVEY section 2 operator, each a function
+of the base tables (``catalog.query`` wraps it with the fixture derivation)."""
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import functions as F
 
-from ..catalog import query
-from ..functions.money import out
+from ..catalog import AS_OF, DATE_FROM, DATE_TO, TODAY, query
+from ..functions.dates import effective_order_date, preset_bounds
+from ..functions.labels import delivery_status_label, invoice_status_label, payment_state_label
+from ..functions.money import out, safe_ratio
+from ..functions.text import first_nonblank, localized, strip_html
+from ..operators import filters as flt
+from ..operators import grouping as grp
+from ..operators.records import read_records
+from ..sources.sinks import read_report, shared_output_dir, write_report
+from ..sources.tables import table_counts
 from . import contribution as sc
+from . import enrich as en
+from . import exports as ex
+from . import gross_profit as gp
+from . import order_to_cash as o2c
+from .common import product_names, valid_orders
+from .views import register_reports
 
 
 # ---- D: Sales Contribution -------------------------------------------------
@@ -29,7 +46,6 @@ def _daily_totals(T):
 @query("margin_ratio")
 def _margin_ratio(T):
     """D3: guarded margin ratio per category-day."""
-    from ..functions.money import safe_ratio
     cs = sc.category_sales(T)
     return cs.select("category", "categ_id", "so_date",
                      F.round(safe_ratio("gp_exact", "sales"), 6).alias("margin_percent"))
@@ -38,7 +54,6 @@ def _margin_ratio(T):
 @query("contribution_share")
 def _contribution_share(T):
     """Guarded share of the day's sales per category-day."""
-    from ..functions.money import safe_ratio
     cs = sc.with_daily_totals(sc.category_sales(T))
     return cs.select("category", "categ_id", "so_date",
                      F.round(safe_ratio("sales", "day_total"), 6).alias("sales_contribution_percent"))
@@ -51,10 +66,6 @@ def _sales_contribution(T):
 
 
 # ---- B: Gross Profit --------------------------------------------------------
-from . import gross_profit as gp  # noqa: E402
-from ..functions.dates import effective_order_date  # noqa: E402
-from ..functions.money import out  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 
 @query("effective_date")
@@ -67,7 +78,6 @@ def _effective_date(T):
 @query("valid_orders")
 def _valid_orders(T):
     """B2: confirmed or done orders with their effective date."""
-    from .common import valid_orders
     return valid_orders(T)
 
 
@@ -136,9 +146,6 @@ def _gross_profit(T):
 
 
 # ---- C: Order to cash ---------------------------------------------------------
-from . import order_to_cash as o2c  # noqa: E402
-from .common import product_names  # noqa: E402
-from ..functions.text import first_nonblank, localized, strip_html  # noqa: E402
 
 TEXT_COLS = ["line_id", "picking_id", "move_product_id", "bundle_line_id", "product_code",
              "product_name", "bundle_name", "customer", "company_name", "receiver",
@@ -216,11 +223,6 @@ def _order_to_cash(T):
 
 
 # ---- E: filters, groups, footers, pivots, charts --------------------------------
-from ..catalog import DATE_FROM, DATE_TO, TODAY, AS_OF  # noqa: E402
-from ..functions.dates import preset_bounds  # noqa: E402
-from ..operators import filters as flt  # noqa: E402
-from ..operators import grouping as grp  # noqa: E402
-import datetime as _dt  # noqa: E402
 
 GP_MEASURES = ["qty", "amount", "gp_percent", "total_gross_profit", "gp_percent_current_month"]
 O2C_MEASURES = ["qty", "price_unit", "subtotal", "tax_amount", "total_amount", "delivered_qty"]
@@ -309,9 +311,6 @@ query("chart_sc_pie")(lambda T: grp.chart_data(sc.sales_contribution(T), F.col("
 
 
 # ---- F: export tables ------------------------------------------------------------
-from . import exports as ex  # noqa: E402
-from ..functions.labels import (delivery_status_label, invoice_status_label,  # noqa: E402
-                                payment_state_label)
 
 query("export_gp_mtd")(lambda T: ex.gross_profit_mtd(T, AS_OF))
 query("export_gp_total")(lambda T: ex.gross_profit_total(T, AS_OF))
@@ -346,7 +345,6 @@ def _map_payment_state(T):
 
 
 # ---- G: line enrichments -------------------------------------------------------------
-from . import enrich as en  # noqa: E402
 
 COST_COMPANY = "2"  # company whose cost is snapshotted (a fixed parameter)
 
@@ -372,10 +370,6 @@ def _component_label(T):
 
 
 # ---- A: scans, optional columns, views, sink, record reads ---------------------------
-from ..sources.tables import table_counts  # noqa: E402
-from ..sources.sinks import read_report, shared_output_dir, write_report  # noqa: E402
-from ..operators.records import read_records  # noqa: E402
-from .views import register_reports  # noqa: E402
 
 
 @query("scan_tables")
