@@ -61,3 +61,37 @@ def preset_bounds(name: str, today) -> tuple[dt.date | None, dt.date | None, boo
     if name == "this_year":
         return t.replace(month=1, day=1), None, True
     raise ValueError(f"unknown date preset {name!r}; expected one of {PRESETS}")
+
+
+def order_date_window(so: DataFrame, lo=None, hi=None, custom: str | None = "x_studio_date",
+                      base: str = "date_order") -> Column | None:
+    """A predicate on the *stored* columns equal to ``lo <= effective date <= hi``.
+
+    The effective date is an expression (COALESCE of the custom date and the
+    order timestamp's date) that the scan cannot evaluate; this equivalent form
+    uses plain comparisons on the two columns, so Catalyst pushes it into the
+    parquet scan (row-group / partition pruning).  None when unbounded."""
+    if lo is None and hi is None:
+        return None
+
+    def day(x):
+        return F.lit(_d(x))
+
+    def ts(x):
+        return F.lit(dt.datetime.combine(_d(x), dt.time())).cast("timestamp_ntz")
+
+    b = F.col(base)
+    base_ok = F.lit(True)
+    if lo is not None:
+        base_ok = base_ok & (b >= ts(lo))
+    if hi is not None:
+        base_ok = base_ok & (b < ts(_d(hi) + dt.timedelta(days=1)))
+    if not custom or custom not in so.columns:
+        return base_ok
+    c = F.col(custom)
+    custom_ok = c.isNotNull()
+    if lo is not None:
+        custom_ok = custom_ok & (c >= day(lo))
+    if hi is not None:
+        custom_ok = custom_ok & (c <= day(hi))
+    return custom_ok | (c.isNull() & base_ok)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import effective_order_date
+from ..functions.dates import effective_order_date, order_date_window
 from ..functions.text import first_nonblank, localized
 from ..operators.filters import date_range
 
@@ -28,6 +28,9 @@ def valid_orders(T: Tables, date_from: dt.date | str | None = None,
     limited to ``[date_from, date_to]`` before any join."""
     so = T["sale_order"]
     d = effective_order_date(so) if custom_date else F.to_date("date_order")
+    window = order_date_window(so, date_from, date_to, "x_studio_date" if custom_date else None)
+    if window is not None:  # same rows, but in a form the scan can use
+        so = so.where(window)
     out = so.where(F.col("state").isin(*VALID_ORDER_STATES)).select(
         F.col("id").alias("order_id"), d.alias(date_col), *(extra or []))
     return date_range(out, date_col, date_from, date_to)

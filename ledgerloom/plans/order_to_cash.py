@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import effective_order_date
+from ..functions.dates import effective_order_date, order_date_window
 from ..functions.money import MONEY, TOTAL, out
 from ..functions.text import first_nonblank, localized, strip_html
 from ..operators.filters import date_range
@@ -162,6 +162,9 @@ def order_header(T: Tables, date_from=None, date_to=None) -> DataFrame:
     order (customer, company, salesperson, shipping address, incoterm), so the
     partner / user / incoterm lookups never run at the exploded row grain."""
     so = T["sale_order"]
+    window = order_date_window(so, date_from, date_to)
+    if window is not None:  # same rows, but in a form the scan can use
+        so = so.where(window)
     orders = so.where(F.col("state").isin(*VALID_ORDER_STATES)).select(
         F.col("id").alias("order_id"), F.col("name").alias("so_number"),
         effective_order_date(so).alias("po_date"), "partner_id", "partner_shipping_id", "user_id",
