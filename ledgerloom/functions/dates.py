@@ -77,8 +77,8 @@ def order_date_window(so: DataFrame, lo=None, hi=None, custom: str | None = "x_s
     def day(x):
         return F.lit(_d(x))
 
-    def ts(x):
-        return F.lit(dt.datetime.combine(_d(x), dt.time())).cast("timestamp_ntz")
+    def ts(x):  # from text: no session time zone involved
+        return F.lit(f"{_d(x).isoformat()} 00:00:00").cast("timestamp_ntz")
 
     b = F.col(base)
     base_ok = F.lit(True)
