@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
 from ..functions.jsonmap import json_first_value
+from ..functions.literal import literal_table
 from ..functions.money import COST, TOTAL, TOTAL_COST, dbl, out, out_product, safe_ratio
 from ..operators.joins import bounded_broadcast
 from ..operators.row_id import dense_row_id
@@ -45,7 +46,7 @@ def category_dim(T: Tables) -> DataFrame:
     spark = T["product_category"].sparkSession
     cats = T["product_category"].select(category_label("name").alias("category_items"),
                                         F.col("id").alias("categ_id"))
-    extra = spark.createDataFrame([(UNCATEGORIZED, None)], "category_items string, categ_id long")
+    extra = literal_table(spark, [(UNCATEGORIZED, None)], "category_items string, categ_id long")
     return cats.unionByName(extra).distinct()
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.literal import literal_table
 from ..functions.money import MONEY
 
 DRIVER_TABLES = ("orders", "lineitem", "part", "customer", "supplier")
@@ -46,7 +47,7 @@ def _days(ts: str, n: int) -> Column:
 
 
 def _small(spark: SparkSession, rows, ddl: str) -> DataFrame:
-    return spark.createDataFrame(rows, ddl)
+    return literal_table(spark, rows, ddl)
 
 
 def categories(part: DataFrame) -> DataFrame:

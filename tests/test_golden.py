@@ -83,3 +83,16 @@ def test_month_to_date_export_golden(T2):
     assert r["sales_estimate"] == pytest.approx(22824966.72, abs=0.005)
     # F2 equals the sum of F1
     assert agg(mtd, s=F.sum("amount"))["s"] == pytest.approx(t["amount"])
+
+
+def test_text_chain_golden(T2):
+    """Sum of text lengths over the delivery-grain rows of valid orders."""
+    rep = order_to_cash.order_to_cash(T2, with_invoices=False)
+    want = {"product_name": 430235, "product_code": 195490, "bundle_name": 115595, "customer": 847422,
+            "company_name": 930087, "receiver": 849026, "delivery_address": 1003017, "incoterm": 60435,
+            "shipping_note": 397529, "branch_delivery": 200663}
+    a = agg(rep, n=F.count(F.lit(1)),
+            gaps=F.sum(F.when(F.col("delivery_address").contains(", , "), 1).otherwise(0)),
+            **{k: F.sum(F.length(k)) for k in want})
+    assert a.pop("n") == 48162 and a.pop("gaps") == 11973
+    assert a == want
