@@ -21,7 +21,7 @@ from .contribution import sales_contribution
 from .gross_profit import gross_profit
 from .order_to_cash import order_to_cash
 
-REPORT_TYPES = ("gross_profit", "rekap_so", "sales_contribution", "all")
+REPORT_TYPES = ("gross_profit", "order_to_cash", "sales_contribution", "all")
 TOTAL_LABEL = "TOTAL"
 
 
@@ -161,7 +161,7 @@ class ExportParams:
             raise ValueError(f"report_type must be one of {REPORT_TYPES}")
         if self.report_type in ("gross_profit", "all") and not self.as_of_date:
             raise ValueError("as_of_date is required for the Gross Profit export")
-        if self.report_type in ("rekap_so", "sales_contribution", "all"):
+        if self.report_type in ("order_to_cash", "sales_contribution", "all"):
             if not self.date_from or not self.date_to:
                 raise ValueError("date_from and date_to are required for this export")
 
@@ -175,8 +175,8 @@ def export_all(T: Tables, params: ExportParams) -> dict[str, DataFrame]:
         out["gross_profit"] = gross_profit_mtd(T, params.as_of_date)
         out["gross_profit_total"] = gross_profit_total(T, params.as_of_date)
         out["gross_profit_run_rate"] = sales_run_rate(T, params.as_of_date)
-    if rt in ("rekap_so", "all"):
-        out["rekap_so"] = order_to_cash_export(T, params.date_from, params.date_to)
+    if rt in ("order_to_cash", "all"):
+        out["order_to_cash"] = order_to_cash_export(T, params.date_from, params.date_to)
     if rt in ("sales_contribution", "all"):
         out["sales_contribution"] = sales_contribution_export(T, params.date_from, params.date_to)
         out["sales_contribution_total"] = sales_contribution_total(T, params.date_from, params.date_to)

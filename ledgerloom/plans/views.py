@@ -9,9 +9,9 @@ from .contribution import sales_contribution
 from .gross_profit import gross_profit
 from .order_to_cash import order_to_cash
 
-# View names of the three reports.
-VIEW_NAMES = {"gross_profit": "x_gross_profit", "order_to_cash": "x_rekap_so_payment",
-              "sales_contribution": "x_sales_contribution"}
+# View names of the three reports.
+VIEW_NAMES = {"gross_profit": "gross_profit_report", "order_to_cash": "order_to_cash_report",
+              "sales_contribution": "sales_contribution_report"}
 
 
 def register_reports(spark: SparkSession, T: Tables) -> dict[str, str]:

@@ -41,7 +41,7 @@ def test_export_params_validation():
     with pytest.raises(ValueError):
         exports.ExportParams(report_type="all", as_of_date=None).validate()
     with pytest.raises(ValueError):
-        exports.ExportParams(report_type="rekap_so", date_from=dt.date(1998, 1, 1)).validate()
+        exports.ExportParams(report_type="order_to_cash", date_from=dt.date(1998, 1, 1)).validate()
     p = exports.ExportParams.with_defaults("all", today=dt.date(1998, 6, 15))
     p.validate()
     assert p.as_of_date == p.date_from == p.date_to == dt.date(1998, 6, 15)
@@ -51,10 +51,10 @@ def test_export_all_and_o2c_labels(tiny, o2c_case):  # noqa: F811
     T = tiny(**o2c_case)
     out = exports.export_all(T, exports.ExportParams("all", dt.date(1998, 6, 15),
                                                      dt.date(1998, 6, 1), dt.date(1998, 6, 30)))
-    assert set(out) == {"gross_profit", "gross_profit_total", "gross_profit_run_rate", "rekap_so",
+    assert set(out) == {"gross_profit", "gross_profit_total", "gross_profit_run_rate", "order_to_cash",
                         "sales_contribution", "sales_contribution_total"}
-    rows = out["rekap_so"].collect()
-    assert len(out["rekap_so"].columns) == 32
+    rows = out["order_to_cash"].collect()
+    assert len(out["order_to_cash"].columns) == 32
     assert {r["delivery_status"] for r in rows} == {"DONE"}
     assert {r["invoice_status"] for r in rows} == {"Invoiced"}
     assert {r["payment_state"] for r in rows} == {"Posted", "Not Paid"}
