@@ -45,6 +45,8 @@ def main(argv=None) -> None:
     p.add_argument("--master")
     a = p.parse_args(argv)
 
+    from pyspark.sql import SparkSession
+    owned = SparkSession.getActiveSession() is None
     spark = build_session(a.master)
     if a.tables:
         from .sources.tables import load_tables
@@ -66,7 +68,8 @@ def main(argv=None) -> None:
         df = ordered_for_sink(build(T, _date(a.date_from), _date(a.date_to)), order(), hidden)
         write_report(df, a.out, a.format, partition_by=parts or None)
         print(f"{a.name}: {a.out}")
-    spark.stop()
+    if owned:
+        spark.stop()
 
 
 if __name__ == "__main__":

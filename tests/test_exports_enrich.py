@@ -152,3 +152,16 @@ def test_order_window_reaches_the_scan(spark, T1):
     plain_full = valid_orders(S, custom_date=False, date_col="d").where(
         F.col("d").between(dt.date(1998, 6, 1), dt.date(1998, 6, 15)))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, plain_full.collect()))
+
+
+def test_command_line_export_and_report(spark, capsys):
+    from ledgerloom.__main__ import main
+    from conftest import SF0001
+    out = tempfile.mkdtemp(prefix="ll-cli-")
+    main(["export", "--driver-sf", SF0001, "--report", "all", "--as-of", "1998-06-15",
+          "--date-from", "1998-06-01", "--date-to", "1998-06-30", "--out", f"{out}/exp"])
+    assert spark.read.parquet(f"{out}/exp/gross_profit_total").count() == 1
+    assert len(spark.read.parquet(f"{out}/exp/order_to_cash").columns) == 32
+    main(["report", "sales_contribution", "--driver-sf", SF0001, "--out", f"{out}/sc", "--format", "csv"])
+    assert spark.read.option("header", True).csv(f"{out}/sc").count() > 0
+    assert not spark.sparkContext._jsc.sc().isStopped()
