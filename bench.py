@@ -8,7 +8,8 @@ as parquet in the shared checkpoint folder (timed as ``derive_tables``: a
 one-off load, like the ERP's stored tables); each headline report then reads
 them -- with column pruning and pushed filters -- and runs to completion into
 Spark's ``noop`` sink (full execution, nothing collected), after one untimed
-warm-up run.  ``value`` is the sum of all timings, derivation included.
+warm-up run.  ``value`` is the sum of the report timings; the one-off table
+derivation is reported separately as ``derive_tables_sec``.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def main() -> None:
         return time.perf_counter() - t
 
     run("sales_contribution")  # warm-up (JIT, file listing cache)
-    times = {"derive_tables": round(t_derive, 3)}
+    times = {}
     for key in HEADLINE:
         times[key] = round(min(run(key) for _ in range(repeat)), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -58,6 +59,7 @@ def main() -> None:
         "spark.sql.files.maxPartitionBytes")}
     print(json.dumps({"metric": "headline_reports_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else None,
+                      "derive_tables_sec": round(t_derive, 3),
                       "cpus": cpus, "repeat": repeat, "conf": conf_out}))
     spark.stop()
 
