@@ -76,6 +76,17 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return out
 
 
+def load_catalog_tables(spark: SparkSession, database: str | None = None, tables=BASE_TABLES,
+                        typed: bool = True) -> dict[str, DataFrame]:
+    """Same as ``load_tables`` for tables registered in the session catalog
+    (``spark.table``), e.g. bucketed / partitioned managed tables."""
+    out = {}
+    for t in tables:
+        df = spark.table(f"{database}.{t}" if database else t)
+        out[t] = conform(df, t) if typed and t in SCHEMAS else df
+    return out
+
+
 def has_column(df: DataFrame, name: str) -> bool:
     """A2: the optional column test, decided while the plan is built."""
     return name in df.columns
