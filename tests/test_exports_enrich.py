@@ -165,3 +165,10 @@ def test_command_line_export_and_report(spark, capsys):
     main(["report", "sales_contribution", "--driver-sf", SF0001, "--out", f"{out}/sc", "--format", "csv"])
     assert spark.read.option("header", True).csv(f"{out}/sc").count() > 0
     assert not spark.sparkContext._jsc.sc().isStopped()
+
+
+def test_catalog_tables(spark, T1):
+    from ledgerloom.sources.tables import load_catalog_tables
+    T1["sale_order"].createOrReplaceTempView("sale_order")
+    S = load_catalog_tables(spark, tables=("sale_order",))
+    assert S["sale_order"].count() == T1["sale_order"].count()
