@@ -96,3 +96,15 @@ def test_text_chain_golden(T2):
             **{k: F.sum(F.length(k)) for k in want})
     assert a.pop("n") == 48162 and a.pop("gaps") == 11973
     assert a == want
+
+
+def test_order_to_cash_row_invariant(T2):
+    """rows = sum over delivered lines of valid orders of deliveries x max(1, invoices)."""
+    from ledgerloom.plans.common import valid_orders
+    lines = (T2["sale_order_line"].join(valid_orders(T2), "order_id", "left_semi")
+             .select(F.col("id").alias("so_line_id")))
+    d = order_to_cash.deliveries(T2).groupBy("so_line_id").agg(F.count(F.lit(1)).alias("d"))
+    i = order_to_cash.line_invoices(T2).groupBy("so_line_id").agg(F.count(F.lit(1)).alias("i"))
+    want = (lines.join(d, "so_line_id").join(i, "so_line_id", "left")
+            .agg(F.sum(F.col("d") * F.greatest(F.lit(1), F.coalesce("i", F.lit(0))))).first()[0])
+    assert order_to_cash.order_to_cash(T2).count() == want == 55829
