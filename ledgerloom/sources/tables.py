@@ -76,6 +76,27 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return out
 
 
+# Bucket layout for co-located joins: each pair shares a key and a bucket count,
+# so "lines JOIN orders", "journal lines JOIN entries" and "move lines JOIN
+# moves" need no shuffle when both sides are stored this way.
+BUCKET_KEYS = {"sale_order": "id", "sale_order_line": "order_id",
+               "account_move": "id", "account_move_line": "move_id",
+               "stock_move": "id", "stock_move_line": "move_id"}
+
+
+def store_tables(T: dict[str, DataFrame], database: str, buckets: int | None = None,
+                 fmt: str = "parquet") -> None:
+    """Save the base tables as catalog tables; with ``buckets`` the fact tables
+    are bucketed and sorted on their join keys (``BUCKET_KEYS``)."""
+    spark = next(iter(T.values())).sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, df in T.items():
+        w = df.write.mode("overwrite").format(fmt)
+        if buckets and name in BUCKET_KEYS:
+            w = w.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
+        w.saveAsTable(f"{database}.{name}")
+
+
 def load_catalog_tables(spark: SparkSession, database: str | None = None, tables=BASE_TABLES,
                         typed: bool = True) -> dict[str, DataFrame]:
     """Same as ``load_tables`` for tables registered in the session catalog

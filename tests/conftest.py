@@ -16,7 +16,8 @@ SF001 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerloom.session import build_session
-    s = build_session("local[*]", 8)
+    s = build_session("local[*]", 8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="ll-test-wh-")})
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ll-test-ckpt-"))
     yield s

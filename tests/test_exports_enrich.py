@@ -172,3 +172,28 @@ def test_catalog_tables(spark, T1):
     T1["sale_order"].createOrReplaceTempView("sale_order")
     S = load_catalog_tables(spark, tables=("sale_order",))
     assert S["sale_order"].count() == T1["sale_order"].count()
+
+
+def test_bucketed_tables_join_without_shuffle(spark, T1):
+    from ledgerloom.plans.common import valid_orders
+    from ledgerloom.sources.tables import load_catalog_tables, store_tables
+    names = ("sale_order", "sale_order_line", "account_move", "account_move_line")
+    store_tables({n: T1[n] for n in names}, "erp_bucketed", buckets=4)
+    S = load_catalog_tables(spark, "erp_bucketed", tables=names)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = S["sale_order_line"].select("order_id", "price_subtotal").join(valid_orders(S), "order_id")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        aml = S["account_move_line"].join(S["account_move"].withColumnRenamed("id", "move_id"), "move_id")
+        assert "Exchange" not in aml._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == T1["sale_order_line"].join(valid_orders(T1), "order_id").count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
