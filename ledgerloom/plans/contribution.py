@@ -2,9 +2,10 @@
 day, with each category's share of the day's sales.
 
 Plan: order lines join valid orders (shuffle on order id, or broadcast when AQE
-sees a small side), product -> category map joined by product id, one partial
-+ final aggregation on (category, day); the per-day total is a window over that
-small aggregate instead of a second aggregation joined back.
+sees a small side) and are summed per (product, day); the product -> category
+map meets only that aggregate, then (category, day) is aggregated; the per-day
+total is a window over that small aggregate instead of a second aggregation
+joined back.
 """
 
 from __future__ import annotations

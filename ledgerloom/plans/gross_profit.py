@@ -2,11 +2,13 @@
 valued with the previous calendar month's invoiced margin of the category.
 
 Plan shape:
-* daily sales: lines join valid orders, product -> category map, one partial +
-  final aggregation on (category, day);
+* daily sales: lines join valid orders and are summed per (product, day)
+  (partial + final aggregation), then the product -> category map is joined to
+  that aggregate and a second, small aggregation gives (category, day);
 * monthly margin: posted customer-invoice lines join the line/invoice junction
-  and the order line, aggregated on (category, month) -- a table bounded by
-  categories x months, which AQE broadcasts into the two lookups;
+  and the order line, summed per (product, month) with the cost fallback split
+  exactly, then per (category, month) -- a table bounded by categories x
+  months, which AQE broadcasts into the two lookups;
 * the grid: distinct valid order dates (bounded by the calendar) x the
   category dimension (bounded, size-checked broadcast).  It is the report's
   defined grain, not an intermediate blow-up: its size equals the output.
