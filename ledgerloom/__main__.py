@@ -50,7 +50,7 @@ def main(argv=None) -> None:
     spark = build_session(a.master)
     if a.tables:
         from .sources.tables import load_tables
-        T = load_tables(spark, a.tables)
+        T = load_tables(spark, a.tables, validate=True)
     else:
         from .sources.fixtures import derive
         T = derive(spark, a.driver_sf)

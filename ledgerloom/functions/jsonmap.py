@@ -23,3 +23,12 @@ def json_first_value(c: Column | str) -> Column:
 def json_value(c: Column | str, key: str) -> Column:
     """Value of ``key`` in a JSON object (any key text, including digits)."""
     return F.from_json(as_col(c), "map<string,string>")[key]
+
+
+def json_has_duplicate_keys(c: Column | str) -> Column:
+    """True when a JSON object text repeats a key.  jsonb cannot hold one (it
+    keeps the last value) while ``from_json`` keeps every entry, so such text
+    is rejected as bad input instead of silently picking a different value."""
+    c = as_col(c)
+    keys = F.map_keys(F.from_json(c, "map<string,string>"))
+    return c.startswith("{") & (F.size(keys) != F.size(F.array_distinct(keys)))

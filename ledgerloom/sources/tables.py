@@ -64,15 +64,36 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
+# Text columns holding JSON objects (jsonb in the source system).
+JSON_COLUMNS = {"product_product": ("standard_price",), "product_template": ("name",),
+                "account_incoterms": ("name",)}
+
+
+def reject_duplicate_json_keys(T: dict[str, DataFrame]) -> None:
+    """Raise when a JSON column repeats a key in some row (one distributed
+    count per JSON column; only the counts reach the driver)."""
+    from ..functions.jsonmap import json_has_duplicate_keys
+    for table, cols in JSON_COLUMNS.items():
+        if table not in T:
+            continue
+        for col in cols:
+            n = T[table].where(json_has_duplicate_keys(col)).count()
+            if n:
+                raise ValueError(f"{table}.{col}: {n} JSON value(s) repeat a key")
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                tables=BASE_TABLES, typed: bool = True) -> dict[str, DataFrame]:
+                tables=BASE_TABLES, typed: bool = True, validate: bool = False) -> dict[str, DataFrame]:
     """Scan stored ERP tables ``{path}/{table}`` and conform them to the
     declared schemas (column pruning and filter pushdown still reach the scan:
-    the casts are no-ops on already-typed columns)."""
+    the casts are no-ops on already-typed columns).  ``validate`` rejects JSON
+    values with repeated keys."""
     out = {}
     for t in tables:
         df = spark.read.format(fmt).load(f"{path}/{t}")
         out[t] = conform(df, t) if typed and t in SCHEMAS else df
+    if validate:
+        reject_duplicate_json_keys(out)
     return out
 
 

@@ -197,3 +197,12 @@ def test_bucketed_tables_join_without_shuffle(spark, T1):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_duplicate_json_keys_rejected(spark, T1):
+    from ledgerloom.sources.tables import reject_duplicate_json_keys
+    reject_duplicate_json_keys(T1)  # the derived tables are clean
+    bad = spark.createDataFrame([(1, 1, "P1", '{"2": 1, "2": 3}'), (2, 2, None, "plain")],
+                                "id long, product_tmpl_id long, default_code string, standard_price string")
+    with pytest.raises(ValueError, match="repeat a key"):
+        reject_duplicate_json_keys({"product_product": bad})
