@@ -10,7 +10,7 @@ Plan shape:
   exactly, then per (category, month) -- a table bounded by categories x
   months, which AQE broadcasts into the two lookups;
 * the grid: distinct valid order dates (bounded by the calendar) x the
-  category dimension (bounded, size-checked broadcast).  It is the report's
+  category dimension (broadcast by the planner's size check).  It is the report's
   defined grain, not an intermediate blow-up: its size equals the output.
 
 Faithful quirks: uncategorised sales never reach the grid (its NULL key does
@@ -29,7 +29,6 @@ from ..functions.dates import month_start
 from ..functions.jsonmap import json_first_value
 from ..functions.literal import literal_table
 from ..functions.money import COST, TOTAL, TOTAL_COST, dbl, out, out_product, safe_ratio
-from ..operators.joins import bounded_broadcast
 from ..operators.row_id import dense_row_id
 from .common import (CUSTOMER_INVOICE, POSTED, UNCATEGORIZED, Tables, category_label,
                      product_categories, valid_orders)
@@ -127,10 +126,11 @@ def category_date_spine(T: Tables, date_from=None, date_to=None, custom_date: bo
     """Every category x every valid order date, with its month.
 
     Both inputs are dimensions (categories; calendar days), so the grid is
-    bounded by |categories| x |days| whatever the fact volume.  The category
-    side is broadcast after a bounded row count; past the bound Spark runs a
-    partitioned Cartesian product instead."""
-    cats = bounded_broadcast(category_dim(T))
+    bounded by |categories| x |days| whatever the fact volume.  The planner
+    broadcasts the category side only when its size (estimated, then measured
+    by AQE) is under the broadcast threshold; past it Spark runs a partitioned
+    Cartesian product instead."""
+    cats = category_dim(T)
     dates = order_dates(T, date_from, date_to, custom_date)
     return (dates.crossJoin(cats)
             .select("category_items", "categ_id", "so_date", month_start("so_date").alias("so_month")))
