@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import os
 import tempfile
-from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from ledgerloom.plans import enrich, exports, order_to_cash
 from ledgerloom.sources import sinks
 from ledgerloom.sources.tables import has_column, load_tables
 
-from test_reports import TS, line  # noqa: F401  (shared fixtures)
+from test_reports import TS  # noqa: F401  (shared fixtures)
 from test_reports import o2c_case, sales_case  # noqa: F401
 
 
