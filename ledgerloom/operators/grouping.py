@@ -74,7 +74,9 @@ def pivot_wide(df: DataFrame, row: str, col: Column, measure: str, values: list)
     """Wide pivot for a known, bounded list of column values (e.g. the months
     of a period).  Passing ``values`` avoids a distinct-values job and bounds
     the column count."""
-    return df.groupBy(row).pivot(col, values).agg(F.sum(F.col(measure).cast(MEASURE_SUM)).cast("double"))
+    keyed = df.withColumn("_pivot_key", col)
+    return (keyed.groupBy(row).pivot("_pivot_key", values)
+            .agg(F.sum(F.col(measure).cast(MEASURE_SUM)).cast("double")))
 
 
 def chart_data(df: DataFrame, by: Column, measure: str) -> DataFrame:

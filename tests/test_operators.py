@@ -94,3 +94,12 @@ def test_read_records_keeps_order_and_missing_ids(spark):
     assert [r["id"] for r in got] == [2, 9, 1]
     assert got[0]["ref"] is None and got[1]["name"] is None
     assert got[2]["ref"]["id"] == 10 and got[2]["ref"]["display_name"] == "Ten"
+
+
+def test_pivot_wide_known_values(spark):
+    df = spark.createDataFrame([("a", dt.date(1998, 6, 3), 1.5), ("a", dt.date(1998, 7, 3), 2.25),
+                                ("b", dt.date(1998, 6, 9), 4.0)], "k string, d date, m double")
+    months = [dt.date(1998, 6, 1), dt.date(1998, 7, 1)]
+    got = {r["k"]: tuple(r[1:]) for r in
+           grouping.pivot_wide(df, "k", F.trunc("d", "MM"), "m", months).collect()}
+    assert got == {"a": (1.5, 2.25), "b": (4.0, None)}

@@ -234,3 +234,19 @@ def test_report_ids_follow_report_order(tiny, sales_case):
     assert [r["id"] for r in sc_rows] == list(range(1, len(sc_rows) + 1))
     assert [(-r["so_date"].toordinal(), -r["sales_amount"]) for r in sc_rows] == \
         sorted((-r["so_date"].toordinal(), -r["sales_amount"]) for r in sc_rows)
+
+
+def test_default_report_plans_never_gather_into_one_partition(T1):
+    """No single-partition exchange (global window / sort) in the default
+    report paths, and no nested-loop join outside the Gross Profit grid."""
+    for build in (lambda: gross_profit.gross_profit(T1), lambda: contribution.sales_contribution(T1),
+                  lambda: order_to_cash.order_to_cash(T1)):
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+    plan = order_to_cash.order_to_cash(T1)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    # the only nested loop allowed is a keyless existence check against a constant
+    # one-row table (the optimizer folds the literal account type into the scan filter)
+    for line in plan.splitlines():
+        if "NestedLoopJoin" in line:
+            assert "LeftSemi" in line
