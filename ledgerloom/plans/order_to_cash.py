@@ -100,7 +100,7 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
     moves = (sm.where(F.col("sale_line_id").isNotNull() & (F.col("state") == DONE))
              .select(F.col("id").alias("move_id"), F.col("sale_line_id").alias("so_line_id"),
                      "picking_id", F.col("product_id").alias("move_product_id"),
-                     bundle.alias("bundle_line_id"), line_type(sm).alias("line_type")))
+                     bundle.alias("bundle_line_id")))
     if lines is not None:  # only moves of these lines (``so_line_id`` column)
         moves = moves.join(lines.select("so_line_id"), "so_line_id", "left_semi")
     elif check_lines:
@@ -110,8 +110,12 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
     per_move = (T["stock_move_line"].groupBy("move_id")
                 .agg(F.sum(F.coalesce(F.col("quantity"), F.lit(0).cast(MONEY))).alias("qty")))
     keyed = (moves.join(per_move, "move_id")
-             .groupBy("so_line_id", "picking_id", "move_product_id", "bundle_line_id", "line_type")
+             .groupBy("so_line_id", "picking_id", "move_product_id", "bundle_line_id")
              .agg(F.sum("qty").cast(TOTAL).alias("total_delivered_qty")))
+    # the label follows from the bundle line (a grouping key), so it is not one itself
+    label = (F.when(F.col("bundle_line_id").isNotNull(), F.lit(BUNDLE)).otherwise(F.lit(STANDARD))
+             if has_bundle else F.lit(STANDARD))
+    keyed = keyed.withColumn("line_type", label)
     spt = (T["stock_picking_type"].where(F.col("code") == OUTGOING)
            .select(F.col("id").alias("picking_type_id"), "warehouse_id"))
     wh = T["stock_warehouse"].select(F.col("id").alias("warehouse_id"), F.col("name").alias("branch_name"))
