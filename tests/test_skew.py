@@ -41,3 +41,15 @@ def test_hot_order_same_results(spark, T1):
                   lambda: gross_profit.daily_category_sales(T),
                   lambda: order_to_cash.order_to_cash(T)):
         assert _run(spark, FORCE_SKEW, build) == _run(spark, NO_AQE, build)
+
+
+def test_hot_receivable_line_same_results(spark, T1):
+    """One invoice's receivable line reconciled against a third of all payments."""
+    hot = T1["account_partial_reconcile"].agg(F.min("debit_move_id")).first()[0]
+    T = dict(T1)
+    rec = T1["account_partial_reconcile"]
+    T["account_partial_reconcile"] = rec.withColumn(
+        "debit_move_id", F.when(F.abs(F.col("credit_move_id")) % 3 == 0, F.lit(hot))
+        .otherwise(F.col("debit_move_id")))
+    build = lambda: order_to_cash.first_payment(T, states=("draft", "posted"))
+    assert _run(spark, FORCE_SKEW, build) == _run(spark, NO_AQE, build)
