@@ -21,7 +21,7 @@ REPORTS = {
     "gross_profit": (gross_profit.gross_profit, gross_profit.report_order, [], ["so_month"]),
     "order_to_cash": (lambda T, lo, hi: order_to_cash.order_to_cash(T, lo, hi, keep_keys=True),
                       order_to_cash.report_order, order_to_cash.HIDDEN_KEYS, []),
-    "sales_contribution": (contribution.sales_contribution, contribution.report_order, [], ["so_month"]),
+    "sales_contribution": (contribution.sales_contribution, contribution.sink_order, [], ["so_month"]),
 }
 
 

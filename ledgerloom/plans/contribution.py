@@ -77,5 +77,12 @@ def sales_contribution(T: Tables, date_from=None, date_to=None, with_id: bool =
 
 
 def report_order():
+    """Row-id order: the report's own ordering (day desc, sales desc) with tie-breakers."""
     return [F.col("so_date").desc_nulls_first(), F.col("sales_amount").desc_nulls_first(),
             F.col("category").asc_nulls_last(), F.col("categ_id").asc_nulls_last()]
+
+
+def sink_order():
+    """Default record order of the report (day desc, category) with a tie-breaker."""
+    return [F.col("so_date").desc_nulls_first(), F.col("category").asc_nulls_last(),
+            F.col("categ_id").asc_nulls_last()]

@@ -410,7 +410,7 @@ def _sink_roundtrip(T):
     spark = T["sale_order"].sparkSession
     path = shared_output_dir(spark)
     write_report(sc.sales_contribution(T), path, "parquet", partition_by=["so_month"],
-                 order=sc.report_order())
+                 order=sc.sink_order())
     return read_report(spark, path, "parquet").select(*sc.COLUMNS)
 
 
