@@ -240,8 +240,11 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
         inv = line_invoices(T, scope).withColumnRenamed("so_line_id", "line_id")
         pay = first_payment(T, payment_states, inv if windowed else None) \
             .withColumnRenamed("invoice_id", "pay_invoice_id")
-        x = (x.join(inv, "line_id", "left")
-             .join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left"))
+        # payments go onto the (line, invoice) table first, so the wide exploded
+        # rows meet invoices and payments in one join on line_id and are never
+        # re-shuffled by invoice id
+        inv_pay = inv.join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left")
+        x = x.join(inv_pay, "line_id", "left")
     else:
         x = x.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("invoice_id", "long"), ("invoice_number", "string"), ("invoice_date", "date"),
