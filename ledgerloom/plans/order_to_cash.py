@@ -88,12 +88,15 @@ def line_type(sm: DataFrame) -> Column:
     return F.lit(STANDARD)
 
 
-def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = None) -> DataFrame:
+def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = None,
+               with_receiver: bool = False) -> DataFrame:
     """C4: delivered quantity per (order line, done outgoing picking, moved
     product[, bundle line]) with the picking's text fields.
 
     ``check_lines`` keeps only moves whose sale line exists (the reference's
-    inner join); the lifecycle join does that itself and passes False."""
+    inner join); the lifecycle join does that itself and passes False.
+    ``with_receiver`` adds the picking partner's name, looked up once per
+    picking rather than once per delivered row."""
     sm = T["stock_move"]
     has_bundle = "sale_bundle_line_id" in sm.columns
     bundle = F.col("sale_bundle_line_id") if has_bundle else F.lit(None).cast("long")
@@ -127,6 +130,9 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
                      F.to_date("date_done").alias("delivery_date"),
                      F.col("state").alias("delivery_status"),
                      strip_html("note").alias("shipping_note"), "branch_name"))
+    if with_receiver:
+        picks = picks.join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left") \
+            .drop("rk_id")
     pp = T["product_product"].select(F.col("id").alias("move_product_id"),
                                      F.col("default_code").alias("move_product_code"),
                                      F.col("product_tmpl_id").alias("tmpl_id"))
@@ -233,8 +239,8 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
     # optimizer cannot push through by itself); without one, no extra join.
     scope = (lines.join(header.select("order_id"), "order_id", "left_semi")
              .select(F.col("line_id").alias("so_line_id"))) if windowed else None
-    dd = (deliveries(T, check_lines=False, lines=scope).withColumnRenamed("so_line_id", "line_id")
-          .join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left"))
+    dd = deliveries(T, check_lines=False, lines=scope, with_receiver=True) \
+        .withColumnRenamed("so_line_id", "line_id")
     x = lines.join(header, "order_id").join(dd, "line_id")
     if with_invoices:
         inv = line_invoices(T, scope).withColumnRenamed("so_line_id", "line_id")
