@@ -85,20 +85,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = pow(0x9E3779B97F4A7C15 | 1, 1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse, as far as needed so far
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, b, np.uint64)
+            p[0] = 1
+            _POWERS[i] = np.multiply.accumulate(p)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [lo, hi): a polynomial over prefix sums, made independent of
     the place by the inverse power, then mixed with the length."""
     n = len(data)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=prefix[1:])
-    inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
     return mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
