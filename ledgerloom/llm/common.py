@@ -30,6 +30,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_id(*cols: Column | str, seed: int) -> Column:
     """A seeded 64-bit hash; nulls count as a value of their own."""
     return F.xxhash64(F.lit(seed), *cols)
