@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets, sharding, simhash
+from . import mixing, packing, quality, secrets, sharding, simhash
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_secret_scan": lambda spark, d: secrets.op3(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality.op4(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_external_shuffle": lambda spark, d: sharding.op5(table(spark, d, "documents")),
+    "op6_pack_sequences": lambda spark, d: packing.op6(table(spark, d, "documents")),
     "op8_simhash_groups": lambda spark, d: simhash.op8(table(spark, d, "documents")),
 }
 
