@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets, sharding, simhash
+from . import mixing, packing, pii, quality, secrets, sharding, simhash
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ QUERIES: dict[str, QueryFn] = {
     "op5_external_shuffle": lambda spark, d: sharding.op5(table(spark, d, "documents")),
     "op6_pack_sequences": lambda spark, d: packing.op6(table(spark, d, "documents")),
     "op8_simhash_groups": lambda spark, d: simhash.op8(table(spark, d, "documents")),
+    "op10_surrogates": lambda spark, d: pii.op10(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
