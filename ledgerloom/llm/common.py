@@ -115,3 +115,38 @@ def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], out=prefix[1:])
     return mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+    pid, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def packet() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for part in held:
+                writer.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                          names=["block", "payload"])
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            held.append(part)
+            size += part.nbytes
+            if size >= most:
+                yield packet()
+                made, held, size = made + 1, [], 0
+    if held:
+        yield packet()
+
+
+def packets(df: DataFrame, name: str, most: int = 32 << 20) -> DataFrame:
+    """The rows of ``df`` (it has a column ``text``) in blocks of about ``most`` bytes, each a compressed Arrow
+    stream, written once: ``block`` (a stable number), ``payload``.  Blocks follow the scan, so no text is
+    shuffled to make them."""
+    return staged(df.mapInArrow(lambda batches: _packed(batches, most), "block long, payload binary"), name)
+
+
+def opened(payload: pa.Scalar | bytes) -> Iterator[pa.RecordBatch]:
+    """The parts of a packet, each of a few MB of text or one longer row."""
+    yield from pa.ipc.open_stream(payload.as_buffer() if isinstance(payload, pa.Scalar) else payload)

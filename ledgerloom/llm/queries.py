@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, pii, quality, secrets, sharding, simhash
+from . import mixing, neighbours, packing, pii, ppm, quality, secrets, sharding, simhash
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, QueryFn] = {
     "op4_quality_rules": lambda spark, d: quality.op4(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_external_shuffle": lambda spark, d: sharding.op5(table(spark, d, "documents")),
     "op6_pack_sequences": lambda spark, d: packing.op6(table(spark, d, "documents")),
+    "op7_ppm_scores": lambda spark, d: ppm.op7(table(spark, d, "documents")),
     "op8_simhash_groups": lambda spark, d: simhash.op8(table(spark, d, "documents")),
     "op9_hilbert_neighbours": lambda spark, d: neighbours.op9(table(spark, d, "embeddings")),
     "op10_surrogates": lambda spark, d: pii.op10(table(spark, d, "documents")),
