@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,7 @@ def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], most: int, dress) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     pid, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -126,12 +127,12 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             for part in held:
                 writer.write_batch(part)
-        return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                                          names=["block", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([(pid << 32) + made], pa.int64()), pa.array([size], pa.int64()),
+                                           pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "payload"])
 
     for batch in batches:
         for part in slices(batch, "text"):
-            held.append(part)
+            held.append(dress(part) if dress else part)
             size += part.nbytes
             if size >= most:
                 yield packet()
@@ -140,11 +141,11 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield packet()
 
 
-def packets(df: DataFrame, name: str, most: int = 32 << 20) -> DataFrame:
+def packets(df: DataFrame, name: str, most: int = 32 << 20, dress=None) -> DataFrame:
     """The rows of ``df`` (it has a column ``text``) in blocks of about ``most`` bytes, each a compressed Arrow
-    stream, written once: ``block`` (a stable number), ``payload``.  Blocks follow the scan, so no text is
-    shuffled to make them."""
-    return staged(df.mapInArrow(lambda batches: _packed(batches, most), "block long, payload binary"), name)
+    stream, written once: ``block`` (a stable number), ``size`` (bytes), ``payload``.  Blocks follow the scan, so
+    no text is shuffled to make them.  ``dress`` may add columns to each part."""
+    return staged(df.mapInArrow(partial(_packed, most=most, dress=dress), "block long, size long, payload binary"), name)
 
 
 def opened(payload: pa.Scalar | bytes) -> Iterator[pa.RecordBatch]:

@@ -177,7 +177,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
     """``doc_id``, ``held_out``, token counts, ``base_score`` and ``score``; ``train`` marks the training rows."""
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = packets(own, "ppm-blocks")
+    blocks = packets(own, "ppm-blocks").select("block", "payload")
     rows = staged(blocks.mapInArrow(_vocabulary, "block long, kind byte, key long, n long"), "ppm-vocabulary")
     total = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     total = staged(total, "ppm-counts")

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, pii, ppm, quality, secrets, sharding, simhash
+from . import mixing, neighbours, packing, pii, ppm, quality, secrets, sharding, simhash, suffixes
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {
     "op1_mix_sources": lambda spark, d: mixing.op1(table(spark, d, "documents")),
+    "op2_repeated_passages": lambda spark, d: suffixes.op2(table(spark, d, "documents")),
     "op3_secret_scan": lambda spark, d: secrets.op3(table(spark, d, "documents")),
     "op4_quality_rules": lambda spark, d: quality.op4(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_external_shuffle": lambda spark, d: sharding.op5(table(spark, d, "documents")),
