@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import free, slices, staged
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
-BLOCK = 256  # fingerprints of a cell that one block holds
+BLOCK = 1024  # fingerprints of a cell that one block holds
 EVEN = 0x5555555555555555  # fixed value: the low bit of every two-bit segment
 SMALL = 1 << 15
 
