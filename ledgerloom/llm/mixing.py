@@ -22,46 +22,51 @@ from pyspark.sql import functions as F
 from ..operators.row_id import dense_row_id
 from .common import WORD, hash_id, staged
 
-DP_BUDGET = 4096  # words that the dynamic programme settles; longer rests are first filled largest first
+DP_BUDGET, DP_WORK = 4096, 100_000_000  # words that the dynamic programme settles at least; its work for few lengths
 HASH_CELLS = 1024  # cells of the hash order of a (source, length) group
 
 
 def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each (distinct, positive) length to take so that the lengths' sum comes as
-    near below ``budget`` as the programme finds.  Never more than ``counts``."""
+    near to ``budget`` as the programme finds.  Never more than ``counts``."""
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return take
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # down to a rest that the programme can settle
-        if rest <= DP_BUDGET:
-            break
-        more = min(int(counts[i] - take[i]), (rest - DP_BUDGET) // int(lengths[i]) + 1, rest // int(lengths[i]))
-        take[i] += more
-        rest -= more * int(lengths[i])
-    fits = np.flatnonzero((lengths <= rest) & (take < counts))
+    limit = max(DP_BUDGET, min(1 << 22, DP_WORK // len(lengths)))  # words that the programme settles
+    rest = budget
+    if rest > limit:  # the same share of every length, then the longest that fit
+        take = np.array([int(c) * budget // total for c in counts], np.int64)
+        rest = budget - int((lengths * take).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= limit:
+                break
+            more = min(int(counts[i] - take[i]), (rest - limit) // int(lengths[i]) + 1, rest // int(lengths[i]))
+            take[i] += more
+            rest -= more * int(lengths[i])
+    over = rest + min(rest, DP_BUDGET)  # sums above the rest may come nearer
+    fits = np.flatnonzero((lengths <= over) & (take < counts))
     if not len(fits):
         return take
-    # bounded knapsack over the rest, counts split in powers of two: made[s] is the item that first reached s
-    made = np.full(rest + 1, -1, np.int64)
+    # bounded knapsack, counts split in powers of two: made[s] is the item that first reached the sum s
+    made = np.full(over + 1, -1, np.int32)
     made[0] = 0
     items = []
     for i in fits:
-        left, k = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1
+        left, k = min(int(counts[i] - take[i]), over // int(lengths[i])), 1
         while left:
             k = min(k, left)
             size = k * int(lengths[i])
             items.append((i, k, size))
-            new = (made[:rest + 1 - size] >= 0) & (made[size:] < 0)
+            new = (made[:over + 1 - size] >= 0) & (made[size:] < 0)
             made[size:][new] = len(items)
             left, k = left - k, 2 * k
         if made[rest] >= 0:
             break
-    at = int(np.flatnonzero(made >= 0)[-1])
+    reached = np.flatnonzero(made >= 0)
+    at = int(reached[np.argmin(np.abs(reached - rest))])
     while at:
         i, k, size = items[made[at] - 1]
         take[i] += k

@@ -84,7 +84,7 @@ def describe(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     feeds = np.flatnonzero(data == 10)
     line_lo = np.unique(np.concatenate([offsets[:-1], feeds + 1]))
     line_lo = line_lo[line_lo < len(data)]
-    line_hi = np.append(line_lo[1:], len(data))
+    line_hi = np.append(line_lo[1:], len(data))[:len(line_lo)]
     line_hi = line_hi - (data[line_hi - 1] == 10)  # the line feed is no part of the line
     line_hi = np.maximum(line_hi, line_lo)
     first, last = np.searchsorted(lo, line_lo), np.searchsorted(lo, line_hi)
