@@ -23,10 +23,6 @@ def month_start(c: Column | str) -> Column:
     return F.trunc(as_col(c), "MM")
 
 
-def year_start(c: Column | str) -> Column:
-    return F.trunc(as_col(c), "year")
-
-
 def _d(x) -> dt.date:
     return x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x))
 

@@ -1,8 +1,10 @@
 """Numeric conventions shared by every report.
 
-Money and quantities are summed as decimals, so a sum does not depend on how
-rows are spread over partitions; ratios are taken in double at the end and
-guarded (ANSI mode raises on a zero divisor, the reference returns 0).
+Money and quantities are summed as the decimals they are stored as, so a sum does
+not depend on how rows are spread over partitions and keeps every stored digit;
+unit costs are doubles, as stored, and so is what is multiplied by them.  Ratios
+are taken in double at the end and guarded (ANSI mode raises on a zero divisor,
+the reference returns 0).  Nothing is rounded here.
 """
 
 from __future__ import annotations
@@ -10,13 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"          # base money / quantity columns
-COST = "decimal(18,6)"           # unit cost taken from a double or a JSON number
-TOTAL = "decimal(38,2)"          # summed money
-TOTAL_COST = "decimal(38,8)"     # summed quantity x cost
-OUT_DIGITS = 6                   # double outputs are rounded to this many places
-
-
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -26,13 +21,13 @@ def dbl(c: Column | str) -> Column:
 
 
 def out(c: Column | str) -> Column:
-    """Report value: double, rounded so that sums of doubles compare stably."""
-    return F.round(dbl(c), OUT_DIGITS)
+    """Report value: the double of an exact sum."""
+    return dbl(c)
 
 
 def out_product(c: Column) -> Column:
-    """Rounded double of a product; ``+ 0.0`` turns IEEE -0.0 (0 x negative) into 0.0."""
-    return F.round(c, OUT_DIGITS) + F.lit(0.0)
+    """A product; ``+ 0.0`` turns IEEE -0.0 (0 x negative) into 0.0."""
+    return c + F.lit(0.0)
 
 
 def safe_ratio(num: Column | str, den: Column | str) -> Column:

@@ -7,8 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import preset_bounds
-
 
 def _lit_date(x):
     return F.lit(x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x)))
@@ -24,12 +22,6 @@ def date_range(df: DataFrame, col: str, lo=None, hi=None, hi_inclusive: bool = T
     return df
 
 
-def date_preset(df: DataFrame, col: str, name: str, today) -> DataFrame:
-    """today / this_week / this_month / last_month / this_year."""
-    lo, hi, inclusive = preset_bounds(name, today)
-    return date_range(df, col, lo, hi, inclusive)
-
-
 # Status presets of the order-to-cash search view.
 STATUS_PRESETS = {
     "paid": lambda: F.col("payment_state") != "",

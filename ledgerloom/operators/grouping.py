@@ -1,7 +1,7 @@
 """Group-by, footer, pivot and chart-data queries over report DataFrames.
 
-Measures are report doubles rounded to 6 places; they are summed as
-decimal(38,6) so group sums do not depend on partitioning, then shown as double.
+Measures are report doubles; they are summed as decimals of 9 places, so that group
+sums do not depend on partitioning, then shown as double.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEASURE_SUM = "decimal(38,6)"
+MEASURE_SUM = "decimal(38,9)"
 
 # Grains accepted in a group-by spec such as 'po_date:month'.
 GRAINS = {"day": None, "month": "MM", "year": "year"}
@@ -41,16 +41,6 @@ def footer(df: DataFrame, measures: list[str], count: str = "row_count") -> Data
     return df.agg(*[sum_measure(m) for m in measures], F.count(F.lit(1)).alias(count))
 
 
-def group_with_total(df: DataFrame, by: str, measures: list[str], grain: str | None = "day",
-                     name: str | None = None) -> DataFrame:
-    """E6 + E8 in one pass: ``rollup`` gives the group rows and the grand total
-    (key NULL, ``is_total`` = 1)."""
-    key = group_key(by, grain, name)
-    return df.rollup(key).agg(*[sum_measure(m) for m in measures],
-                              F.count(F.lit(1)).alias("row_count"),
-                              F.grouping_id().cast("int").alias("is_total"))
-
-
 def pivot_long(df: DataFrame, row: Column, col: Column, measures: list[str],
                full_cube: bool = True) -> DataFrame:
     """Pivot table in long form -- every (row, column) cell plus row,
@@ -70,15 +60,6 @@ def pivot_rows(df: DataFrame, row: Column, measures: list[str]) -> DataFrame:
                               F.grouping_id().cast("int").alias("grouping_level"))
 
 
-def pivot_wide(df: DataFrame, row: str, col: Column, measure: str, values: list) -> DataFrame:
-    """Wide pivot for a known, bounded list of column values (e.g. the months
-    of a period).  Passing ``values`` avoids a distinct-values job and bounds
-    the column count."""
-    keyed = df.withColumn("_pivot_key", col)
-    return (keyed.groupBy(row).pivot("_pivot_key", values)
-            .agg(F.sum(F.col(measure).cast(MEASURE_SUM)).cast("double")))
-
-
 def chart_data(df: DataFrame, by: Column, measure: str) -> DataFrame:
     """Data behind a bar / line / pie chart: one summed measure per key."""
     return df.groupBy(by).agg(sum_measure(measure))

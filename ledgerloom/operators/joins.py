@@ -1,23 +1,10 @@
-"""Join helpers: size-checked broadcast and the OR-join rewrite."""
+"""Join helper: the OR-join rewrite."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it has at most this many rows.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a bounded count proves it holds at most ``max_rows``
-    rows; otherwise return it unchanged and let the planner (AQE) shuffle.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even when
-    the table turns out to be large."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def symmetric_edges(pairs: DataFrame, a: str, b: str, out_a: str = "src",
                     out_b: str = "dst", drop_self: bool = True) -> DataFrame:

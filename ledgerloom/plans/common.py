@@ -61,3 +61,13 @@ def product_names(T: Tables, lang: str = "en_US") -> DataFrame:
     pt = T["product_template"]
     return pt.select(F.col("id").alias("tmpl_id"),
                      first_nonblank(localized("name", lang), default="").alias("product_name"))
+
+
+def product_dim(T: Tables, prefix: str) -> DataFrame:
+    """``{prefix}_product_id``, ``_code``, ``_name``: built at the product grain, so that
+    a fact table meets one product table, not products and templates in turn."""
+    pp = T["product_product"].select(F.col("id").alias(f"{prefix}_product_id"),
+                                     F.col("default_code").alias(f"{prefix}_product_code"),
+                                     F.col("product_tmpl_id").alias("tmpl_id"))
+    return (pp.join(product_names(T), "tmpl_id", "left").drop("tmpl_id")
+            .withColumnRenamed("product_name", f"{prefix}_product_name"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
-from ..functions.money import COST, TOTAL, TOTAL_COST, out, safe_ratio
+from ..functions.money import dbl, out, safe_ratio
 from ..operators.row_id import dense_row_id
 from .common import Tables, category_label, product_categories, valid_orders
 
@@ -23,30 +23,27 @@ COLUMNS = ["category", "categ_id", "so_date", "so_month", "sales_amount", "cogs"
 
 
 def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
-    """Exact decimal sums per (category id, category name, order date).
+    """Sales (exact) and costs per (category id, category name, order date).
 
     Uses the plain order date (never the custom date) and keeps section/note
     lines; uncategorised sales are kept under categ_id 0."""
     orders = valid_orders(T, date_from, date_to, custom_date=False, date_col="so_date")
     lines = T["sale_order_line"].select(
         "order_id", "product_id", "price_subtotal",
-        (F.col("product_uom_qty") * F.coalesce(F.col("purchase_price"), F.lit(0.0)).cast(COST))
-        .alias("line_cogs"))
+        (dbl("product_uom_qty") * F.coalesce(dbl("purchase_price"), F.lit(0.0))).alias("line_cogs"))
     # sum per (product, day) first (map-side combined), then look up categories
     per_product = (lines.join(orders, "order_id")
                    .groupBy("product_id", "so_date")
                    .agg(F.sum("price_subtotal").alias("sales"), F.sum("line_cogs").alias("cogs")))
     agg = (per_product.join(product_categories(T), "product_id", "left")
            .groupBy("pc_id", "categ_name", "so_date")
-           .agg(F.sum("sales").cast(TOTAL).alias("sales"),
-                F.sum("cogs").cast(TOTAL_COST).alias("cogs_exact")))
+           .agg(F.sum("sales").alias("sales"), F.sum("cogs").alias("cogs")))
     return agg.select(
         category_label("categ_name").alias("category"),
         F.coalesce(F.col("pc_id"), F.lit(0)).cast("long").alias("categ_id"),
         "so_date",
         month_start("so_date").alias("so_month"),
-        "sales", "cogs_exact",
-        (F.col("sales") - F.col("cogs_exact")).alias("gp_exact"))
+        "sales", "cogs", (dbl("sales") - F.col("cogs")).alias("profit"))
 
 
 def with_daily_totals(cs: DataFrame) -> DataFrame:
@@ -66,10 +63,9 @@ def sales_contribution(T: Tables, date_from=None, date_to=None, with_id: bool =
     rep = cs.select(
         "category", "categ_id", "so_date", "so_month",
         out("sales").alias("sales_amount"),
-        out("cogs_exact").alias("cogs"),
-        out("gp_exact").alias("gross_profit"),
-        F.round(safe_ratio("gp_exact", "sales"), 6).alias("margin_percent"),
-        F.round(safe_ratio("sales", day_total), 6).alias("sales_contribution_percent"))
+        "cogs", F.col("profit").alias("gross_profit"),
+        safe_ratio("profit", "sales").alias("margin_percent"),
+        safe_ratio("sales", day_total).alias("sales_contribution_percent"))
     if with_id:
         rep = dense_row_id(rep, report_order())
         rep = rep.select("id", *COLUMNS)

@@ -18,7 +18,7 @@ from ..functions.money import nonzero_ratio
 from ..operators.grouping import MEASURE_SUM
 from .common import Tables
 from .contribution import sales_contribution
-from .gross_profit import gross_profit
+from .gross_profit import daily_category_sales, margin_lookup, monthly_margin
 from .order_to_cash import order_to_cash
 
 REPORT_TYPES = ("gross_profit", "order_to_cash", "sales_contribution", "all")
@@ -38,13 +38,19 @@ def gross_profit_mtd(T: Tables, as_of) -> DataFrame:
     as_of), categories with zero amount and zero qty dropped, GP% weighted by
     amount.  The date window is pushed into the report build."""
     as_of = _d(as_of)
-    rep = gross_profit(T, date_from=as_of.replace(day=1), date_to=as_of)
+    first = as_of.replace(day=1)
+    month_before = (first - dt.timedelta(days=1)).replace(day=1)
+    # the grid's zero rows add nothing to the sums, so the sales are valued directly;
+    # sales without a category never reach the grid and are left out here as well
+    sales = daily_category_sales(T, first, as_of).where(F.col("categ_id").isNotNull())
+    rep = margin_lookup(sales, monthly_margin(T, month_before, month_before), 1, "gp_percent")
+    rep = rep.withColumn("total_gross_profit", F.col("amount").cast("double") * F.col("gp_percent"))
     g = rep.groupBy("category_items").agg(_sum("qty").alias("qty"), _sum("amount").alias("amount"),
                                           _sum("total_gross_profit").alias("total_gross_profit"))
     g = g.where(~((F.col("amount") == 0) & (F.col("qty") == 0)))
     return g.select("category_items", F.col("qty").cast("double").alias("qty"),
                     F.col("amount").cast("double").alias("amount"),
-                    F.round(nonzero_ratio("total_gross_profit", "amount"), 6).alias("gp_percent"),
+                    nonzero_ratio("total_gross_profit", "amount").alias("gp_percent"),
                     F.col("total_gross_profit").cast("double").alias("total_gross_profit"))
 
 
@@ -54,7 +60,7 @@ def gross_profit_total(T: Tables, as_of) -> DataFrame:
     t = m.agg(_sum("amount").alias("amount"), _sum("total_gross_profit").alias("total_gross_profit"))
     return t.select(F.lit(TOTAL_LABEL).alias("category_items"),
                     F.coalesce(F.col("amount"), F.lit(0)).cast("double").alias("amount"),
-                    F.round(nonzero_ratio("total_gross_profit", "amount"), 6).alias("gp_percent"),
+                    nonzero_ratio("total_gross_profit", "amount").alias("gp_percent"),
                     F.coalesce(F.col("total_gross_profit"), F.lit(0)).cast("double")
                     .alias("total_gross_profit"))
 
@@ -68,7 +74,7 @@ def sales_run_rate(T: Tables, as_of) -> DataFrame:
     avg = F.when(day > 0, F.col("amount") / day).otherwise(F.lit(0.0))
     return t.select(F.lit(as_of).alias("as_of_date"), F.col("amount").alias("total_sales"),
                     day.alias("day_of_month"), days.alias("days_in_month"),
-                    F.round(avg, 6).alias("daily_avg"), F.round(avg * days, 6).alias("sales_estimate"))
+                    avg.alias("daily_avg"), (avg * days).alias("sales_estimate"))
 
 
 # Export column names (the sheet's headers in snake case) and order.
@@ -137,7 +143,7 @@ def sales_contribution_total(T: Tables, date_from=None, date_to=None) -> DataFra
                     F.coalesce("s", zero).cast("double").alias("sales_amount"),
                     F.coalesce("c", zero).cast("double").alias("cogs"),
                     F.coalesce("g", zero).cast("double").alias("gross_profit"),
-                    F.round(nonzero_ratio("g", "s"), 6).alias("margin_percent"),
+                    nonzero_ratio("g", "s").alias("margin_percent"),
                     F.lit(1.0).alias("sales_contribution_percent"))
 
 

@@ -7,7 +7,7 @@ Plan shape:
   that aggregate and a second, small aggregation gives (category, day);
 * monthly margin: posted customer-invoice lines join the line/invoice junction
   and the order line, summed per (product, month) with the cost fallback split
-  exactly, then per (category, month) -- a table bounded by categories x
+  off, then per (category, month) -- a table bounded by categories x
   months, which AQE broadcasts into the two lookups;
 * the grid: distinct valid order dates (bounded by the calendar) x the
   category dimension (broadcast by the planner's size check).  It is the report's
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_start
 from ..functions.jsonmap import json_first_value
 from ..functions.literal import literal_table
-from ..functions.money import COST, TOTAL, TOTAL_COST, dbl, out, out_product, safe_ratio
+from ..functions.money import dbl, out, out_product, safe_ratio
 from ..operators.row_id import dense_row_id
 from .common import (CUSTOMER_INVOICE, POSTED, UNCATEGORIZED, Tables, category_label,
                      product_categories, valid_orders)
@@ -67,7 +67,7 @@ def daily_category_sales(T: Tables, date_from=None, date_to=None,
                    .agg(F.sum("product_uom_qty").alias("qty"), F.sum("price_subtotal").alias("amount")))
     agg = (per_product.join(product_categories(T), "product_id", "left")
            .groupBy("pc_id", "categ_name", "so_date")
-           .agg(F.sum("qty").cast(TOTAL).alias("qty"), F.sum("amount").cast(TOTAL).alias("amount")))
+           .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount")))
     return agg.select(category_label("categ_name").alias("category_items"),
                       F.col("pc_id").alias("categ_id"), "so_date",
                       month_start("so_date").alias("so_month"), "qty", "amount")
@@ -80,7 +80,7 @@ def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
 
     Unit cost = non-zero line cost, else the first value of the product's JSON
     cost map (jsonb key order), else 0.  As the fallback price belongs to the
-    product, the cost sum splits exactly into sum(qty x line cost) over lines
+    product, the cost sum splits into sum(qty x line cost) over lines
     with a cost plus price x sum(qty) over the others, so invoice lines are
     summed per (product, month) before the product/category lookup."""
     am = T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
@@ -93,27 +93,28 @@ def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
                                         "quantity", "price_subtotal")
     rel = T["sale_order_line_invoice_rel"].select("invoice_line_id", "order_line_id")
     sol = T["sale_order_line"].select(F.col("id").alias("order_line_id"), "product_id", "purchase_price")
-    line_cost = F.nullif(F.col("purchase_price"), F.lit(0.0)).cast(COST)
+    line_cost = F.nullif(F.col("purchase_price").cast("double"), F.lit(0.0))
+    quantity = dbl("quantity")
     per_product = (aml.join(am, "move_id")
                    .join(rel, "invoice_line_id")
                    .join(sol, "order_line_id")
                    .groupBy("product_id", "inv_month")
                    .agg(F.sum("price_subtotal").alias("revenue"),
-                        F.sum(F.col("quantity") * line_cost).alias("costed"),
-                        F.sum(F.when(line_cost.isNull(), F.col("quantity"))).alias("uncosted_qty")))
+                        F.sum(quantity * line_cost).alias("costed"),
+                        F.sum(F.when(line_cost.isNull(), quantity)).alias("uncosted_qty")))
     prices = T["product_product"].select(F.col("id").alias("product_id"),
-                                         json_first_value("standard_price").cast(COST).alias("price"))
-    cost = (F.coalesce(F.col("costed"), F.lit(0))
-            + F.coalesce(F.col("uncosted_qty") * F.col("price"), F.lit(0)))
+                                         json_first_value("standard_price").cast("double").alias("price"))
+    uncosted = F.col("uncosted_qty") * F.coalesce(F.col("price"), F.lit(0.0))
+    # NULL when every quantity is: the month's ratio is then unknown, not 1
+    cost = F.coalesce(F.col("costed") + uncosted, F.col("costed"), uncosted)
     x = (per_product.join(prices, "product_id", "left")
          .join(product_categories(T), "product_id", "left"))
     agg = x.groupBy("pc_id", "categ_name", "inv_month").agg(
-        F.sum("revenue").cast(TOTAL).alias("revenue"),
-        F.sum(cost).cast(TOTAL_COST).alias("cost"))
+        F.sum("revenue").alias("revenue"), F.sum(cost).alias("cost"))
     return agg.select(
         category_label("categ_name").alias("category_items"),
         F.col("pc_id").alias("categ_id"), "inv_month",
-        safe_ratio(F.col("revenue") - F.col("cost"), "revenue").alias("gp_percent_accounting"))
+        safe_ratio(dbl("revenue") - F.col("cost"), "revenue").alias("gp_percent_accounting"))
 
 
 def order_dates(T: Tables, date_from=None, date_to=None, custom_date: bool = True) -> DataFrame:
@@ -145,7 +146,7 @@ def _same_category(a: str, b: str) -> F.Column:
 def spine_fill(spine: DataFrame, sales: DataFrame) -> DataFrame:
     """Grid LEFT JOIN daily sales on (name, id, date); missing -> 0."""
     s, d = spine.alias("s"), sales.alias("d")
-    zero = F.lit(0).cast(TOTAL)
+    zero = F.lit(0)
     return (s.join(d, _same_category("s", "d") & (F.col("s.so_date") == F.col("d.so_date")), "left")
             .select("s.*", F.coalesce(F.col("d.qty"), zero).alias("qty"),
                     F.coalesce(F.col("d.amount"), zero).alias("amount")))
@@ -179,9 +180,9 @@ def gross_profit(T: Tables, date_from=None, date_to=None, with_id: bool = False,
         "category_items", "categ_id", "so_date", "so_month",
         out("qty").alias("qty"),
         out("amount").alias("amount"),
-        F.round("gp_prev", 6).alias("gp_percent"),
+        F.col("gp_prev").alias("gp_percent"),
         out_product(dbl("amount") * F.col("gp_prev")).alias("total_gross_profit"),
-        F.round("gp_curr", 6).alias("gp_percent_current_month"))
+        F.col("gp_curr").alias("gp_percent_current_month"))
     if with_id:
         rep = dense_row_id(rep, report_order()).select("id", *COLUMNS)
     return rep

@@ -11,7 +11,9 @@ Plan shape (every wide input is aggregated on its own key before the wide join):
   as a two-way edge list and plain equi-joins, aggregated per invoice;
 * the lifecycle join: lines -> valid orders -> deliveries (inner), then the
   dimensions and the invoice / payment tables (left).  Keyed joins only; AQE
-  turns the small sides into broadcasts and splits skewed keys.
+  turns the small sides into broadcasts and splits skewed keys;
+* ``columns`` names the report columns wanted, and only the lookups those need
+  are planned; the lines of a date window are found before any lookup.
 
 The line's money repeats on every row (the grain is lines x deliveries x
 invoices); that is the report's definition and is kept.
@@ -23,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import effective_order_date, order_date_window
-from ..functions.money import MONEY, TOTAL, out
+from ..functions.money import out
 from ..functions.text import first_nonblank, localized, strip_html
 from ..operators.filters import date_range
 from ..operators.joins import symmetric_edges
 from ..operators.row_id import dense_row_id
-from .common import CUSTOMER_INVOICE, POSTED, RECEIVABLE, VALID_ORDER_STATES, Tables, product_names
+from .common import (CUSTOMER_INVOICE, POSTED, RECEIVABLE, VALID_ORDER_STATES, Tables, product_dim,
+                     valid_orders)
 
 # move/picking states and picking type of a delivery; bundle labels.
 DONE = "done"
@@ -36,6 +39,7 @@ OUTGOING = "outgoing"
 BUNDLE, STANDARD = "Bundle", "Standard"
 DEFAULT_BRANCH = "Stock"
 
+# The report's columns, in order, and the keys it hides.
 COLUMNS = ["order_id", "so_number", "po_date", "partner_id", "customer", "company_name",
            "customer_po_number", "salesperson", "product_code", "product_name", "bundle_name",
            "line_type", "qty", "price_unit", "subtotal", "tax_amount", "total_amount",
@@ -43,6 +47,9 @@ COLUMNS = ["order_id", "so_number", "po_date", "partner_id", "customer", "compan
            "delivered_qty", "branch_delivery", "receiver", "delivery_address", "franco", "incoterm",
            "incoterm_location", "shipping_note", "invoice_status", "invoice_id", "invoice_number",
            "invoice_date", "payment_date", "payment_state"]
+HEADER_COLUMNS = ["so_number", "po_date", "partner_id", "customer", "company_name", "customer_po_number",
+                  "salesperson", "so_delivery_date", "receiver_fallback", "delivery_address", "franco",
+                  "incoterm", "incoterm_location", "invoice_status"]
 HIDDEN_KEYS = ["line_id", "move_product_id", "bundle_line_id", "sequence"]
 
 
@@ -59,10 +66,9 @@ def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,),
     """Earliest payment date and the distinct payment states (', '-joined,
     sorted) per invoice, over reconciliations in either direction.
 
-    ``aml_inv JOIN apr ON apr.debit = inv.id OR apr.credit = inv.id JOIN aml_pay
-    ON (apr.credit = pay.id OR apr.debit = pay.id) AND inv.id <> pay.id`` equals
-    a join over the directed edges (debit->credit, credit->debit) minus self
-    edges, which plans as hash joins instead of a nested loop."""
+    A reconciliation names two journal lines in two columns, and either may be the
+    invoice's.  Read as directed edges in both directions, without edges from a line
+    to itself, it plans as hash joins instead of a nested loop over an OR."""
     edges = symmetric_edges(T["account_partial_reconcile"], "debit_move_id", "credit_move_id",
                             "inv_line_id", "pay_line_id")
     inv = receivable_lines(T).select(F.col("id").alias("inv_line_id"), F.col("move_id").alias("invoice_id"))
@@ -89,14 +95,15 @@ def line_type(sm: DataFrame) -> Column:
 
 
 def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = None,
-               with_receiver: bool = False) -> DataFrame:
+               with_receiver: bool = False, with_branch: bool = True, with_product: bool = True) -> DataFrame:
     """C4: delivered quantity per (order line, done outgoing picking, moved
     product[, bundle line]) with the picking's text fields.
 
     ``check_lines`` keeps only moves whose sale line exists (the reference's
     inner join); the lifecycle join does that itself and passes False.
     ``with_receiver`` adds the picking partner's name, looked up once per
-    picking rather than once per delivered row."""
+    picking rather than once per delivered row; ``with_branch`` and
+    ``with_product`` leave out the warehouse and product lookups."""
     sm = T["stock_move"]
     has_bundle = "sale_bundle_line_id" in sm.columns
     bundle = F.col("sale_bundle_line_id") if has_bundle else F.lit(None).cast("long")
@@ -111,10 +118,10 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
                            "so_line_id", "left_semi")
     # inner join to move lines: a move without move lines delivers nothing
     per_move = (T["stock_move_line"].groupBy("move_id")
-                .agg(F.sum(F.coalesce(F.col("quantity"), F.lit(0).cast(MONEY))).alias("qty")))
+                .agg(F.sum(F.coalesce(F.col("quantity"), F.lit(0))).alias("qty")))
     keyed = (moves.join(per_move, "move_id")
              .groupBy("so_line_id", "picking_id", "move_product_id", "bundle_line_id")
-             .agg(F.sum("qty").cast(TOTAL).alias("total_delivered_qty")))
+             .agg(F.sum("qty").alias("total_delivered_qty")))
     # the label follows from the bundle line (a grouping key), so it is not one itself
     label = (F.when(F.col("bundle_line_id").isNotNull(), F.lit(BUNDLE)).otherwise(F.lit(STANDARD))
              if has_bundle else F.lit(STANDARD))
@@ -122,25 +129,20 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
     spt = (T["stock_picking_type"].where(F.col("code") == OUTGOING)
            .select(F.col("id").alias("picking_type_id"), "warehouse_id"))
     wh = T["stock_warehouse"].select(F.col("id").alias("warehouse_id"), F.col("name").alias("branch_name"))
-    picks = (T["stock_picking"].where(F.col("state") == DONE)
-             .join(spt, "picking_type_id")
-             .join(wh, "warehouse_id", "left")
+    picks = T["stock_picking"].where(F.col("state") == DONE).join(spt, "picking_type_id")
+    if with_branch:
+        picks = picks.join(wh, "warehouse_id", "left")
+    picks = (picks
              .select(F.col("id").alias("picking_id"), F.col("partner_id").alias("picking_partner_id"),
                      F.col("name").alias("delivery_number"),
                      F.to_date("date_done").alias("delivery_date"),
                      F.col("state").alias("delivery_status"),
-                     strip_html("note").alias("shipping_note"), "branch_name"))
+                     strip_html("note").alias("shipping_note"), *(["branch_name"] if with_branch else [])))
     if with_receiver:
         picks = picks.join(_partner(T, "rk"), F.col("picking_partner_id") == F.col("rk_id"), "left") \
             .drop("rk_id")
-    pp = T["product_product"].select(F.col("id").alias("move_product_id"),
-                                     F.col("default_code").alias("move_product_code"),
-                                     F.col("product_tmpl_id").alias("tmpl_id"))
-    names = product_names(T).withColumnRenamed("product_name", "move_product_name")
-    return (keyed.join(picks, "picking_id")
-            .join(pp, "move_product_id", "left")
-            .join(names, "tmpl_id", "left")
-            .drop("tmpl_id"))
+    delivered = keyed.join(picks, "picking_id")
+    return delivered.join(product_dim(T, "move"), "move_product_id", "left") if with_product else delivered
 
 
 # ---- C7: invoices per line ---------------------------------------------------
@@ -156,7 +158,8 @@ def line_invoices(T: Tables, lines: DataFrame | None = None) -> DataFrame:
                                                   "invoice_line_id")
     if lines is not None:
         rel = rel.join(lines.select("so_line_id"), "so_line_id", "left_semi")
-    return (rel.join(aml, "invoice_line_id").join(am, "invoice_id")
+    # journal lines meet the posted invoices first (bucketed alike when stored), then the junction
+    return (aml.join(am, "invoice_id").join(rel, "invoice_line_id")
             .select("so_line_id", "invoice_id", "invoice_number", "invoice_date", "invoice_state")
             .distinct())
 
@@ -167,10 +170,12 @@ def _partner(T: Tables, prefix: str, cols: tuple[str, ...] = ("name",)) -> DataF
     return rp.select(F.col("id").alias(f"{prefix}_id"), *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
 
-def order_header(T: Tables, date_from=None, date_to=None) -> DataFrame:
+def order_header(T: Tables, date_from=None, date_to=None, columns=None) -> DataFrame:
     """Valid orders in the window with every order-level text resolved once per
     order (customer, company, salesperson, shipping address, incoterm), so the
-    partner / user / incoterm lookups never run at the exploded row grain."""
+    partner / user / incoterm lookups never run at the exploded row grain.
+    With ``columns`` only the lookups behind those are made."""
+    want = set(columns or HEADER_COLUMNS)
     so = T["sale_order"]
     window = order_date_window(so, date_from, date_to)
     if window is not None:  # same rows, but in a form the scan can use
@@ -183,116 +188,103 @@ def order_header(T: Tables, date_from=None, date_to=None) -> DataFrame:
     orders = date_range(orders, "po_date", date_from, date_to)
     users = T["res_users"].select(F.col("id").alias("user_id"), F.col("partner_id").alias("sales_partner_id"))
     inc = T["account_incoterms"].select(F.col("id").alias("incoterm_ref"), F.col("name").alias("incoterm_name"))
-    x = (orders
-         .join(_partner(T, "rp", ("name", "commercial_company_name")),
-               F.col("partner_id") == F.col("rp_id"), "left")
-         .join(users, "user_id", "left")
-         .join(_partner(T, "rs"), F.col("sales_partner_id") == F.col("rs_id"), "left")
-         .join(_partner(T, "rh", ("name", "street", "street2", "city", "zip")),
-               F.col("partner_shipping_id") == F.col("rh_id"), "left")
-         .join(inc, "incoterm_ref", "left"))
-    address = F.concat_ws(", ", "rh_street", "rh_street2", "rh_city", "rh_zip")
-    return x.select(
-        "order_id", "so_number", "po_date",
-        F.col("rp_id").alias("partner_id"),
-        first_nonblank("rp_name").alias("customer"),
-        first_nonblank("rp_commercial_company_name", "rp_name").alias("company_name"),
-        first_nonblank("client_order_ref").alias("customer_po_number"),
-        first_nonblank("rs_name").alias("salesperson"),
-        "so_delivery_date",
+    x = orders
+    if want & {"partner_id", "customer", "company_name"}:
+        x = x.join(_partner(T, "rp", ("name", "commercial_company_name")), F.col("partner_id") == F.col("rp_id"), "left")
+    if "salesperson" in want:
+        x = (x.join(users, "user_id", "left")
+             .join(_partner(T, "rs"), F.col("sales_partner_id") == F.col("rs_id"), "left"))
+    if want & {"receiver_fallback", "delivery_address"}:
+        x = x.join(_partner(T, "rh", ("name", "street", "street2", "city", "zip")),
+                   F.col("partner_shipping_id") == F.col("rh_id"), "left")
+    if "incoterm" in want:
+        x = x.join(inc, "incoterm_ref", "left")
+    col, text = F.col, first_nonblank
+    shown = {
+        "partner_id": lambda: col("rp_id"),
+        "customer": lambda: text("rp_name"),
+        "company_name": lambda: text("rp_commercial_company_name", "rp_name"),
+        "customer_po_number": lambda: text("client_order_ref"),
+        "salesperson": lambda: text("rs_name"),
         # receiver falls back to these when the picking has no partner name
-        first_nonblank("incoterm_location", "rh_name", default=None).alias("receiver_fallback"),
-        first_nonblank(address, "rh_name").alias("delivery_address"),
-        first_nonblank("franco").alias("franco"),
-        first_nonblank(localized("incoterm_name")).alias("incoterm"),
-        first_nonblank("incoterm_location").alias("incoterm_location"),
-        F.coalesce("invoice_status", F.lit("")).alias("invoice_status"))
-
-
-def order_lines_named(T: Tables) -> DataFrame:
-    """Order lines with their own product code and name (fallbacks of the
-    delivered product's, and the bundle name)."""
+        "receiver_fallback": lambda: text("incoterm_location", "rh_name", default=None),
+        "delivery_address": lambda: text(F.concat_ws(", ", "rh_street", "rh_street2", "rh_city", "rh_zip"), "rh_name"),
+        "franco": lambda: text("franco"),
+        "incoterm": lambda: text(localized("incoterm_name")),
+        "incoterm_location": lambda: text("incoterm_location"),
+        "invoice_status": lambda: F.coalesce("invoice_status", F.lit("")),
+    }
+    return x.select("order_id", *[shown[c]().alias(c) if c in shown else col(c) for c in HEADER_COLUMNS if c in want])
+
+
+def order_lines_named(T: Tables, named: bool = True) -> DataFrame:
+    """Order lines with (``named``) their own product code and name, the fallbacks
+    of the delivered product's, and the bundle name."""
     lines = T["sale_order_line"].select(
         F.col("id").alias("line_id"), "order_id", F.col("product_id").alias("line_product_id"),
         "sequence", "product_uom_qty", "price_unit", "price_subtotal", "price_tax", "price_total")
-    pp = T["product_product"].select(F.col("id").alias("line_product_id"),
-                                     F.col("default_code").alias("line_code"),
-                                     F.col("product_tmpl_id").alias("line_tmpl_id"))
-    names = product_names(T).select(F.col("tmpl_id").alias("line_tmpl_id"),
-                                    F.col("product_name").alias("line_product_name"))
-    return (lines.join(pp, "line_product_id", "left").join(names, "line_tmpl_id", "left")
-            .drop("line_tmpl_id"))
+    return lines.join(product_dim(T, "line"), "line_product_id", "left") if named else lines
 
 
 def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False,
                   keep_keys: bool = False, payment_states: tuple[str, ...] = (POSTED,),
-                  with_invoices: bool = True) -> DataFrame:
+                  with_invoices: bool = True, columns: list[str] | None = None) -> DataFrame:
     """C11: the report; ``[date_from, date_to]`` bounds the order date before any join.
 
     ``with_invoices=False`` stops at the delivery grain (no invoice fan-out;
-    invoice and payment columns are NULL/empty)."""
-    header = order_header(T, date_from, date_to)
-    lines = order_lines_named(T)
+    invoice and payment columns are NULL/empty).  ``columns`` returns these report
+    columns only, row for row the same, without the lookups of the others."""
+    want = set(columns or COLUMNS)
+    named = bool(want & {"product_code", "product_name", "bundle_name"})
+    header = order_header(T, date_from, date_to, (want & set(HEADER_COLUMNS)) | (
+        {"receiver_fallback"} if "receiver" in want else set()) | {"po_date"})
+    lines = order_lines_named(T, named)
     windowed = date_from is not None or date_to is not None
     # With a date window, deliveries / invoices / payments are computed only for
     # the window's lines (a semi-join before their aggregations, which the
     # optimizer cannot push through by itself); without one, no extra join.
-    scope = (lines.join(header.select("order_id"), "order_id", "left_semi")
-             .select(F.col("line_id").alias("so_line_id"))) if windowed else None
-    dd = deliveries(T, check_lines=False, lines=scope, with_receiver=True) \
+    scope = (T["sale_order_line"].select(F.col("id").alias("so_line_id"), "order_id")
+             .join(valid_orders(T, date_from, date_to).select("order_id"), "order_id", "left_semi")
+             .select("so_line_id")) if windowed else None
+    dd = deliveries(T, check_lines=False, lines=scope, with_receiver="receiver" in want,
+                    with_branch="branch_delivery" in want, with_product=named) \
         .withColumnRenamed("so_line_id", "line_id")
     x = lines.join(header, "order_id").join(dd, "line_id")
     if with_invoices:
         inv = line_invoices(T, scope).withColumnRenamed("so_line_id", "line_id")
-        pay = first_payment(T, payment_states, inv if windowed else None) \
-            .withColumnRenamed("invoice_id", "pay_invoice_id")
-        # payments go onto the (line, invoice) table first, so the wide exploded
-        # rows meet invoices and payments in one join on line_id and are never
-        # re-shuffled by invoice id
-        inv_pay = inv.join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left")
-        x = x.join(inv_pay, "line_id", "left")
+        if want & {"payment_date", "payment_state"}:
+            pay = first_payment(T, payment_states, inv if windowed else None) \
+                .withColumnRenamed("invoice_id", "pay_invoice_id")
+            # payments go onto the (line, invoice) table first, so the wide exploded
+            # rows meet invoices and payments in one join on line_id and are never
+            # re-shuffled by invoice id
+            inv = inv.join(pay, F.col("invoice_id") == F.col("pay_invoice_id"), "left")
+        x = x.join(inv, "line_id", "left")
     else:
         x = x.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("invoice_id", "long"), ("invoice_number", "string"), ("invoice_date", "date"),
             ("first_payment_date", "date"), ("payment_states", "string"))])
 
-    zero = F.lit(0).cast(MONEY)
-    cols = [
-        F.col("order_id"), F.col("so_number"), F.col("po_date"), F.col("partner_id"),
-        F.col("customer"), F.col("company_name"), F.col("customer_po_number"), F.col("salesperson"),
-        first_nonblank("move_product_code", "line_code").alias("product_code"),
-        first_nonblank("move_product_name", "line_product_name").alias("product_name"),
-        F.when(F.col("line_type") == BUNDLE, first_nonblank("line_product_name"))
-        .otherwise(F.lit("")).alias("bundle_name"),
-        F.col("line_type"),
-        out(F.coalesce("product_uom_qty", zero)).alias("qty"),
-        out(F.coalesce("price_unit", zero)).alias("price_unit"),
-        out(F.coalesce("price_subtotal", zero)).alias("subtotal"),
-        out(F.coalesce("price_tax", zero)).alias("tax_amount"),
-        out(F.coalesce("price_total", zero)).alias("total_amount"),
-        F.col("so_delivery_date"), F.col("picking_id"),
-        F.coalesce("delivery_number", F.lit("")).alias("delivery_number"),
-        F.col("delivery_date"),
-        F.coalesce("delivery_status", F.lit("")).alias("delivery_status"),
-        out(F.coalesce("total_delivered_qty", zero)).alias("delivered_qty"),
-        first_nonblank("branch_name", default=DEFAULT_BRANCH).alias("branch_delivery"),
-        F.coalesce(F.nullif(F.trim(F.col("rk_name")), F.lit("")), F.col("receiver_fallback"),
-                   F.lit("")).alias("receiver"),
-        F.col("delivery_address"), F.col("franco"), F.col("incoterm"), F.col("incoterm_location"),
-        F.coalesce("shipping_note", F.lit("")).alias("shipping_note"),
-        F.col("invoice_status"),
-        F.col("invoice_id"),
-        F.coalesce("invoice_number", F.lit("")).alias("invoice_number"),
-        F.col("invoice_date"),
-        F.col("first_payment_date").alias("payment_date"),
-        F.coalesce("payment_states", F.lit("")).alias("payment_state"),
-    ]
-    hidden = [F.col("line_id"), F.col("move_product_id"), F.col("bundle_line_id"),
-              F.col("sequence")]
-    rep = x.select(*cols, *hidden)
+    number = lambda c: lambda: out(F.coalesce(F.col(c), F.lit(0)))
+    text = lambda c: lambda: F.coalesce(F.col(c), F.lit(""))
+    shown = {
+        "product_code": lambda: first_nonblank("move_product_code", "line_product_code"),
+        "product_name": lambda: first_nonblank("move_product_name", "line_product_name"),
+        "bundle_name": lambda: F.when(F.col("line_type") == BUNDLE, first_nonblank("line_product_name")).otherwise(F.lit("")),
+        "qty": number("product_uom_qty"), "price_unit": number("price_unit"), "subtotal": number("price_subtotal"),
+        "tax_amount": number("price_tax"), "total_amount": number("price_total"),
+        "delivered_qty": number("total_delivered_qty"),
+        "delivery_number": text("delivery_number"), "delivery_status": text("delivery_status"),
+        "shipping_note": text("shipping_note"), "invoice_number": text("invoice_number"),
+        "branch_delivery": lambda: first_nonblank("branch_name", default=DEFAULT_BRANCH),
+        "receiver": lambda: first_nonblank("rk_name", "receiver_fallback"),
+        "payment_date": lambda: F.col("first_payment_date"), "payment_state": text("payment_states"),
+    }
+    rep = x.select(*[shown[c]().alias(c) if c in shown else F.col(c) for c in COLUMNS if c in want], *[
+        c for c in dict.fromkeys([*HIDDEN_KEYS, "picking_id", "invoice_id"]) if c not in want])
     if with_id:
         rep = dense_row_id(rep, id_order())
-    keep = (["id"] if with_id else []) + COLUMNS + (HIDDEN_KEYS if keep_keys else [])
+    keep = (["id"] if with_id else []) + (columns or COLUMNS) + (HIDDEN_KEYS if keep_keys else [])
     return rep.select(*keep)
 
 

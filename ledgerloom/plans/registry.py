@@ -4,7 +4,9 @@ of the base tables (``catalog.query`` wraps it with the fixture derivation)."""
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import AS_OF, DATE_FROM, DATE_TO, TODAY, query
@@ -15,6 +17,7 @@ from ..functions.text import first_nonblank, localized, strip_html
 from ..operators import filters as flt
 from ..operators import grouping as grp
 from ..operators.records import read_records
+from ..operators.row_id import dense_row_id
 from ..sources.sinks import read_report, shared_output_dir, write_report
 from ..sources.tables import table_counts
 from . import contribution as sc
@@ -32,8 +35,8 @@ def _category_sales(T):
     """Per-category daily sums (exact decimals shown as doubles)."""
     cs = sc.category_sales(T)
     return cs.select("category", "categ_id", "so_date", "so_month",
-                     out("sales").alias("sales_amount"), out("cogs_exact").alias("cogs"),
-                     out("gp_exact").alias("gross_profit"))
+                     out("sales").alias("sales_amount"), "cogs",
+                     F.col("profit").alias("gross_profit"))
 
 
 @query("daily_totals")
@@ -48,7 +51,7 @@ def _margin_ratio(T):
     """D3: guarded margin ratio per category-day."""
     cs = sc.category_sales(T)
     return cs.select("category", "categ_id", "so_date",
-                     F.round(safe_ratio("gp_exact", "sales"), 6).alias("margin_percent"))
+                     safe_ratio("profit", "sales").alias("margin_percent"))
 
 
 @query("contribution_share")
@@ -56,7 +59,7 @@ def _contribution_share(T):
     """Guarded share of the day's sales per category-day."""
     cs = sc.with_daily_totals(sc.category_sales(T))
     return cs.select("category", "categ_id", "so_date",
-                     F.round(safe_ratio("sales", "day_total"), 6).alias("sales_contribution_percent"))
+                     safe_ratio("sales", "day_total").alias("sales_contribution_percent"))
 
 
 @query("sales_contribution")
@@ -100,7 +103,7 @@ def _monthly_margin(T):
     """Monthly invoiced margin ratio per category."""
     m = gp.monthly_margin(T)
     return m.select("category_items", "categ_id", "inv_month",
-                    F.round("gp_percent_accounting", 6).alias("gp_percent_accounting"))
+                    "gp_percent_accounting")
 
 
 @query("order_dates")
@@ -128,7 +131,7 @@ def _prev_month_margin(T):
     """Previous calendar month's margin for every grid row."""
     g = gp.margin_lookup(gp.category_date_spine(T), gp.monthly_margin(T), 1, "gp_percent")
     return g.select("category_items", "categ_id", "so_date", "so_month",
-                    F.round("gp_percent", 6).alias("gp_percent"))
+                    "gp_percent")
 
 
 @query("curr_month_margin")
@@ -136,7 +139,7 @@ def _curr_month_margin(T):
     """Same month's margin for every grid row."""
     g = gp.margin_lookup(gp.category_date_spine(T), gp.monthly_margin(T), 0, "gp_percent_current_month")
     return g.select("category_items", "categ_id", "so_date", "so_month",
-                    F.round("gp_percent_current_month", 6).alias("gp_percent_current_month"))
+                    "gp_percent_current_month")
 
 
 @query("gross_profit")
@@ -246,9 +249,12 @@ def _date_range(T):
     return gp.gross_profit(T, date_from=DATE_FROM, date_to=DATE_TO)
 
 
-for _name, _rep in (("today", "gp"), ("this_week", "sc"), ("this_month", "o2c"),
-                    ("last_month", "gp"), ("this_year", "sc")):
-    query(f"preset_{_name}")(_preset_report(_rep, _name))
+# each of the five presets on each of the three reports; the first report of a preset has the plain key
+PRESET_KEYS = {"today": ("gp", "o2c", "sc"), "this_week": ("sc", "gp", "o2c"), "this_month": ("o2c", "gp", "sc"),
+               "last_month": ("gp", "o2c", "sc"), "this_year": ("sc", "gp", "o2c")}
+for _name, _reps in PRESET_KEYS.items():
+    for _i, _rep in enumerate(_reps):
+        query(f"preset_{_name}" + (f"_{_rep}" if _i else ""))(_preset_report(_rep, _name))
 
 for _name in ("paid", "not_paid", "delivered", "not_delivered", "invoiced"):
     query(f"preset_{_name}")(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
@@ -257,15 +263,30 @@ for _key, _name in (("preset_bundle", "bundle"), ("preset_standard", "standard")
     query(_key)(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
 
 
-@query("text_search")
-def _text_search(T):
-    """E5: case-insensitive contains on the order-to-cash product name."""
-    return flt.search(o2c.order_to_cash(T), "product_name", "RED")
+# E5: one key for each searchable field: contains on texts, equality on dates
+SEARCHES = {"text_search": ("o2c", "product_name", "RED"), "search_gp_category": ("gp", "category_items", "brand#1"),
+            "search_gp_date": ("gp", "so_date", "1998-06-15"), "search_gp_month": ("gp", "so_month", "1998-06-01"),
+            "search_o2c_number": ("o2c", "so_number", "77"), "search_o2c_customer": ("o2c", "customer", "0001"),
+            "search_o2c_company": ("o2c", "company_name", "9"), "search_o2c_salesperson": ("o2c", "salesperson", "2"),
+            "search_o2c_code": ("o2c", "product_code", "p1"), "search_o2c_delivery": ("o2c", "delivery_number", "1"),
+            "search_o2c_invoice": ("o2c", "invoice_number", "2"), "search_o2c_date": ("o2c", "po_date", "1998-06-15"),
+            "search_sc_category": ("sc", "category", "BRAND#2"), "search_sc_date": ("sc", "so_date", "1998-06-15"),
+            "search_sc_month": ("sc", "so_month", "1998-06-01")}
+for _key, (_rep, _field, _value) in SEARCHES.items():
+    query(_key)(lambda T, _r=_rep, _f=_field, _v=_value: flt.search(REPORTS[_r](T), _f, _v))
+
+
+def _columns(report: str, T, columns: list[str]):
+    """A report for a query over some of its columns; order to cash then plans only their lookups."""
+    return o2c.order_to_cash(T, columns=columns) if report == "o2c" else REPORTS[report](T)
 
 
 for _key, _rep, _by, _grain, _ms in (
         ("group_gp_month", "gp", "so_month", "day", GP_MEASURES),
         ("group_gp_category", "gp", "category_items", "day", GP_MEASURES),
+        ("group_gp_date", "gp", "so_date", "day", GP_MEASURES),
+        ("group_o2c_date", "o2c", "po_date", "day", O2C_MEASURES),
+        ("group_sc_date", "sc", "so_date", "day", SC_MEASURES),
         ("group_o2c_customer", "o2c", "customer", "day", O2C_MEASURES),
         ("group_o2c_salesperson", "o2c", "salesperson", "day", O2C_MEASURES),
         ("group_o2c_company", "o2c", "company_name", "day", O2C_MEASURES),
@@ -275,10 +296,11 @@ for _key, _rep, _by, _grain, _ms in (
         ("group_sc_month", "sc", "so_month", "day", SC_MEASURES),
         ("group_sc_category", "sc", "category", "day", SC_MEASURES)):
     query(_key)(lambda T, _r=_rep, _b=_by, _g=_grain, _m=_ms:
-                grp.group_report(REPORTS[_r](T), _b, _m, _g))
+                grp.group_report(_columns(_r, T, [_b, *_m]), _b, _m, _g))
 
 query("footer_gp")(lambda T: grp.footer(gp.gross_profit(T), ["qty", "amount", "total_gross_profit"]))
-query("footer_o2c")(lambda T: grp.footer(o2c.order_to_cash(T), ["subtotal", "tax_amount", "total_amount"]))
+query("footer_o2c")(lambda T: grp.footer(
+    _columns("o2c", T, ["subtotal", "tax_amount", "total_amount"]), ["subtotal", "tax_amount", "total_amount"]))
 query("footer_sc")(lambda T: grp.footer(sc.sales_contribution(T), ["sales_amount", "cogs", "gross_profit"]))
 
 
@@ -293,7 +315,7 @@ def _pivot_gp(T):
 @query("pivot_o2c")
 def _pivot_o2c(T):
     """Customer x month cube of subtotal and qty."""
-    return grp.pivot_long(o2c.order_to_cash(T), F.col("customer"), grp.group_key("po_date", "month"),
+    return grp.pivot_long(_columns("o2c", T, ["customer", "po_date", "subtotal", "qty"]), F.col("customer"), grp.group_key("po_date", "month"),
                           ["subtotal", "qty"])
 
 
@@ -305,7 +327,7 @@ def _pivot_sc(T):
 
 
 query("chart_gp_bar")(lambda T: grp.chart_data(gp.gross_profit(T), F.col("category_items"), "total_gross_profit"))
-query("chart_o2c_line")(lambda T: grp.chart_data(o2c.order_to_cash(T), grp.group_key("po_date", "month"),
+query("chart_o2c_line")(lambda T: grp.chart_data(_columns("o2c", T, ["po_date", "subtotal"]), grp.group_key("po_date", "month"),
                                                  "subtotal"))
 query("chart_sc_pie")(lambda T: grp.chart_data(sc.sales_contribution(T), F.col("category"), "sales_amount"))
 
@@ -380,8 +402,7 @@ def _scan_tables(T):
 
 @query("optional_columns")
 def _optional_columns(T):
-    """A2: effective order date with and without the optional custom-date column,
-    and the line type with and without the optional bundle column."""
+    """A2: effective order date with and without the optional custom-date column."""
     so = T["sale_order"]
     plain = so.drop("x_studio_date")
     return so.select(F.col("id").alias("order_id"),
@@ -389,6 +410,33 @@ def _optional_columns(T):
                      effective_order_date(plain).alias("date_without_custom"))
 
 
+@query("optional_bundle")
+def _optional_bundle(T):
+    """A2: line type with and without the optional bundle column, per stock move."""
+    sm = T["stock_move"]
+    return sm.select(F.col("id").alias("move_id"), o2c.line_type(sm).alias("type_with_bundle"),
+                     o2c.line_type(sm.drop("sale_bundle_line_id")).alias("type_without_bundle"))
+
+
+@query("sink_order")
+def _sink_order(T):
+    """Place of every row in the order in which the sinks write Sales Contribution."""
+    ordered = dense_row_id(sc.sales_contribution(T), sc.sink_order(), "place")
+    return ordered.select("place", "category", "categ_id", "so_date", "sales_amount")
+
+
+@query("export_all")
+def _export_all(T):
+    """the tables of a combined export with their row counts and a sum of each."""
+    sheets = ex.export_all(T, ex.ExportParams.with_defaults(
+        "all", as_of_date=_dt.date.fromisoformat(AS_OF), date_from=DATE_FROM, date_to=DATE_TO))
+    measure = {"gross_profit": "amount", "gross_profit_total": "amount", "gross_profit_run_rate": "total_sales",
+               "order_to_cash": "total_amount", "sales_contribution": "sales_amount", "sales_contribution_total": "sales_amount"}
+    parts = [grp.footer(df.select(F.col(measure[name]).alias("total")), ["total"]).select(F.lit(name).alias("sheet"), "row_count", "total")
+             for name, df in sheets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("report_views")
 def _report_views(T):
     """A3: the three reports registered as views and queried through SQL."""

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literal import literal_table
-from ..functions.money import MONEY
 
 DRIVER_TABLES = ("orders", "lineitem", "part", "customer", "supplier")
 
@@ -27,6 +26,9 @@ UNITS = [(1, "Unit")]
 SHIPPING_NOTE_HTML = "<p>Handle <b>care</b></p> "
 
 
+MONEY = "decimal(18,2)"  # of the derived quantities and prices
+
+
 def read_driver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
 
@@ -51,7 +53,7 @@ def _small(spark: SparkSession, rows, ddl: str) -> DataFrame:
 
 
 def categories(part: DataFrame) -> DataFrame:
-    b = F.substring("p_brand", 7, 100).cast("int")
+    b = F.substr(F.col("p_brand"), F.lit(7)).cast("int")
     return (part.select(b.cast("long").alias("id"), F.col("p_brand")).distinct()
             .select("id",
                     F.when(F.col("id") == 25, F.lit("  "))
@@ -67,7 +69,7 @@ def templates(part: DataFrame) -> DataFrame:
                   F.concat(F.lit('{"en_US": "'), F.col("p_name"), F.lit('", "id_ID": "x"}')))
             .otherwise(F.col("p_name")))
     categ = F.when(_mod(p, 17) == 0, F.lit(None).cast("long")).otherwise(
-        F.substring("p_brand", 7, 100).cast("long"))
+        F.substr(F.col("p_brand"), F.lit(7)).cast("long"))
     return part.select(p.alias("id"), name.alias("name"), categ.alias("categ_id"))
 
 

@@ -13,7 +13,7 @@ BASE_TABLES = ("product_category", "product_template", "product_product", "sale_
                "res_users", "account_incoterms", "sale_order_line_bundle", "uom_uom")
 OPTIONAL_COLUMNS = {"sale_order": ("x_studio_date",), "stock_move": ("sale_bundle_line_id",)}
 
-_M = "decimal(18,2)"
+_M = "decimal(38,18)"  # a number: stored decimals are kept as they are, see ``conform``
 # Columns the reports read, per table, with their Spark types (DDL).
 SCHEMAS = {
     "product_category": "id bigint, name string",
@@ -50,15 +50,22 @@ SCHEMAS = {
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast the columns the reports read to their declared types and drop the
-    rest (a projection: nothing extra is read).  Optional columns are kept only
-    when the stored table has them; a missing required column is an error."""
-    from pyspark.sql.types import _parse_datatype_string
+    rest (a projection: nothing extra is read).  Quantities and prices keep their
+    stored decimal type; whole numbers become decimals without places and floating
+    ones decimals of 18 places, so no stored digit of money is lost.  Optional
+    columns are kept only when the stored table has them; a missing required
+    column is an error."""
+    from pyspark.sql.types import DecimalType, IntegralType, _parse_datatype_string
+    stored = {f.name: f.dataType for f in df.schema.fields}
     schema = _parse_datatype_string(SCHEMAS[table])
     optional = set(OPTIONAL_COLUMNS.get(table, ()))
     cols = []
     for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        if f.name in stored:
+            own, kind = stored[f.name], f.dataType
+            if isinstance(kind, DecimalType):
+                kind = own if isinstance(own, DecimalType) else DecimalType(20, 0) if isinstance(own, IntegralType) else kind
+            cols.append(F.col(f.name).cast(kind).alias(f.name))
         elif f.name not in optional:
             raise ValueError(f"table {table!r} lacks required column {f.name!r}")
     return df.select(*cols)
@@ -129,11 +136,6 @@ def load_catalog_tables(spark: SparkSession, database: str | None = None, tables
     return out
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    """A2: the optional column test, decided while the plan is built."""
-    return name in df.columns
-
-
 def table_counts(T: dict[str, DataFrame]) -> DataFrame:
     """Row count per table as one DataFrame (one job, a union of global aggregates)."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans import enrich, exports, order_to_cash
 from ledgerloom.sources import sinks
-from ledgerloom.sources.tables import has_column, load_tables
+from ledgerloom.sources.tables import load_tables
 
 from test_reports import TS  # noqa: F401  (shared fixtures)
 from test_reports import o2c_case, sales_case  # noqa: F401
@@ -113,7 +113,7 @@ def test_pushdown_and_pruning_on_stored_tables(spark, T1):
     for name in ("sale_order", "sale_order_line"):
         T1[name].write.parquet(os.path.join(base, name))
     S = load_tables(spark, base, tables=("sale_order", "sale_order_line"))
-    assert has_column(S["sale_order"], "x_studio_date")
+    assert "x_studio_date" in S["sale_order"].columns
     from ledgerloom.plans.common import valid_orders
     df = valid_orders(S).join(S["sale_order_line"].select("order_id", "price_subtotal"), "order_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
