@@ -22,11 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+STAGED: list[str] = []  # folders written by this driver
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove the tables that ``staged`` wrote; results that read them must have been written before."""
+    while STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back: later jobs
     reuse the rows, and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -118,7 +129,7 @@ def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], most: int, dress) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], most: int, dress, part_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
     pid, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -131,7 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int, dress) -> Iterator[pa.
                                            pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "payload"])
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", part_bytes):
             held.append(dress(part) if dress else part)
             size += part.nbytes
             if size >= most:
@@ -141,11 +152,12 @@ def _packed(batches: Iterator[pa.RecordBatch], most: int, dress) -> Iterator[pa.
         yield packet()
 
 
-def packets(df: DataFrame, name: str, most: int = 32 << 20, dress=None) -> DataFrame:
+def packets(df: DataFrame, name: str, most: int = 32 << 20, dress=None, part_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``df`` (it has a column ``text``) in blocks of about ``most`` bytes, each a compressed Arrow
     stream, written once: ``block`` (a stable number), ``size`` (bytes), ``payload``.  Blocks follow the scan, so
-    no text is shuffled to make them.  ``dress`` may add columns to each part."""
-    return staged(df.mapInArrow(partial(_packed, most=most, dress=dress), "block long, size long, payload binary"), name)
+    no text is shuffled to make them.  Inside, rows lie in parts of about ``part_bytes``; ``dress`` may add
+    columns to each part."""
+    return staged(df.mapInArrow(partial(_packed, most=most, dress=dress, part_bytes=part_bytes), "block long, size long, payload binary"), name)
 
 
 def opened(payload: pa.Scalar | bytes) -> Iterator[pa.RecordBatch]:
