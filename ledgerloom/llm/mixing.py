@@ -102,8 +102,9 @@ def n_words(text_col: str) -> Column:
 def mix_copies(df: DataFrame, id_col: str, size: Column, source_col: str, weights: Sequence[float] = (5, 2, 1),
                share: float = 1.0, most: int = 3, seed: int = 29) -> DataFrame:
     """Return ``record`` (the whole input row), ``size``, ``source_size``, ``target`` and ``copies``."""
-    sized = df.select(F.struct("*").alias("record"), F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                      size.alias("size"))
+    # sources as keys without nulls, in the same order: one partitioning then serves the join and the window
+    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+    sized = df.select(F.struct("*").alias("record"), F.col(id_col).alias("id"), key.alias("source"), size.alias("size"))
     sized = sized.withColumn("order", hash_id("id", seed=seed))
     cell = F.pmod(F.shiftrightunsigned("order", 40), F.lit(HASH_CELLS)).alias("cell")
     counted = staged(sized.groupBy("source", "size", cell).agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
@@ -122,25 +123,19 @@ def mix_copies(df: DataFrame, id_col: str, size: Column, source_col: str, weight
         return pdf.assign(rounds=rounds, extra=extra)[["source", "size", "source_size", "target", "rounds", "extra"]]
 
     # a source's lengths come sorted, so that reruns agree
-    fitted = staged(by_length.join(goal, by_length["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-                    .groupBy("source").applyInPandas(
-                        lambda pdf: fit(pdf.sort_values("size")),
-                        "source string, size long, source_size long, target double, rounds long, extra long"), "mix-fit")
-    # cells of the hash order that lie wholly inside the extra documents, and the one that is cut
+    fitted = staged(by_length.join(goal, "source").groupBy("source").applyInPandas(
+        lambda pdf: fit(pdf.sort_values("size")),
+        "source string, size long, source_size long, target double, rounds long, extra long"), "mix-fit")
+    # how many documents of each cell of the hash order get the extra copy
     before = Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("c")
-             .join(fitted.alias("f"), F.col("c.source").eqNullSafe(F.col("f.source")) & (F.col("c.size") == F.col("f.size")))
-             .select("c.source", "c.size", "cell", "source_size", "target", "rounds",
-                     F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before"))).alias("cut"), "n"))
-    joined = (sized.withColumn("cell", cell).alias("s")
-              .join(cells.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source"))
-                    & (F.col("s.size") == F.col("k.size")) & (F.col("s.cell") == F.col("k.cell")))
-              .select("record", "id", "order", "k.source", "k.size", "k.cell", "source_size", "target", "rounds", "cut", "n"))
-    split = (F.col("cut") > 0) & (F.col("cut") < F.col("n"))
-    whole = joined.filter(~split).withColumn("copies", F.col("rounds") + F.when(F.col("cut") > 0, 1).otherwise(0))
+    cells = (counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+             .join(fitted, ["source", "size"])
+             .select("source", "size", "cell", "source_size", "target", "rounds",
+                     F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before"))).alias("cut")))
     place = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("order", "id"))
-    part = joined.filter(split).withColumn("copies", F.col("rounds") + F.when(place <= F.col("cut"), 1).otherwise(0))
-    return whole.unionByName(part).select("record", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"))
+    copies = F.col("rounds") + F.when(place <= F.col("cut"), 1).otherwise(0)
+    return (sized.withColumn("cell", cell).join(cells, ["source", "size", "cell"])
+            .select("record", "size", "source_size", "target", copies.cast("int").alias("copies")))
 
 
 def op1(docs: DataFrame) -> DataFrame:
