@@ -106,3 +106,22 @@ def test_network_adds_what_looks_like_the_findings(make_docs):
     rows = {r["doc_id"]: r for r in secrets.op3(make_docs([*plain, hidden, "just aaaa1aaaaaaaaaaaaaaa words"])).collect()}
     assert rows[300]["n_model"] == 1 and rows[0]["n_assign"] == 1
     assert sum(rows[i]["n_model"] for i in range(300)) == 0
+
+
+def test_windows_reach_the_end_of_long_candidates(make_docs):
+    lo, hi = np.array([0, 30, 100, 500]), np.array([8, 46, 200, 5000])
+    for most in (0, 5):
+        at, own = secrets.places(lo, hi, most)
+        for i, (a, b) in enumerate(zip(lo, hi, strict=True)):
+            mine = at[own == i]
+            assert mine[0] == a and mine[-1] + secrets.AFTER >= b + secrets.BEFORE and (mine < b).all()
+            assert len(mine) <= 5 if most else (np.diff(mine) <= secrets.STEP).all()
+    g = np.random.default_rng(1)
+    word = lambda n: "".join(g.choice(list("abcdefghijklmnop"), n))
+    hex_ = lambda n: "".join(g.choice(list("0123456789abcdef"), n))
+    plain = [" ".join(word(int(g.integers(3, 12))) for _ in range(60)) + f" Token = {hex_(36)} " + word(9) for _ in range(300)]
+    path = "/" + "/".join(word(7) for _ in range(8)) + "/b1"  # alike for more than the first window
+    ends = [hex_(20) + "Z" + hex_(19), "/".join(word(9) for _ in range(4))]
+    rows = {r["doc_id"]: r for r in secrets.op3(make_docs([*plain, *(f"see {path}/{e} here" for e in ends)])).collect()}
+    assert [rows[300]["n_model"], rows[301]["n_model"]] == [1, 0]
+    assert rows[300]["spans"] == f"model:4:{5 + len(path) + len(ends[0])}"
