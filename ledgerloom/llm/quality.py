@@ -5,8 +5,8 @@ words in content lines decides whether the document stays.  Fixed base rules (to
 repeated 8-word windows) reject first.
 
 The field is trained here, by gradient ascent on the sequence likelihood, on at most ``TRAIN_DOCS`` labelled
-documents and ``TRAIN_LINES`` lines of each; all documents are labelled whole.  Without labels of both kinds
-only the base rules decide.
+documents and ``TRAIN_LINES`` lines of each; all documents are labelled whole.  An id and label count once, with
+one text, however often their rows are repeated.  Without labels of both kinds only the base rules decide.
 
 Edge cases: a null or blank text has no words and fails the base rules; a null id stays null; repeated rows
 are judged alike; an empty table gives no rows; other columns are kept by the stage and not read.
@@ -193,14 +193,16 @@ def _train_rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Rec
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> LinearChain | None:
-    """Fit the field on the ``TRAIN_DOCS`` labelled documents that come first in a seeded hash order."""
+    """Fit the field on the ``TRAIN_DOCS`` labelled documents that come first in a seeded hash order: one row for
+    each id and label, with the text of the smallest hash."""
     some = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-            .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+            .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
             .orderBy(hash_id("id", seed=4), "id", "label").limit(TRAIN_DOCS))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(some), "id")  # at most TRAIN_DOCS rows
+            .filter("text is not null").join(F.broadcast(some), "id")  # at most TRAIN_DOCS labels
+            .groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("label", "text")
             .mapInArrow(partial(_train_rows, text="text"), "label int, features array<double>")
-            .orderBy("label", "features").limit(2 * TRAIN_DOCS).collect())
+            .orderBy("label", "features").collect())  # at most TRAIN_DOCS rows
     rows = [(r["label"], np.array(r["features"]).reshape(-1, N_FEATURES)) for r in rows if r["features"]]
     if {bool(y) for y, _ in rows} != {True, False}:
         return None

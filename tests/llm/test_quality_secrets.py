@@ -53,6 +53,17 @@ def test_held_out_accuracy(spark):
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.3
 
 
+def test_repeated_rows_train_alike(spark, documents, labels):
+    once = quality.train(documents, labels)
+    copies = spark.range(2500).select()
+    for y in (0, 1):  # one labelled id with more rows than all others
+        one = documents.join(labels.filter(f"quality = {y}"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+        for docs, own in ((documents.unionByName(one.crossJoin(copies)), labels),
+                          (documents, labels.unionByName(labels.join(one, "doc_id", "left_semi").crossJoin(copies)))):
+            model = quality.train(docs, own)
+            assert all(np.allclose(getattr(model, k), getattr(once, k)) for k in ("emit", "move", "start"))
+
+
 def test_viterbi_finds_the_best_path():
     g = np.random.default_rng(3)
     model = quality.LinearChain()
