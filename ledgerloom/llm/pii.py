@@ -5,6 +5,11 @@ the Luhn check, names after a title) get keyed replacements of their own type: d
 for letters at the same places, the separators and the letter case of the mention, a valid check digit for
 cards, the same domain for the same domain, names of the title's gender in the script of the original.
 
+A name has any number of parts: initials, hyphens, apostrophes, inner capitals, capitals throughout, particles
+between them (which stay).  Each part but an initial is an entity, one whatever its title and place; its gender
+is that of its titles in the corpus, if they agree.  Capitalised words of a document that has such a name get
+the same surrogate where they are one of its parts, title or not.  Initials become other letters.
+
 The distinct entities form a table; a keyed hash proposes a surrogate for each.  A proposal that is another
 entity's surrogate, or an entity of the corpus itself, is drawn again until no two entities share one, so
 distinct entities stay distinct, and one entity has one surrogate in all documents and spellings.
@@ -41,17 +46,25 @@ NAMES = {
 LETTERS = {"latin": ("aeiou", "bcdfghklmnprstvw"), "cyrillic": ("аеиоу", "бвгдзклмнпрст"), "greek": ("αειου", "βγδζκλμνπρστ")}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+TITLE = "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
+PARTICLE = r"(?:(?:van|von|der|den|de|la|le|du|di|da|del|della|dos|ten|ter|zu|bin|ibn|al|el) |d['’])*"
+# a capitalised word, an initial too; an apostrophe is inside if no ending such as 's follows
+WORD = (r"(?<![\p{L}\p{N}_])\p{Lu}(?:[\p{L}\p{M}]|['’](?!(?:[sS]|ll|d|ve|re|m|t)(?!\p{L}))(?=\p{L}))*+(?![\p{N}_])")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-             r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+             r"|(?<![\d+])\+\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{1,5}\)?(?:[ .-]\d{2,5}){2,4}(?!\d)"
+             r"|(?<![\d+])\+\d{1,3}[ .-]\d{5}[ .-]?\d{5}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"
+             r"|(?<!\d)(?:(?<![\d.+-])1[ .-])?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+             r"|(?<![\d.+-])(?:1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d.+-])1 \d{3} \d{3} \d{4}(?!\d)"
+             r"|(?<![\d.+-])[2-9]\d\d [2-9]\d\d[ -]\d{4}(?! ?\d)|(?<![\d.+-])0\d(?:[ .-]\d{2}){4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:{'|'.join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))})\.? "
-              r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
+    "person": rf"(?<!\p{{L}})(?:(?:{TITLE})\.? )+{PARTICLE}{WORD}(?:(?: {PARTICLE}|-|(?<=(?<![\p{{L}}\p{{N}}_'’])\p{{Lu}})\. ?){WORD})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+WIDE = f"{ANY}|{WORD}"  # for texts that have a name after a title
 
 
 def _digits(c: Column) -> Column:
@@ -67,10 +80,12 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    """The type of a mention; null for a number that fails the card check."""
+    """The type of a mention (word: a capitalised one without a title); null for a number that fails the card
+    check."""
     full = lambda k: mention.rlike(f"^(?:{PATTERNS[k]})$")
     card = F.when(luhn_sum(_digits(mention)) % 10 == 0, F.lit("card"))
-    return (F.when(mention.contains("@"), "email").when(mention.rlike(r"^\p{L}"), "person").when(full("ip"), "ip")
+    return (F.when(mention.contains("@"), "email").when(mention.rlike(r"^\p{L}"), F.when(mention.contains(" "), "person").otherwise("word"))
+            .when(full("ip"), "ip")
             .when(full("ssn"), "ssn").when(full("phone"), "phone").otherwise(card))
 
 
@@ -78,25 +93,38 @@ def _script(c: Column) -> Column:
     return F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").when(c.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _space(kind: Column) -> Column:
+    """Within what surrogates are distinct: the kind, for names the script."""
+    return F.when(kind.contains(":"), F.concat(F.lit("name:"), F.substring_index(kind, ":", -1))).otherwise(kind)
+
+
 def parts_of(mention: Column) -> Column:
-    """The parts of a mention: kind (null: literal text), canonical value, text as written."""
-    part = lambda kind, value, raw: F.struct(kind.cast("string").alias("kind"), value.alias("value"), raw.alias("raw"))
+    """The parts of a mention: kind (null: literal text), role of a name (the title's gender for given names,
+    family, or word: a name only if the document has it after a title), canonical value, text as written."""
+    def part(kind: Column, value: Column, raw: Column, role: Column | None = None) -> Column:
+        role = F.lit(None) if role is None else role
+        return F.struct(kind.cast("string").alias("kind"), role.cast("string").alias("role"), value.alias("value"), raw.alias("raw"))
+
+    def name(token: Column, role: Column) -> Column:
+        initial = F.length(token) == 1
+        return part(F.concat(F.when(initial, "initial:").otherwise("name:"), _script(token)),
+                    F.lower(F.regexp_replace(token, "’", "'")), token, F.when(~initial, role))
+
     kind = kind_of(mention)
-    title = F.regexp_extract(mention, r"^(\p{L}+\.? )", 1)
-    bare = F.regexp_replace(F.trim(title), r"\.$", "")
+    title = F.regexp_extract(mention, rf"^(?:(?:{TITLE})\.? )+", 0)
     gender = F.lit("n")
     for g in ("m", "f"):
-        gender = F.when(bare.isin(TITLES[g]), g).otherwise(gender)
-    first = F.regexp_extract(mention, r"^\p{L}+\.? (\p{L}+)", 1)
-    rest = F.regexp_extract(mention, r"^\p{L}+\.? \p{L}+([ -])(\p{L}+)$", 2)
-    joint = F.regexp_extract(mention, r"^\p{L}+\.? \p{L}+([ -])(\p{L}+)$", 1)
-    name = lambda role, token: part(F.concat(role, F.lit(":"), _script(token)), F.lower(token), token)
+        gender = F.when(title.rlike(rf"(?<!\p{{L}})(?:{'|'.join(TITLES[g])})(?!\p{{L}})"), g).otherwise(gender)
+    rest = F.substr(mention, F.length(title) + 1)
+    words, gaps = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0)), F.split(rest, WORD, -1)
     literal = lambda c: part(F.lit(None), F.lit(None).cast("string"), c)
-    person = F.when(rest == "", F.array(literal(title), name(F.lit("family"), first))).otherwise(
-        F.array(literal(title), name(gender, first), literal(joint), name(F.lit("family"), rest)))
+    # the family name is what no blank or point follows: the last part, with hyphens the last ones
+    given = lambda i: F.exists(F.slice(gaps, i + 2, F.size(words) - 1 - i), lambda c: c.rlike("[ .]"))
+    person = F.concat(F.array(literal(F.concat(title, gaps[0]))), F.flatten(F.transform(words, lambda w, i: F.array(
+        name(w, F.when(given(i), gender).otherwise("family")), literal(F.element_at(gaps, i + 2))))))
     value = F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).otherwise(_digits(mention))
-    return F.when(kind.isNull(), F.array(literal(mention))).when(kind == "person", person).otherwise(
-        F.array(part(kind, value, mention)))
+    return (F.when(kind.isNull(), F.array(literal(mention))).when(kind == "person", person)
+            .when(kind == "word", F.array(F.when(F.length(mention) > 1, name(mention, F.lit("word"))).otherwise(literal(mention)))).otherwise(F.array(part(kind, value, mention))))
 
 
 def _stream(key: str, *cols: Column) -> Column:
@@ -152,15 +180,26 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     return out
 
 
+def _initial(kind: Column, value: Column, key: str) -> Column:
+    """Another letter of the script; letters are too few for a letter of its own each."""
+    b, out = _byte(_stream(key, kind, value), F.lit(0)), F.lit(None).cast("string")
+    for script, (vowels, others) in LETTERS.items():
+        letters = F.lit(vowels + others)
+        n = len(vowels + others)
+        out = F.when(kind.endswith(script), F.substr(letters, (F.instr(letters, value) + b % (n - 1)) % n + 1, F.lit(1))).otherwise(out)
+    return out
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``value``, ``surrogate``: one to one within each kind, no surrogate an entity itself.  Each round
+    """``kind``, ``value``, ``surrogate``: one to one within each kind (names: script), no surrogate an entity itself.  Each round
     redraws what clashes and is written once; only the number of clashes reaches the driver."""
     drawn = entities.select("kind", "value", F.lit(0).alias("attempt"))
     while True:
         drawn = staged(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "pii-entities")
-        owner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("owner"))
-        real = drawn.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        judged = (drawn.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+        space = _space(F.col("kind")).alias("space")
+        owner = drawn.groupBy(space, "surrogate").agg(F.min(F.struct("attempt", "value")).alias("owner"))
+        real = drawn.select(space, F.col("value").alias("surrogate"), F.lit(True).alias("real"))
+        judged = (drawn.withColumn("space", space).join(owner, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
                   .withColumn("clash", F.col("real").isNotNull() | (F.col("owner.value") != F.col("value"))))
         judged = staged(judged.select("kind", "value", "attempt", "surrogate", "clash"), "pii-clashes")
         if not judged.filter("clash").count():
@@ -192,16 +231,27 @@ def replace_pii(df: DataFrame, text_col: str = "text", key: str = KEY) -> DataFr
     keep = [F.col(f"`{c}`") for c in names]
     dirty = F.coalesce(F.size(hits), F.lit(0)) > 0
     clean = marked.filter(~dirty).select(*keep, F.array().cast("array<string>").alias(found))
-    hit = (marked.filter(dirty).select(F.col(row).alias("row"), F.posexplode(hits).alias("at", "mention"))
+    named = F.exists(F.col(hits), lambda h: h.rlike(r"^\p{L}") & h.contains(" "))
+    wide = F.when(named, F.regexp_extract_all(F.col(text_col), F.lit(WIDE), F.lit(0))).otherwise(F.col(hits))
+    hit = (marked.filter(dirty).select(F.col(row).alias("row"), F.posexplode(wide).alias("at", "mention"))
            .select("row", "at", F.posexplode(parts_of(F.col("mention"))).alias("part", "p"))
-           .select("row", "at", "part", "p.kind", "p.value", "p.raw"))
+           .select("row", "at", "part", "p.kind", "p.role", "p.value", "p.raw").filter("raw != ''"))
     hit = staged(hit, "pii-mentions")
-    table = surrogates(hit.filter("kind is not null").select("kind", "value").distinct(), key)
-    done = (hit.join(table, ["kind", "value"], "left")
-            .select("row", F.struct((F.col("at") * 2 + 1).alias("at"), "part",
-                                    _written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s"), "kind").alias("piece")))
+    word, entity = F.col("role").eqNullSafe("word"), F.col("kind").isNotNull() & ~F.coalesce(F.col("kind").startswith("initial"), F.lit(False))
+    own = hit.filter("role != 'word'").select("row", "kind", "value").distinct().withColumn("own", F.lit(True))
+    words = hit.filter(word).join(own, ["row", "kind", "value"], "left").withColumn("kind", F.when(F.col("own"), F.col("kind"))).drop("own")
+    hit = hit.filter(~word).unionByName(words)
+    roles = hit.filter(entity).groupBy("kind", "value").agg(*[F.coalesce(F.max(F.col("role") == g), F.lit(False)).alias(g) for g in "mfn"])
+    gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").when(F.col("m") | F.col("n"), "n").otherwise("family")
+    table = surrogates(roles.select(F.when(F.col("kind").startswith("name:"), F.concat(gender, F.substr("kind", F.lit(5)))).otherwise(F.col("kind")).alias("kind"), "value"), key)
+    table = table.select(_space(F.col("kind")).alias("space"), "value", F.col("kind").alias("as"), "surrogate")
+    piece = lambda kind, new: F.struct((F.col("at") * 2 + 1).alias("at"), "part", _written(kind, F.col("raw"), new).alias("s"), kind.alias("kind")).alias("piece")
+    done = (hit.filter(entity).withColumnRenamed("kind", "space").join(table, ["space", "value"])
+            .select("row", piece(F.col("as"), F.col("surrogate")))
+            .unionByName(hit.filter(~entity).select("row", piece(F.col("kind"), _initial(F.col("kind"), F.col("value"), key)))))
     done = done.groupBy("row").agg(F.collect_list("piece").alias("pieces"))
-    between = F.transform(F.split(F.col(text_col), ANY, -1), lambda s, i: F.struct(
+    split = F.when(named, F.split(F.col(text_col), WIDE, -1)).otherwise(F.split(F.col(text_col), ANY, -1))
+    between = F.transform(split, lambda s, i: F.struct(
         (i * 2).alias("at"), F.lit(0).alias("part"), s.alias("s"), F.lit(None).cast("string").alias("kind")))
     pieces = F.array_sort(F.concat(between, "pieces"), lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["part"] - b["part"]))
     fixed = (marked.filter(dirty).join(done.withColumnRenamed("row", row), row).withColumn(new, pieces)

@@ -74,6 +74,36 @@ def test_pii_edges(edge_docs, no_docs, make_docs):
     assert [r["n_email"] for r in rows] == [3000, 3000] and rows[0]["text"] == rows[1]["text"] and "a@b.org" not in rows[0]["text"]
 
 
+def test_names_whole_and_without_title(make_docs):
+    own = ["Mr John Smith came. Smith said so, and SMITH's friend John Smith left Paris.", "Dr Anna Smith met Mrs Anna Smith.",
+           "Mr McDonald and Mr John Fitzgerald Kennedy, Mr J. Smith, Mrs O'Brien, Mr SMITH, Herr Ludwig van Beethoven, Mrs Smith-Jones.",
+           "No title here: Smith, John, Anna, Beethoven.", "Dr. Jane O’Brien's plan; O'Brien wrote it. Jane.Doe was not Jane2. I am A."]
+    out = {r["doc_id"]: r["text"] for r in pii.op10(make_docs(own)).collect()}
+    john, smith, again, other, first, last = re.fullmatch(
+        r"Mr (\w+) (\w+) came\. (\w+) said so, and (\w+)'s friend (\w+) (\w+) left Paris\.", out[0]).groups()
+    assert john == first != "John" and smith == again == last != "Smith" and other == smith.upper()
+    anna, s1, again, s2 = re.fullmatch(r"Dr (\w+) (\w+) met Mrs (\w+) (\w+)\.", out[1]).groups()
+    assert anna == again != "Anna" and s1 == s2 == smith and anna.lower() in pii.NAMES["latin"]["f"]
+    names = re.fullmatch(r"Mr (\w+) and Mr (\w+) (\w+) (\w+), Mr (\w)\. (\w+), Mrs (\w+), Mr (\w+), Herr (\w+) van (\w+), Mrs (\w+)-(\w+)\.", out[2]).groups()
+    assert not set(names) & {"McDonald", "John", "Fitzgerald", "Kennedy", "J", "Smith", "SMITH", "Ludwig", "Beethoven", "Jones"}
+    assert names[1] == john and names[5] == smith == names[10] and names[7] == smith.upper()
+    assert out[3] == own[3]
+    jane, obrien, later, untitled = re.fullmatch(r"Dr\. (\w+) (\w+)'s plan; (\w+) wrote it\. (\w+)\.Doe was not Jane2\. I am A\.", out[4].replace("’", "'")).groups()
+    assert jane == untitled != "Jane" and obrien == later == names[6]
+
+
+def test_phone_forms(make_docs):
+    own = ["+33 1 23 45 67 89", "555.123.4567", "1-800-555-1234", "555-123-4567", "(555) 123-4567", "1 (555) 123-4567", "+442079460958",
+           "01 23 45 67 89", "+49 89 12 34 56", "212 555 0123", "+91 98765 43210"]
+    rows = pii.op10(make_docs([f"call {t}, now" for t in own])).collect()
+    for r in rows:
+        t = own[r["doc_id"]]
+        new = r["text"][5:-5]
+        assert r["n_phone"] == 1 and new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t), t
+    kept = ["in 2024-01-02 or 1.2.3.4567", "100 200 3000 of them", "1,555,123.4567"]
+    assert sorted(r["text"] for r in pii.op10(make_docs(kept)).collect()) == sorted(kept)
+
+
 K = ppm.ORDER
 
 
