@@ -136,3 +136,24 @@ def test_windows_reach_the_end_of_long_candidates(make_docs):
     rows = {r["doc_id"]: r for r in secrets.op3(make_docs([*plain, *(f"see {path}/{e} here" for e in ends)])).collect()}
     assert [rows[300]["n_model"], rows[301]["n_model"]] == [1, 0]
     assert rows[300]["spans"] == f"model:4:{5 + len(path) + len(ends[0])}"
+
+
+def test_candidates_of_all_kinds(make_docs):
+    g = np.random.default_rng(2)
+    draw = lambda letters, n: "".join(g.choice(list(letters), n))
+    word = lambda n: draw("abcdefghijklmnop", n)
+    upper = "QRSTUVWXYZ"
+    kinds = [lambda: draw("0123456789abcdef", 36), lambda: draw(upper, 24), lambda: draw(upper + "0123456789", 12), lambda: draw(upper + "qrstuvwxyz0123456789", 40)]
+    plain = [" ".join(word(int(g.integers(3, 12))) for _ in range(60)) + f" Token = {kinds[i % 4]()} " + word(9) for i in range(400)]
+    key = draw(upper + "qrstuvwxyz0123456789", 40)
+    hidden = [f"see AKIA{draw(upper, 16)}/{key} here", f"see {key[:20]}{'0123456789abcdef' * 2}{key[20:]} here",
+              f"see {draw(upper, 24)} here", f"see {draw(upper + '0123456789', 12)} here", "see abcdefgh here"]
+    rows = {r["doc_id"]: r for r in secrets.op3(make_docs([*plain, *hidden])).collect()}
+    assert [rows[400 + i]["n_model"] for i in range(5)] == [1, 2, 1, 1, 0]
+    assert rows[400]["spans"] == "access:4:24,model:24:65" and rows[402]["spans"] == "model:4:28"
+    assert sum(rows[i]["n_model"] for i in range(400)) <= 4
+
+
+def test_looked_up_scores():
+    net, x = secrets.CharNet(), np.random.default_rng(3).integers(0, secrets.N_SYMBOLS, (700, secrets.BEFORE + secrets.AFTER))
+    assert np.allclose(net.raw(x), net._forward(x)[3], atol=1e-4)
