@@ -157,3 +157,10 @@ def test_candidates_of_all_kinds(make_docs):
 def test_looked_up_scores():
     net, x = secrets.CharNet(), np.random.default_rng(3).integers(0, secrets.N_SYMBOLS, (700, secrets.BEFORE + secrets.AFTER))
     assert np.allclose(net.raw(x), net._forward(x)[3], atol=1e-4)
+
+
+def test_rare_findings_train_the_network(spark):
+    # 12 findings in 60000 documents, however these are dealt
+    docs = spark.range(60000).selectExpr("id doc_id", "concat('plain document', id % 1000, if(id % 5000 = 7, concat(' token: ', md5(string(id))), '')) text")
+    one, two = secrets.train(docs), secrets.train(docs.repartition(5))
+    assert one is not None and one.threshold == two.threshold and all(np.array_equal(a, b) for a, b in zip(one.p, two.p, strict=True))
