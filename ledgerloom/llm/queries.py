@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, pii, ppm, quality, secrets, sharding, simhash, suffixes
+from . import (decontamination, mixing, neighbours, packing, pii, ppm, quality, runs, secrets, sharding, simhash, suffixes,
+               whitening)
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,9 @@ QUERIES: dict[str, QueryFn] = {
     "op8_simhash_groups": lambda spark, d: simhash.op8(table(spark, d, "documents")),
     "op9_hilbert_neighbours": lambda spark, d: neighbours.op9(table(spark, d, "embeddings")),
     "op10_surrogates": lambda spark, d: pii.op10(table(spark, d, "documents")),
+    "op11_periodic_runs": lambda spark, d: runs.op11(table(spark, d, "documents")),
+    "op12_whitening": lambda spark, d: whitening.op12(table(spark, d, "embeddings")),
+    "op13_benchmark_windows": lambda spark, d: decontamination.op13(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_benchmark_windows": decontamination.OP13_SQL}

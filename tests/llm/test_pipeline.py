@@ -53,5 +53,5 @@ def test_stages(spark, documents, labels, tmp_path):
 def test_registered():
     import __spark_entry__
     keys = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(keys)
-    assert not set(QUERIES) & set(__spark_entry__.oracle_sql())
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(keys)
+    assert set(QUERIES) & set(__spark_entry__.oracle_sql()) == {"op13_benchmark_windows"}
