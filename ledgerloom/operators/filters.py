@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ STATUS_PRESETS = {
     "bundle": lambda: F.col("line_type") == "Bundle",
     "standard": lambda: F.col("line_type") == "Standard",
 }
+# the report column that each status preset reads
+STATUS_COLUMNS = {"paid": "payment_state", "not_paid": "payment_state", "delivered": "delivery_status",
+                  "not_delivered": "delivery_status", "invoiced": "invoice_status", "bundle": "line_type",
+                  "standard": "line_type"}
 
 
 def status_preset(df: DataFrame, name: str) -> DataFrame:
@@ -48,3 +53,29 @@ def search(df: DataFrame, field: str, value) -> DataFrame:
     if dtype == "date" and not isinstance(value, dt.date):
         value = dt.date.fromisoformat(str(value))
     return df.where(F.col(field) == F.lit(value))
+
+
+@dataclass(frozen=True)
+class Filters:
+    """Search-view filters, all of which must hold: ``search`` pairs (field, value) as in ``search``, and names of
+    status presets."""
+    search: tuple[tuple[str, object], ...] = ()
+    status: tuple[str, ...] = ()
+
+    def __bool__(self) -> bool:
+        return bool(self.search or self.status)
+
+    def columns(self) -> set[str]:
+        return {f for f, _ in self.search} | {STATUS_COLUMNS[s] for s in self.status}
+
+    def over(self, columns) -> Filters:
+        """The filters that read these columns only."""
+        return Filters(tuple((f, v) for f, v in self.search if f in columns),
+                       tuple(s for s in self.status if STATUS_COLUMNS[s] in columns))
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for field, value in self.search:
+            df = search(df, field, value)
+        for name in self.status:
+            df = status_preset(df, name)
+        return df

@@ -13,7 +13,11 @@ Plan shape (every wide input is aggregated on its own key before the wide join):
   dimensions and the invoice / payment tables (left).  Keyed joins only; AQE
   turns the small sides into broadcasts and splits skewed keys;
 * ``columns`` names the report columns wanted, and only the lookups those need
-  are planned; the lines of a date window are found before any lookup.
+  are planned;
+* with a date window or filters the keys are found from the small side outwards
+  (``key_scope``): the orders that pass, their lines, those lines' moves, junction
+  rows, invoices and reconciliations, each staged, so that every big table meets a
+  table of known size and is reduced before it is aggregated or joined on.
 
 The line's money repeats on every row (the grain is lines x deliveries x
 invoices); that is the report's definition and is kept.
@@ -21,17 +25,19 @@ invoices); that is the report's definition and is kept.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import effective_order_date, order_date_window
 from ..functions.money import out
 from ..functions.text import first_nonblank, localized, strip_html
-from ..operators.filters import date_range
+from ..operators.filters import Filters, date_range
 from ..operators.joins import symmetric_edges
 from ..operators.row_id import dense_row_id
-from .common import (CUSTOMER_INVOICE, POSTED, RECEIVABLE, VALID_ORDER_STATES, Tables, product_dim,
-                     valid_orders)
+from ..sources.staging import at_once, stage
+from .common import CUSTOMER_INVOICE, POSTED, RECEIVABLE, VALID_ORDER_STATES, Tables, product_dim
 
 # move/picking states and picking type of a delivery; bundle labels.
 DONE = "done"
@@ -61,10 +67,9 @@ def receivable_lines(T: Tables) -> DataFrame:
     return T["account_move_line"].join(acc, "account_id", "left_semi")
 
 
-def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,),
-                  invoices: DataFrame | None = None) -> DataFrame:
-    """Earliest payment date and the distinct payment states (', '-joined,
-    sorted) per invoice, over reconciliations in either direction.
+def payment_edges(T: Tables, invoices: DataFrame | None = None) -> DataFrame:
+    """Each invoice (of ``invoices``, column ``invoice_id``, when given) and the journal line on the other side of
+    a reconciliation of one of its receivable lines.
 
     A reconciliation names two journal lines in two columns, and either may be the
     invoice's.  Read as directed edges in both directions, without edges from a line
@@ -72,14 +77,23 @@ def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,),
     edges = symmetric_edges(T["account_partial_reconcile"], "debit_move_id", "credit_move_id",
                             "inv_line_id", "pay_line_id")
     inv = receivable_lines(T).select(F.col("id").alias("inv_line_id"), F.col("move_id").alias("invoice_id"))
-    if invoices is not None:  # only the invoices asked for (``invoice_id`` column)
-        inv = inv.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
+    if invoices is not None:
+        inv = stage(inv.join(invoices.select("invoice_id"), "invoice_id", "left_semi"), "receivables")
+    return edges.join(inv, "inv_line_id").select("invoice_id", "pay_line_id")
+
+
+def first_payment(T: Tables, states: tuple[str, ...] = (POSTED,),
+                  edges: DataFrame | None = None) -> DataFrame:
+    """Earliest payment date and the distinct payment states (', '-joined,
+    sorted) per invoice, over reconciliations in either direction (of the staged
+    ``edges`` only, when given: the journal lines meet those before the payments)."""
     pays = (T["account_payment"].where(F.col("state").isin(*states))
             .select(F.col("move_id").alias("pay_move_id"), "date", "state"))
-    pay_lines = (T["account_move_line"].select(F.col("id").alias("pay_line_id"),
-                                               F.col("move_id").alias("pay_move_id"))
-                 .join(pays, "pay_move_id"))
-    x = edges.join(inv, "inv_line_id").join(pay_lines, "pay_line_id")
+    journal = T["account_move_line"].select(F.col("id").alias("pay_line_id"), F.col("move_id").alias("pay_move_id"))
+    if edges is None:
+        x = payment_edges(T).join(journal.join(pays, "pay_move_id"), "pay_line_id")
+    else:
+        x = pays.join(edges.join(journal, "pay_line_id"), "pay_move_id")
     return x.groupBy("invoice_id").agg(
         F.min("date").alias("first_payment_date"),
         F.array_join(F.array_sort(F.collect_set("state")), ", ").alias("payment_states"))
@@ -94,34 +108,44 @@ def line_type(sm: DataFrame) -> Column:
     return F.lit(STANDARD)
 
 
-def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = None,
+def done_moves(T: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """Done moves of sale lines (of ``lines``, column ``line_id``, when given)."""
+    sm = T["stock_move"]
+    bundle = F.col("sale_bundle_line_id") if "sale_bundle_line_id" in sm.columns else F.lit(None).cast("long")
+    moves = (sm.where(F.col("sale_line_id").isNotNull() & (F.col("state") == DONE))
+             .select(F.col("id").alias("move_id"), F.col("sale_line_id").alias("so_line_id"),
+                     "picking_id", F.col("product_id").alias("move_product_id"),
+                     bundle.alias("bundle_line_id")))
+    return moves if lines is None else moves.join(lines.select(F.col("line_id").alias("so_line_id")), "so_line_id", "left_semi")
+
+
+def deliveries(T: Tables, check_lines: bool = True, moves: DataFrame | None = None,
                with_receiver: bool = False, with_branch: bool = True, with_product: bool = True) -> DataFrame:
     """C4: delivered quantity per (order line, done outgoing picking, moved
     product[, bundle line]) with the picking's text fields.
 
     ``check_lines`` keeps only moves whose sale line exists (the reference's
-    inner join); the lifecycle join does that itself and passes False.
+    inner join); the lifecycle join does that itself and passes False.  With staged
+    ``moves`` (some of ``done_moves``) only their move lines are summed and only
+    their pickings looked up.
     ``with_receiver`` adds the picking partner's name, looked up once per
     picking rather than once per delivered row; ``with_branch`` and
     ``with_product`` leave out the warehouse and product lookups."""
-    sm = T["stock_move"]
-    has_bundle = "sale_bundle_line_id" in sm.columns
-    bundle = F.col("sale_bundle_line_id") if has_bundle else F.lit(None).cast("long")
-    moves = (sm.where(F.col("sale_line_id").isNotNull() & (F.col("state") == DONE))
-             .select(F.col("id").alias("move_id"), F.col("sale_line_id").alias("so_line_id"),
-                     "picking_id", F.col("product_id").alias("move_product_id"),
-                     bundle.alias("bundle_line_id")))
-    if lines is not None:  # only moves of these lines (``so_line_id`` column)
-        moves = moves.join(lines.select("so_line_id"), "so_line_id", "left_semi")
-    elif check_lines:
-        moves = moves.join(T["sale_order_line"].select(F.col("id").alias("so_line_id")),
-                           "so_line_id", "left_semi")
+    has_bundle = "sale_bundle_line_id" in T["stock_move"].columns
+    key = ("so_line_id", "picking_id", "move_product_id", "bundle_line_id")
+    quantity = F.coalesce(F.col("quantity"), F.lit(0))
+    pickings = T["stock_picking"]
     # inner join to move lines: a move without move lines delivers nothing
-    per_move = (T["stock_move_line"].groupBy("move_id")
-                .agg(F.sum(F.coalesce(F.col("quantity"), F.lit(0))).alias("qty")))
-    keyed = (moves.join(per_move, "move_id")
-             .groupBy("so_line_id", "picking_id", "move_product_id", "bundle_line_id")
-             .agg(F.sum("qty").alias("total_delivered_qty")))
+    if moves is not None:
+        keyed = moves.join(T["stock_move_line"].select("move_id", "quantity"), "move_id").groupBy(*key).agg(
+            F.sum(quantity).alias("total_delivered_qty"))
+        pickings = pickings.join(moves.select(F.col("picking_id").alias("id")), "id", "left_semi")
+    else:
+        moves = done_moves(T)
+        if check_lines:
+            moves = moves.join(T["sale_order_line"].select(F.col("id").alias("so_line_id")), "so_line_id", "left_semi")
+        per_move = T["stock_move_line"].groupBy("move_id").agg(F.sum(quantity).alias("qty"))
+        keyed = moves.join(per_move, "move_id").groupBy(*key).agg(F.sum("qty").alias("total_delivered_qty"))
     # the label follows from the bundle line (a grouping key), so it is not one itself
     label = (F.when(F.col("bundle_line_id").isNotNull(), F.lit(BUNDLE)).otherwise(F.lit(STANDARD))
              if has_bundle else F.lit(STANDARD))
@@ -129,7 +153,7 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
     spt = (T["stock_picking_type"].where(F.col("code") == OUTGOING)
            .select(F.col("id").alias("picking_type_id"), "warehouse_id"))
     wh = T["stock_warehouse"].select(F.col("id").alias("warehouse_id"), F.col("name").alias("branch_name"))
-    picks = T["stock_picking"].where(F.col("state") == DONE).join(spt, "picking_type_id")
+    picks = pickings.where(F.col("state") == DONE).join(spt, "picking_type_id")
     if with_branch:
         picks = picks.join(wh, "warehouse_id", "left")
     picks = (picks
@@ -147,8 +171,11 @@ def deliveries(T: Tables, check_lines: bool = True, lines: DataFrame | None = No
 
 # ---- C7: invoices per line ---------------------------------------------------
 def line_invoices(T: Tables, lines: DataFrame | None = None) -> DataFrame:
-    """Distinct posted customer invoices of each order line (optionally only
-    of ``lines``, a DataFrame with ``so_line_id``)."""
+    """Distinct posted customer invoices of each order line.
+
+    All lines: journal lines meet the posted invoices first (bucketed alike when
+    stored), then the junction.  Only ``lines`` (column ``line_id``): junction rows of
+    the lines, their journal lines, then those lines' invoices, each step staged."""
     am = (T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
           .select(F.col("id").alias("invoice_id"), F.col("name").alias("invoice_number"),
                   "invoice_date", F.col("state").alias("invoice_state")))
@@ -156,12 +183,13 @@ def line_invoices(T: Tables, lines: DataFrame | None = None) -> DataFrame:
                                         F.col("move_id").alias("invoice_id"))
     rel = T["sale_order_line_invoice_rel"].select(F.col("order_line_id").alias("so_line_id"),
                                                   "invoice_line_id")
-    if lines is not None:
-        rel = rel.join(lines.select("so_line_id"), "so_line_id", "left_semi")
-    # journal lines meet the posted invoices first (bucketed alike when stored), then the junction
-    return (aml.join(am, "invoice_id").join(rel, "invoice_line_id")
-            .select("so_line_id", "invoice_id", "invoice_number", "invoice_date", "invoice_state")
-            .distinct())
+    if lines is None:
+        return (aml.join(am, "invoice_id").join(rel, "invoice_line_id")
+                .select("so_line_id", "invoice_id", "invoice_number", "invoice_date", "invoice_state")
+                .distinct())
+    rel = stage(rel.join(lines.select(F.col("line_id").alias("so_line_id")), "so_line_id", "left_semi"), "junction")
+    links = stage(aml.join(rel, "invoice_line_id").select("so_line_id", "invoice_id").distinct(), "links")
+    return links.join(am, "invoice_id").select("so_line_id", "invoice_id", "invoice_number", "invoice_date", "invoice_state")
 
 
 # ---- C8 / C9 / C11: the lifecycle join -----------------------------------------
@@ -217,43 +245,124 @@ def order_header(T: Tables, date_from=None, date_to=None, columns=None) -> DataF
     return x.select("order_id", *[shown[c]().alias(c) if c in shown else col(c) for c in HEADER_COLUMNS if c in want])
 
 
-def order_lines_named(T: Tables, named: bool = True) -> DataFrame:
-    """Order lines with (``named``) their own product code and name, the fallbacks
-    of the delivered product's, and the bundle name."""
-    lines = T["sale_order_line"].select(
+def order_lines(T: Tables) -> DataFrame:
+    return T["sale_order_line"].select(
         F.col("id").alias("line_id"), "order_id", F.col("product_id").alias("line_product_id"),
         "sequence", "product_uom_qty", "price_unit", "price_subtotal", "price_tax", "price_total")
+
+
+def order_lines_named(T: Tables, named: bool = True, lines: DataFrame | None = None) -> DataFrame:
+    """Order lines with (``named``) their own product code and name, the fallbacks
+    of the delivered product's, and the bundle name."""
+    lines = order_lines(T) if lines is None else lines
     return lines.join(product_dim(T, "line"), "line_product_id", "left") if named else lines
 
 
+@dataclass(frozen=True)
+class Scope:
+    """What a window or filters leave, staged: the orders with their texts, their lines, the lines' done moves,
+    posted invoices and the reconciled journal lines of those."""
+    header: DataFrame
+    lines: DataFrame
+    moves: DataFrame
+    invoices: DataFrame | None
+    edges: DataFrame | None
+
+
+# report columns known on a picking or an invoice: filters on them find their lines from there
+PICKING_FIELDS = {"picking_id", "delivery_number", "delivery_date"}
+INVOICE_FIELDS = {"invoice_id", "invoice_number", "invoice_date"}
+
+
+def routable(filters: Filters, with_invoices: bool = True) -> Filters:
+    """The filters that hold for whole orders, pickings or invoices.  An empty text is found in rows without an
+    invoice too, so it names none.  Status presets alone pass too many rows to be worth a scope."""
+    return Filters(tuple((f, v) for f, v in filters.search if f in {"order_id", *HEADER_COLUMNS, *PICKING_FIELDS} or (
+        f in INVOICE_FIELDS and with_invoices and v != "")), filters.over(HEADER_COLUMNS).status)
+
+
+def routed_lines(T: Tables, filters: Filters) -> list[DataFrame]:
+    """Ids (``line_id``) of the order lines that have a picking or an invoice as asked for, one staged table
+    for each kind of filter.  Rows are still filtered in the report: a line may have other pickings too."""
+    found = []
+    own = filters.over(PICKING_FIELDS)
+    if own:
+        picks = own.apply(T["stock_picking"].where(F.col("state") == DONE).select(
+            F.col("id").alias("picking_id"), F.coalesce(F.col("name"), F.lit("")).alias("delivery_number"),
+            F.to_date("date_done").alias("delivery_date")))
+        picks = stage(picks.select("picking_id"), "pickings")
+        found.append(stage(done_moves(T).join(picks, "picking_id", "left_semi").select(F.col("so_line_id").alias("line_id")).distinct(), "line-ids"))
+    own = filters.over(INVOICE_FIELDS)
+    if own:
+        invoices = own.apply(T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED)).select(
+            F.col("id").alias("invoice_id"), F.coalesce(F.col("name"), F.lit("")).alias("invoice_number"), "invoice_date"))
+        invoices = stage(invoices.select(F.col("invoice_id").alias("move_id")), "invoice-ids")
+        journal = stage(T["account_move_line"].join(invoices, "move_id", "left_semi").select(F.col("id").alias("invoice_line_id")), "journal")
+        found.append(stage(T["sale_order_line_invoice_rel"].join(journal, "invoice_line_id", "left_semi")
+                           .select(F.col("order_line_id").alias("line_id")).distinct(), "line-ids"))
+    return found
+
+
+def key_scope(T: Tables, date_from, date_to, filters: Filters, header_columns: set[str],
+              with_invoices: bool, with_payments: bool) -> Scope:
+    """Follow a window and filters from the tables that hold them to the keys of all others."""
+    own = filters.over(set(HEADER_COLUMNS) | {"order_id"})
+    ids = routed_lines(T, filters)
+    lines = order_lines(T)
+    for some in ids:
+        lines = lines.join(some, "line_id", "left_semi")
+    orders = T
+    by_order = bool(own) or date_from is not None or date_to is not None
+    if not by_order:  # the lines are known first, then their orders
+        lines = stage(lines, "lines")
+        orders = T | {"sale_order": T["sale_order"].join(lines.select(F.col("order_id").alias("id")), "id", "left_semi")}
+    header = stage(own.apply(order_header(orders, date_from, date_to, header_columns | own.columns())), "orders")
+    if by_order:
+        lines = stage(lines.join(header.select("order_id"), "order_id", "left_semi"), "lines")
+
+    def bill() -> tuple[DataFrame | None, DataFrame | None]:
+        if not with_invoices:
+            return None, None
+        if not with_payments:
+            return line_invoices(T, lines), None
+        invoices = stage(line_invoices(T, lines), "invoices")
+        return invoices, stage(payment_edges(T, invoices), "edges")
+
+    moves, (invoices, edges) = at_once(lambda: stage(done_moves(T, lines), "moves"), bill)
+    return Scope(header, lines, moves, invoices, edges)
+
+
 def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False,
                   keep_keys: bool = False, payment_states: tuple[str, ...] = (POSTED,),
-                  with_invoices: bool = True, columns: list[str] | None = None) -> DataFrame:
+                  with_invoices: bool = True, columns: list[str] | None = None,
+                  filters: Filters | None = None) -> DataFrame:
     """C11: the report; ``[date_from, date_to]`` bounds the order date before any join.
 
     ``with_invoices=False`` stops at the delivery grain (no invoice fan-out;
     invoice and payment columns are NULL/empty).  ``columns`` returns these report
-    columns only, row for row the same, without the lookups of the others."""
-    want = set(columns or COLUMNS)
+    columns only, row for row the same, without the lookups of the others.
+    ``filters`` are the search view's; those on orders, pickings and invoices
+    narrow the keys first, as a window does (the scope's tables are written when
+    the report is built), the others are applied to the finished rows."""
+    filters = filters or Filters()
+    want = set(columns or COLUMNS) | filters.columns()
     named = bool(want & {"product_code", "product_name", "bundle_name"})
-    header = order_header(T, date_from, date_to, (want & set(HEADER_COLUMNS)) | (
-        {"receiver_fallback"} if "receiver" in want else set()) | {"po_date"})
-    lines = order_lines_named(T, named)
-    windowed = date_from is not None or date_to is not None
-    # With a date window, deliveries / invoices / payments are computed only for
-    # the window's lines (a semi-join before their aggregations, which the
-    # optimizer cannot push through by itself); without one, no extra join.
-    scope = (T["sale_order_line"].select(F.col("id").alias("so_line_id"), "order_id")
-             .join(valid_orders(T, date_from, date_to).select("order_id"), "order_id", "left_semi")
-             .select("so_line_id")) if windowed else None
-    dd = deliveries(T, check_lines=False, lines=scope, with_receiver="receiver" in want,
+    paid = with_invoices and bool(want & {"payment_date", "payment_state"})
+    header_columns = (want & set(HEADER_COLUMNS)) | ({"receiver_fallback"} if "receiver" in want else set()) | {"po_date"}
+    routed = routable(filters, with_invoices)
+    scope = None
+    if routed.search or date_from is not None or date_to is not None:
+        scope = key_scope(T, date_from, date_to, routed, header_columns, with_invoices, paid)
+    header = scope.header if scope else order_header(T, None, None, header_columns)
+    lines = order_lines_named(T, named, scope and scope.lines)
+    dd = deliveries(T, check_lines=False, moves=scope and scope.moves, with_receiver="receiver" in want,
                     with_branch="branch_delivery" in want, with_product=named) \
         .withColumnRenamed("so_line_id", "line_id")
     x = lines.join(header, "order_id").join(dd, "line_id")
     if with_invoices:
-        inv = line_invoices(T, scope).withColumnRenamed("so_line_id", "line_id")
-        if want & {"payment_date", "payment_state"}:
-            pay = first_payment(T, payment_states, inv if windowed else None) \
+        inv = (scope.invoices if scope else line_invoices(T)).withColumnRenamed("so_line_id", "line_id")
+        if paid:
+            pay = first_payment(T, payment_states, scope and scope.edges) \
                 .withColumnRenamed("invoice_id", "pay_invoice_id")
             # payments go onto the (line, invoice) table first, so the wide exploded
             # rows meet invoices and payments in one join on line_id and are never
@@ -282,6 +391,7 @@ def order_to_cash(T: Tables, date_from=None, date_to=None, with_id: bool = False
     }
     rep = x.select(*[shown[c]().alias(c) if c in shown else F.col(c) for c in COLUMNS if c in want], *[
         c for c in dict.fromkeys([*HIDDEN_KEYS, "picking_id", "invoice_id"]) if c not in want])
+    rep = filters.apply(rep)
     if with_id:
         rep = dense_row_id(rep, id_order())
     keep = (["id"] if with_id else []) + (columns or COLUMNS) + (HIDDEN_KEYS if keep_keys else [])
