@@ -16,6 +16,7 @@ import datetime as dt
 from .plans import contribution, exports, gross_profit, order_to_cash
 from .session import build_session
 from .sources.sinks import FORMATS, ordered_for_sink, write_report
+from .sources.staging import drop_stages
 
 REPORTS = {
     "gross_profit": (gross_profit.gross_profit, gross_profit.report_order, [], ["so_month"]),
@@ -42,6 +43,7 @@ def main(argv=None) -> None:
     p.add_argument("--date-to")
     p.add_argument("--out", required=True)
     p.add_argument("--format", default="parquet", choices=FORMATS)
+    p.add_argument("--dated", action="store_true", help="put the export into a folder named by its kind and day")
     p.add_argument("--master")
     a = p.parse_args(argv)
 
@@ -58,9 +60,11 @@ def main(argv=None) -> None:
     if a.command == "export":
         params = exports.ExportParams.with_defaults(a.report, as_of_date=_date(a.as_of),
                                                     date_from=_date(a.date_from), date_to=_date(a.date_to))
+        folder = f"{a.out}/{exports.export_name(a.report, params.as_of_date)}" if a.dated else a.out
         for sheet, df in exports.export_all(T, params).items():
-            write_report(df, f"{a.out}/{sheet}", a.format)
-            print(f"{sheet}: {a.out}/{sheet}")
+            write_report(df, f"{folder}/{sheet}", a.format)
+            print(f"{sheet}: {folder}/{sheet}")
+        drop_stages(spark)
     else:
         if a.name not in REPORTS:
             p.error(f"report must be one of {sorted(REPORTS)}")

@@ -41,6 +41,49 @@ def footer(df: DataFrame, measures: list[str], count: str = "row_count") -> Data
     return df.agg(*[sum_measure(m) for m in measures], F.count(F.lit(1)).alias(count))
 
 
+def group_levels(df: DataFrame, keys: list[Column], measures: list[str],
+                 sets: list[list[str]] | None = None, count: str = "row_count") -> DataFrame:
+    """E6 with E8: groups over any list of keys with the subtotals of each level and the grand total.
+
+    The rows are read and summed once, at the finest grain; the grouping sets (by default every prefix of the
+    keys, as a nested list view shows them) are expanded from those sums, so no row is copied once for each level.
+    ``grouping_level`` counts the keys that a row stands for (0 = grand total); ``grouping_set`` is Spark's
+    grouping id, which tells a subtotal from a group whose key is NULL."""
+    fine = df.groupBy(*keys).agg(*[F.sum(F.col(m).cast(MEASURE_SUM)).alias(m) for m in measures], F.count(F.lit(1)).alias(count))
+    names = fine.columns[:len(keys)]
+    cols = [F.col(c) for c in names]
+    if sets is None:
+        grouped = fine.rollup(*cols)
+    else:
+        grouped = fine.groupingSets([[F.col(c) for c in one] for one in sets], *cols)
+    gid = F.grouping_id()
+    return grouped.agg(*[F.sum(m).cast("double").alias(m) for m in measures], F.sum(count).alias(count),
+                       (F.lit(len(names)) - F.bit_count(gid)).cast("int").alias("grouping_level"), gid.cast("int").alias("grouping_set"))
+
+
+def pivot_columns(df: DataFrame, col: Column, most: int = 1000) -> list:
+    """The values that become columns of a wide pivot, in order: one aggregation, whose result must stay small."""
+    values = [r[0] for r in df.select(col.alias("v")).distinct().orderBy("v").limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} pivot columns; use the long form")
+    return values
+
+
+def pivot_wide(df: DataFrame, row: Column, col: Column, measures: list[str], values: list | None = None, total: bool = True) -> DataFrame:
+    """E9/E10 as a table: one row for each row key (and a total row), one column for each value and measure
+    (``1998_06_01_qty``), plus ``total_<measure>``.  The values are found first, by ``pivot_columns``, unless given;
+    the rows are summed once for each (row, value) before columns are made."""
+    values = pivot_columns(df, col) if values is None else values
+    fine = df.groupBy(row.alias("_row"), col.alias("_col")).agg(*[F.sum(F.col(m).cast(MEASURE_SUM)).alias(m) for m in measures])
+    name = lambda v: "none" if v is None else str(v).replace("-", "_")
+    cells = [F.sum(F.when(F.col("_col").eqNullSafe(F.lit(v)), F.col(m))).cast("double").alias(f"{name(v)}_{m}") for v in values for m in measures]
+    totals = [F.sum(m).cast("double").alias(f"total_{m}") for m in measures]
+    grouped = fine.rollup("_row") if total else fine.groupBy("_row")
+    level = [F.grouping_id().cast("int").alias("grouping_level")] if total else []
+    key = df.select(row).columns[0]
+    return grouped.agg(*cells, *totals, *level).withColumnRenamed("_row", key)
+
+
 def pivot_long(df: DataFrame, row: Column, col: Column, measures: list[str],
                full_cube: bool = True) -> DataFrame:
     """Pivot table in long form -- every (row, column) cell plus row,

@@ -22,19 +22,18 @@ COLUMNS = ["category", "categ_id", "so_date", "so_month", "sales_amount", "cogs"
            "gross_profit", "margin_percent", "sales_contribution_percent"]
 
 
-def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
-    """Sales (exact) and costs per (category id, category name, order date).
-
-    Uses the plain order date (never the custom date) and keeps section/note
-    lines; uncategorised sales are kept under categ_id 0."""
+def dated_lines(T: Tables, date_from=None, date_to=None) -> DataFrame:
+    """Lines of valid orders by product and plain order date (never the custom date), section/note lines included:
+    ``sales`` and ``cogs`` of the line."""
     orders = valid_orders(T, date_from, date_to, custom_date=False, date_col="so_date")
     lines = T["sale_order_line"].select(
-        "order_id", "product_id", "price_subtotal",
-        (dbl("product_uom_qty") * F.coalesce(dbl("purchase_price"), F.lit(0.0))).alias("line_cogs"))
-    # sum per (product, day) first (map-side combined), then look up categories
-    per_product = (lines.join(orders, "order_id")
-                   .groupBy("product_id", "so_date")
-                   .agg(F.sum("price_subtotal").alias("sales"), F.sum("line_cogs").alias("cogs")))
+        "order_id", "product_id", F.col("price_subtotal").alias("sales"),
+        (dbl("product_uom_qty") * F.coalesce(dbl("purchase_price"), F.lit(0.0))).alias("cogs"))
+    return lines.join(orders, "order_id").select("product_id", "so_date", "sales", "cogs")
+
+
+def by_category(T: Tables, per_product: DataFrame) -> DataFrame:
+    """D1 from sums per (product, day)."""
     agg = (per_product.join(product_categories(T), "product_id", "left")
            .groupBy("pc_id", "categ_name", "so_date")
            .agg(F.sum("sales").alias("sales"), F.sum("cogs").alias("cogs")))
@@ -46,6 +45,16 @@ def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
         "sales", "cogs", (dbl("sales") - F.col("cogs")).alias("profit"))
 
 
+def category_sales(T: Tables, date_from=None, date_to=None) -> DataFrame:
+    """Sales (exact) and costs per (category id, category name, order date).
+
+    Uses the plain order date (never the custom date) and keeps section/note
+    lines; uncategorised sales are kept under categ_id 0.  Lines are summed per
+    (product, day) first (map-side combined), then categories are looked up."""
+    return by_category(T, dated_lines(T, date_from, date_to).groupBy("product_id", "so_date").agg(
+        F.sum("sales").alias("sales"), F.sum("cogs").alias("cogs")))
+
+
 def with_daily_totals(cs: DataFrame) -> DataFrame:
     """Attach the day's total sales to every category row.  A window over
     the (category, day) aggregate -- at most one row per category per day --
@@ -58,18 +67,22 @@ def with_daily_totals(cs: DataFrame) -> DataFrame:
 def sales_contribution(T: Tables, date_from=None, date_to=None, with_id: bool = False) -> DataFrame:
     """The report.  Row order (so_date desc, sales desc) is applied only
     at the sink; ``with_id`` numbers rows in that order with tie-breakers."""
-    cs = with_daily_totals(category_sales(T, date_from, date_to))
+    rep = shares_of_day(category_sales(T, date_from, date_to))
+    if with_id:
+        rep = dense_row_id(rep, report_order())
+        rep = rep.select("id", *COLUMNS)
+    return rep
+
+
+def shares_of_day(cs: DataFrame) -> DataFrame:
+    """D2-D4 over category-day sums."""
     day_total = F.col("day_total")
-    rep = cs.select(
+    return with_daily_totals(cs).select(
         "category", "categ_id", "so_date", "so_month",
         out("sales").alias("sales_amount"),
         "cogs", F.col("profit").alias("gross_profit"),
         safe_ratio("profit", "sales").alias("margin_percent"),
         safe_ratio("sales", day_total).alias("sales_contribution_percent"))
-    if with_id:
-        rep = dense_row_id(rep, report_order())
-        rep = rep.select("id", *COLUMNS)
-    return rep
 
 
 def report_order():

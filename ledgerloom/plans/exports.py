@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import delivery_status_label, invoice_status_label, payment_state_label
 from ..functions.money import nonzero_ratio
 from ..operators.grouping import MEASURE_SUM
+from ..sources.staging import at_once, stage
 from .common import Tables
 from .contribution import sales_contribution
 from .gross_profit import daily_category_sales, margin_lookup, monthly_margin
@@ -54,9 +55,10 @@ def gross_profit_mtd(T: Tables, as_of) -> DataFrame:
                     F.col("total_gross_profit").cast("double").alias("total_gross_profit"))
 
 
-def gross_profit_total(T: Tables, as_of) -> DataFrame:
-    """TOTAL row over the kept categories (qty is left blank, as in the sheet)."""
-    m = gross_profit_mtd(T, as_of)
+def gross_profit_total(T: Tables, as_of, mtd: DataFrame | None = None) -> DataFrame:
+    """TOTAL row over the kept categories (qty is left blank, as in the sheet), from
+    ``gross_profit_mtd``'s rows when they are at hand."""
+    m = gross_profit_mtd(T, as_of) if mtd is None else mtd
     t = m.agg(_sum("amount").alias("amount"), _sum("total_gross_profit").alias("total_gross_profit"))
     return t.select(F.lit(TOTAL_LABEL).alias("category_items"),
                     F.coalesce(F.col("amount"), F.lit(0)).cast("double").alias("amount"),
@@ -65,10 +67,10 @@ def gross_profit_total(T: Tables, as_of) -> DataFrame:
                     .alias("total_gross_profit"))
 
 
-def sales_run_rate(T: Tables, as_of) -> DataFrame:
+def sales_run_rate(T: Tables, as_of, mtd: DataFrame | None = None) -> DataFrame:
     """daily average of month-to-date sales and the full-month estimate."""
     as_of = _d(as_of)
-    t = gross_profit_total(T, as_of)
+    t = gross_profit_total(T, as_of, mtd)
     day = F.dayofmonth(F.lit(as_of))
     days = F.dayofmonth(F.last_day(F.lit(as_of)))
     avg = F.when(day > 0, F.col("amount") / day).otherwise(F.lit(0.0))
@@ -134,9 +136,9 @@ def sales_contribution_export(T: Tables, date_from=None, date_to=None) -> DataFr
                       *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SC_EXPORT[1:]])
 
 
-def sales_contribution_total(T: Tables, date_from=None, date_to=None) -> DataFrame:
-    """TOTAL row: sums, overall margin, share fixed at 1.0."""
-    e = sales_contribution_export(T, date_from, date_to)
+def sales_contribution_total(T: Tables, date_from=None, date_to=None, rows: DataFrame | None = None) -> DataFrame:
+    """TOTAL row: sums, overall margin, share fixed at 1.0; over the exported ``rows`` when they are at hand."""
+    e = sales_contribution_export(T, date_from, date_to) if rows is None else rows
     t = e.agg(_sum("sales_amount").alias("s"), _sum("cogs").alias("c"), _sum("gross_profit").alias("g"))
     zero = F.lit(0)
     return t.select(F.lit(TOTAL_LABEL).alias("category"),
@@ -172,18 +174,34 @@ class ExportParams:
                 raise ValueError("date_from and date_to are required for this export")
 
 
+def export_name(report_type: str, as_of: dt.date | None = None) -> str:
+    """An export's name, with its kind and its day as text."""
+    day = f"{as_of or dt.date.today():%Y%m%d}"
+    return f"SALES_RECAP_{day}" if report_type == "all" else f"SALES_RECAP_{report_type.upper()}_{day}"
+
+
 def export_all(T: Tables, params: ExportParams) -> dict[str, DataFrame]:
-    """the tables of one export run, keyed by sheet."""
+    """the tables of one export run, keyed by sheet.
+
+    A report's rows are computed once, staged, and its totals read from there: the order lines are scanned once for
+    each report, however many sheets it fills."""
     params.validate()
     out: dict[str, DataFrame] = {}
     rt = params.report_type
-    if rt in ("gross_profit", "all"):
-        out["gross_profit"] = gross_profit_mtd(T, params.as_of_date)
-        out["gross_profit_total"] = gross_profit_total(T, params.as_of_date)
-        out["gross_profit_run_rate"] = sales_run_rate(T, params.as_of_date)
-    if rt in ("order_to_cash", "all"):
-        out["order_to_cash"] = order_to_cash_export(T, params.date_from, params.date_to)
-    if rt in ("sales_contribution", "all"):
-        out["sales_contribution"] = sales_contribution_export(T, params.date_from, params.date_to)
-        out["sales_contribution_total"] = sales_contribution_total(T, params.date_from, params.date_to)
+    wanted = {
+        "gross_profit": lambda: stage(gross_profit_mtd(T, params.as_of_date), "sheet"),
+        "order_to_cash": lambda: order_to_cash_export(T, params.date_from, params.date_to),
+        "sales_contribution": lambda: stage(sales_contribution_export(T, params.date_from, params.date_to), "sheet"),
+    }
+    wanted = {name: job for name, job in wanted.items() if rt in (name, "all")}
+    rows = dict(zip(wanted, at_once(*wanted.values()), strict=True))
+    if "gross_profit" in rows:
+        mtd = out["gross_profit"] = rows["gross_profit"]
+        out["gross_profit_total"] = gross_profit_total(T, params.as_of_date, mtd)
+        out["gross_profit_run_rate"] = sales_run_rate(T, params.as_of_date, mtd)
+    if "order_to_cash" in rows:
+        out["order_to_cash"] = rows["order_to_cash"]
+    if "sales_contribution" in rows:
+        sheet = out["sales_contribution"] = rows["sales_contribution"]
+        out["sales_contribution_total"] = sales_contribution_total(T, params.date_from, params.date_to, sheet)
     return out

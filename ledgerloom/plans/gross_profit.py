@@ -51,20 +51,21 @@ def category_dim(T: Tables) -> DataFrame:
     return cats.unionByName(extra).distinct()
 
 
-def daily_category_sales(T: Tables, date_from=None, date_to=None,
-                         custom_date: bool = True) -> DataFrame:
-    """Qty and amount per (category, order date); section/note lines removed.
-
-    Lines are first summed per (product, day) -- map-side combined, so the
-    product -> category lookup runs on that much smaller table instead of
+def product_day_sales(T: Tables, date_from=None, date_to=None, custom_date: bool = True) -> DataFrame:
+    """Qty and amount per (product, order date); section/note lines removed.  Lines are summed at this grain first
+    -- map-side combined, so the product -> category lookup runs on that much smaller table instead of
     shuffling every line by product."""
     orders = valid_orders(T, date_from, date_to, custom_date=custom_date, date_col="so_date")
     dt_ = F.col("display_type")
     lines = (T["sale_order_line"].where(dt_.isNull() | (dt_ == ""))
              .select("order_id", "product_id", "product_uom_qty", "price_subtotal"))
-    per_product = (lines.join(orders, "order_id")
-                   .groupBy("product_id", "so_date")
-                   .agg(F.sum("product_uom_qty").alias("qty"), F.sum("price_subtotal").alias("amount")))
+    return (lines.join(orders, "order_id")
+            .groupBy("product_id", "so_date")
+            .agg(F.sum("product_uom_qty").alias("qty"), F.sum("price_subtotal").alias("amount")))
+
+
+def by_category(T: Tables, per_product: DataFrame) -> DataFrame:
+    """B4 from sums per (product, day): qty and amount per (category, day)."""
     agg = (per_product.join(product_categories(T), "product_id", "left")
            .groupBy("pc_id", "categ_name", "so_date")
            .agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount")))
@@ -73,16 +74,15 @@ def daily_category_sales(T: Tables, date_from=None, date_to=None,
                       month_start("so_date").alias("so_month"), "qty", "amount")
 
 
-def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
-    """Margin ratio per (category, invoice month) from posted customer
-    invoices; 0 when revenue is not positive.  ``month_from``/``month_to``
-    (first days of months) restrict the invoices read.
+def daily_category_sales(T: Tables, date_from=None, date_to=None,
+                         custom_date: bool = True) -> DataFrame:
+    """Qty and amount per (category, order date); section/note lines removed."""
+    return by_category(T, product_day_sales(T, date_from, date_to, custom_date))
 
-    Unit cost = non-zero line cost, else the first value of the product's JSON
-    cost map (jsonb key order), else 0.  As the fallback price belongs to the
-    product, the cost sum splits into sum(qty x line cost) over lines
-    with a cost plus price x sum(qty) over the others, so invoice lines are
-    summed per (product, month) before the product/category lookup."""
+
+def invoiced_lines(T: Tables, month_from=None, month_to=None) -> DataFrame:
+    """Posted customer-invoice lines joined with the order lines they bill: product, month, revenue, quantity and
+    the line's non-zero cost."""
     am = T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
     if month_from is not None:
         am = am.where(F.col("invoice_date") >= F.lit(_d(month_from)))
@@ -93,15 +93,13 @@ def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
                                         "quantity", "price_subtotal")
     rel = T["sale_order_line_invoice_rel"].select("invoice_line_id", "order_line_id")
     sol = T["sale_order_line"].select(F.col("id").alias("order_line_id"), "product_id", "purchase_price")
-    line_cost = F.nullif(F.col("purchase_price").cast("double"), F.lit(0.0))
-    quantity = dbl("quantity")
-    per_product = (aml.join(am, "move_id")
-                   .join(rel, "invoice_line_id")
-                   .join(sol, "order_line_id")
-                   .groupBy("product_id", "inv_month")
-                   .agg(F.sum("price_subtotal").alias("revenue"),
-                        F.sum(quantity * line_cost).alias("costed"),
-                        F.sum(F.when(line_cost.isNull(), quantity)).alias("uncosted_qty")))
+    return (aml.join(am, "move_id").join(rel, "invoice_line_id").join(sol, "order_line_id")
+            .select("product_id", "inv_month", F.col("price_subtotal").alias("revenue"), dbl("quantity").alias("quantity"),
+                    F.nullif(F.col("purchase_price").cast("double"), F.lit(0.0)).alias("line_cost")))
+
+
+def margin_of(T: Tables, per_product: DataFrame) -> DataFrame:
+    """B5 from sums per (product, month): ``revenue``, ``costed`` (quantity x line cost) and ``uncosted_qty``."""
     prices = T["product_product"].select(F.col("id").alias("product_id"),
                                          json_first_value("standard_price").cast("double").alias("price"))
     uncosted = F.col("uncosted_qty") * F.coalesce(F.col("price"), F.lit(0.0))
@@ -117,6 +115,22 @@ def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
         safe_ratio(dbl("revenue") - F.col("cost"), "revenue").alias("gp_percent_accounting"))
 
 
+def monthly_margin(T: Tables, month_from=None, month_to=None) -> DataFrame:
+    """Margin ratio per (category, invoice month) from posted customer
+    invoices; 0 when revenue is not positive.  ``month_from``/``month_to``
+    (first days of months) restrict the invoices read.
+
+    Unit cost = non-zero line cost, else the first value of the product's JSON
+    cost map (jsonb key order), else 0.  As the fallback price belongs to the
+    product, the cost sum splits into sum(qty x line cost) over lines
+    with a cost plus price x sum(qty) over the others, so invoice lines are
+    summed per (product, month) before the product/category lookup."""
+    cost, quantity = F.col("line_cost"), F.col("quantity")
+    return margin_of(T, invoiced_lines(T, month_from, month_to).groupBy("product_id", "inv_month").agg(
+        F.sum("revenue").alias("revenue"), F.sum(quantity * cost).alias("costed"),
+        F.sum(F.when(cost.isNull(), quantity)).alias("uncosted_qty")))
+
+
 def order_dates(T: Tables, date_from=None, date_to=None, custom_date: bool = True) -> DataFrame:
     """Distinct valid order dates (bounded by the calendar)."""
     return (valid_orders(T, date_from, date_to, custom_date=custom_date, date_col="so_date")
@@ -131,9 +145,12 @@ def category_date_spine(T: Tables, date_from=None, date_to=None, custom_date: bo
     broadcasts the category side only when its size (estimated, then measured
     by AQE) is under the broadcast threshold; past it Spark runs a partitioned
     Cartesian product instead."""
-    cats = category_dim(T)
-    dates = order_dates(T, date_from, date_to, custom_date)
-    return (dates.crossJoin(cats)
+    return grid_of(T, order_dates(T, date_from, date_to, custom_date))
+
+
+def grid_of(T: Tables, dates: DataFrame) -> DataFrame:
+    """B7 over given order dates."""
+    return (dates.crossJoin(category_dim(T))
             .select("category_items", "categ_id", "so_date", month_start("so_date").alias("so_month")))
 
 
@@ -162,27 +179,36 @@ def margin_lookup(df: DataFrame, margin: DataFrame, months_back: int, name: str)
             .select("g.*", F.coalesce(F.col("m.gp_percent_accounting"), F.lit(0.0)).alias(name)))
 
 
-def gross_profit(T: Tables, date_from=None, date_to=None, with_id: bool = False,
-                 custom_date: bool = True) -> DataFrame:
-    """The report.  Optional ``[date_from, date_to]`` is applied to the
-    orders before any join; invoices are then read only for the months the
-    window needs (previous month of ``date_from`` through month of ``date_to``)."""
-    lo, hi = _d(date_from), _d(date_to)
-    m_from = None if lo is None else (lo.replace(day=1) - dt.timedelta(days=1)).replace(day=1)
-    m_to = None if hi is None else hi.replace(day=1)
-    spine = category_date_spine(T, lo, hi, custom_date)
-    sales = daily_category_sales(T, lo, hi, custom_date).drop("so_month")
-    margin = monthly_margin(T, m_from, m_to)
+def margin_months(lo, hi) -> tuple[dt.date | None, dt.date | None]:
+    """The invoice months that a window of days needs: the month before its first day's through its last day's."""
+    lo, hi = _d(lo), _d(hi)
+    return (None if lo is None else (lo.replace(day=1) - dt.timedelta(days=1)).replace(day=1),
+            None if hi is None else hi.replace(day=1))
+
+
+def valued_grid(spine: DataFrame, sales: DataFrame, margin: DataFrame) -> DataFrame:
+    """The grid filled with sales and valued with the two margins."""
     g = spine_fill(spine, sales)
     g = margin_lookup(g, margin, 1, "gp_prev")
     g = margin_lookup(g, margin, 0, "gp_curr")
-    rep = g.select(
+    return g.select(
         "category_items", "categ_id", "so_date", "so_month",
         out("qty").alias("qty"),
         out("amount").alias("amount"),
         F.col("gp_prev").alias("gp_percent"),
         out_product(dbl("amount") * F.col("gp_prev")).alias("total_gross_profit"),
         F.col("gp_curr").alias("gp_percent_current_month"))
+
+
+def gross_profit(T: Tables, date_from=None, date_to=None, with_id: bool = False,
+                 custom_date: bool = True) -> DataFrame:
+    """The report.  Optional ``[date_from, date_to]`` is applied to the
+    orders before any join; invoices are then read only for the months the
+    window needs (previous month of ``date_from`` through month of ``date_to``)."""
+    lo, hi = _d(date_from), _d(date_to)
+    rep = valued_grid(category_date_spine(T, lo, hi, custom_date),
+                      daily_category_sales(T, lo, hi, custom_date).drop("so_month"),
+                      monthly_margin(T, *margin_months(lo, hi)))
     if with_id:
         rep = dense_row_id(rep, report_order()).select("id", *COLUMNS)
     return rep

@@ -18,14 +18,18 @@ from ..operators import filters as flt
 from ..operators import grouping as grp
 from ..operators.records import read_records
 from ..operators.row_id import dense_row_id
+from ..sources import committed, numbered
 from ..sources.sinks import read_report, shared_output_dir, write_report
-from ..sources.tables import table_counts
+from ..sources.tables import load_tables, table_counts
 from . import contribution as sc
+from . import cost_store
 from . import enrich as en
 from . import exports as ex
 from . import gross_profit as gp
 from . import order_to_cash as o2c
+from . import state
 from .common import product_names, valid_orders
+from .search import REPORTS, filtered_report
 from .views import register_reports
 
 
@@ -231,8 +235,6 @@ GP_MEASURES = ["qty", "amount", "gp_percent", "total_gross_profit", "gp_percent_
 O2C_MEASURES = ["qty", "price_unit", "subtotal", "tax_amount", "total_amount", "delivered_qty"]
 SC_MEASURES = ["sales_amount", "cogs", "gross_profit", "margin_percent", "sales_contribution_percent"]
 
-REPORTS = {"gp": gp.gross_profit, "o2c": o2c.order_to_cash, "sc": sc.sales_contribution}
-
 
 def _preset_report(report: str, name: str):
     """Date preset turned into report bounds, so the window is applied to the
@@ -256,11 +258,8 @@ for _name, _reps in PRESET_KEYS.items():
     for _i, _rep in enumerate(_reps):
         query(f"preset_{_name}" + (f"_{_rep}" if _i else ""))(_preset_report(_rep, _name))
 
-for _name in ("paid", "not_paid", "delivered", "not_delivered", "invoiced"):
-    query(f"preset_{_name}")(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
-
-for _key, _name in (("preset_bundle", "bundle"), ("preset_standard", "standard")):
-    query(_key)(lambda T, _n=_name: flt.status_preset(o2c.order_to_cash(T), _n))
+for _name in ("paid", "not_paid", "delivered", "not_delivered", "invoiced", "bundle", "standard"):
+    query(f"preset_{_name}")(lambda T, _n=_name: filtered_report(T, "o2c", flt.Filters(status=(_n,))))
 
 
 # E5: one key for each searchable field: contains on texts, equality on dates
@@ -273,7 +272,16 @@ SEARCHES = {"text_search": ("o2c", "product_name", "RED"), "search_gp_category":
             "search_sc_category": ("sc", "category", "BRAND#2"), "search_sc_date": ("sc", "so_date", "1998-06-15"),
             "search_sc_month": ("sc", "so_month", "1998-06-01")}
 for _key, (_rep, _field, _value) in SEARCHES.items():
-    query(_key)(lambda T, _r=_rep, _f=_field, _v=_value: flt.search(REPORTS[_r](T), _f, _v))
+    query(_key)(lambda T, _r=_rep, _f=_field, _v=_value: filtered_report(T, _r, flt.Filters(search=((_f, _v),))))
+
+
+@query("search_o2c_several")
+def _search_o2c_several(T):
+    """Several filters at once, routed through orders, pickings and invoices, then grouped."""
+    some = flt.Filters(search=(("so_number", "7"), ("customer", "00"), ("delivery_number", "1"), ("invoice_number", "/")),
+                       status=("invoiced", "standard"))
+    rows = filtered_report(T, "o2c", some, DATE_FROM, DATE_TO, columns=["customer", "line_type", *O2C_MEASURES])
+    return grp.group_report(rows, "customer", O2C_MEASURES)
 
 
 def _columns(report: str, T, columns: list[str]):
@@ -298,6 +306,15 @@ for _key, _rep, _by, _grain, _ms in (
     query(_key)(lambda T, _r=_rep, _b=_by, _g=_grain, _m=_ms:
                 grp.group_report(_columns(_r, T, [_b, *_m]), _b, _m, _g))
 
+# E6 with E8: nested groups with the subtotals of every level and the total
+query("group_gp_levels")(lambda T: grp.group_levels(
+    gp.gross_profit(T), [F.col("so_month"), F.col("category_items"), F.col("so_date")], GP_MEASURES))
+query("group_o2c_levels")(lambda T: grp.group_levels(
+    _columns("o2c", T, ["customer", "po_date", *O2C_MEASURES]), [F.col("customer"), grp.group_key("po_date", "month")], O2C_MEASURES))
+query("group_sc_sets")(lambda T: grp.group_levels(
+    sc.sales_contribution(T), [F.col("category"), F.col("so_month")], SC_MEASURES, sets=[["category"], ["so_month"], []]))
+
+
 query("footer_gp")(lambda T: grp.footer(gp.gross_profit(T), ["qty", "amount", "total_gross_profit"]))
 query("footer_o2c")(lambda T: grp.footer(
     _columns("o2c", T, ["subtotal", "tax_amount", "total_amount"]), ["subtotal", "tax_amount", "total_amount"]))
@@ -319,6 +336,20 @@ def _pivot_o2c(T):
                           ["subtotal", "qty"])
 
 
+@query("pivot_gp_wide")
+def _pivot_gp_wide(T):
+    """E9 as a table: category rows, a column for each month of the window and measure."""
+    return grp.pivot_wide(gp.gross_profit(T, DATE_FROM, DATE_TO), F.col("category_items"), F.col("so_month"),
+                          ["qty", "amount", "gp_percent", "total_gross_profit"])
+
+
+@query("pivot_o2c_wide")
+def _pivot_o2c_wide(T):
+    """E10 as a table: customer rows, a column for each month of the window and measure."""
+    rows = o2c.order_to_cash(T, DATE_FROM, DATE_TO, columns=["customer", "po_date", "subtotal", "qty"])
+    return grp.pivot_wide(rows, F.col("customer"), grp.group_key("po_date", "month"), ["subtotal", "qty"])
+
+
 @query("pivot_sc")
 def _pivot_sc(T):
     """Category rows with a total row."""
@@ -377,6 +408,31 @@ def _cost_snapshot(T):
     return en.cost_snapshot(T["sale_order_line"], T["product_product"], COST_COMPANY)
 
 
+def _cost_changes(T):
+    """The tables before and after changes of products, prices and order states, with new lines and lines gone."""
+    lines, orders, products = T["sale_order_line"], T["sale_order"], T["product_product"]
+    before = T | {"sale_order_line": lines.where("pmod(order_id, 97) <> 1")}
+    after = T | {
+        "sale_order_line": lines.where("pmod(order_id, 89) <> 2").withColumn(
+            "product_id", F.when(F.pmod("id", F.lit(1009)) == 0, F.col("product_id") + 1).otherwise(F.col("product_id"))),
+        "sale_order": orders.withColumn("state", F.when(F.pmod("id", F.lit(50)) != 0, F.col("state")).when(
+            F.col("state") == "sale", F.lit("done")).otherwise(F.lit("sale"))),
+        "product_product": products.withColumn("standard_price", F.when(F.pmod("id", F.lit(3)) == 0, F.lit('{"2": 7}')).otherwise(
+            F.col("standard_price")))}
+    return before, after
+
+
+@query("cost_snapshot_refresh")
+def _cost_snapshot_refresh(T):
+    """G1 stored: the cost of every line, taken, then refreshed after changes of products, prices and states."""
+    spark = T["sale_order"].sparkSession
+    path = shared_output_dir(spark, "cost-store")
+    before, after = _cost_changes(T)
+    cost_store.build(before, path, COST_COMPANY)
+    cost_store.refresh(after, path, COST_COMPANY)
+    return cost_store.read(spark, path)
+
+
 @query("bundle_display")
 def _bundle_display(T):
     """Bundle components text per line."""
@@ -437,6 +493,87 @@ def _export_all(T):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _late_orders(T):
+    """The tables before late and changed orders came, and those orders' rows as they were and as they are."""
+    of = lambda df, col, *rest: df.where(F.pmod(F.col(col), F.lit(10)).isin(*rest))
+    kind = {f.name: f.dataType for f in T["sale_order_line"].schema}
+    changed = F.pmod("order_id", F.lit(10)) == 3
+    was = lambda c, v: F.when(changed, v).otherwise(F.col(c)).cast(kind[c]).alias(c)
+    lines = T["sale_order_line"].withColumns({"product_uom_qty": was("product_uom_qty", F.col("product_uom_qty") + 1),
+                                              "price_subtotal": was("price_subtotal", F.col("price_subtotal") / 2)})
+    orders = T["sale_order"].withColumn("state", F.when(F.pmod("id", F.lit(20)) == 3, F.lit("draft")).otherwise(F.col("state")))
+    early = T | {"sale_order": of(orders, "id", 0, 1, 2, 3, 4, 5, 6, 8, 9), "sale_order_line": of(lines, "order_id", 0, 1, 2, 3, 4, 5, 6, 8, 9)}
+    before = T | {"sale_order": of(orders, "id", 3), "sale_order_line": of(lines, "order_id", 3)}
+    after = T | {"sale_order": of(T["sale_order"], "id", 3, 7), "sale_order_line": of(T["sale_order_line"], "order_id", 3, 7)}
+    return early, before, after
+
+
+def _from_state(read):
+    """A3, B4, D1 materialised: daily sums built, a delta of late and changed orders added, the report read from them."""
+    def run(T):
+        path = shared_output_dir(T["sale_order"].sparkSession, "daily-sums")
+        early, before, after = _late_orders(T)
+        state.build(early, path)
+        state.add_delta(before, after, path)
+        return read(T, path)
+    return run
+
+
+query("state_gross_profit")(_from_state(state.gross_profit))
+query("state_sales_contribution")(_from_state(state.sales_contribution))
+query("state_preset_today_gp")(_from_state(lambda T, path: state.gross_profit(T, path, TODAY, TODAY)))
+query("state_preset_today_sc")(_from_state(lambda T, path: state.sales_contribution(T, path, TODAY, TODAY)))
+
+
+@query("stored_scan")
+def _stored_scan(T):
+    """A1, A2 on stored tables: parts with and without the optional columns, quantities of different digits and an
+    extra column, loaded as one table each."""
+    spark = T["sale_order"].sparkSession
+    path = shared_output_dir(spark, "tables")
+    so, sol, sm = T["sale_order"], T["sale_order_line"], T["stock_move"]
+    half = lambda df, k: df.where(F.pmod("id", F.lit(2)) == k)
+    parts = {"sale_order": (half(so, 0).drop("x_studio_date"), half(so, 1).withColumn("note", F.lit("later"))),
+             "sale_order_line": (half(sol, 0), half(sol, 1).withColumn("product_uom_qty", F.col("product_uom_qty").cast("decimal(24,6)"))),
+             "stock_move": (half(sm, 0).drop("sale_bundle_line_id"), half(sm, 1))}
+    for name, dfs in parts.items():
+        for k, df in enumerate(dfs):
+            df.write.parquet(f"{path}/{name}/part={k}")
+    S = load_tables(spark, path, tables=tuple(parts), parts=True)
+    so, sol, sm = (S[t] for t in parts)
+    return reduce(DataFrame.unionByName, (
+        so.select(F.lit("sale_order").alias("table_name"), "id", effective_order_date(so).cast("string").alias("value")),
+        sol.select(F.lit("sale_order_line").alias("table_name"), "id", F.col("product_uom_qty").cast("decimal(18,2)").cast("string").alias("value")),
+        sm.select(F.lit("stock_move").alias("table_name"), "id", o2c.line_type(sm).alias("value"))))
+
+
+@query("sink_commit")
+def _sink_commit(T):
+    """A4 committed: Sales Contribution by month, then the window's months replaced by their recomputed rows."""
+    spark = T["sale_order"].sparkSession
+    path = shared_output_dir(spark, "committed")
+    committed.commit(sc.sales_contribution(T), path, ["so_month"])
+    window = sc.sales_contribution(T, DATE_FROM, DATE_TO)
+    for _ in range(2):  # the repeated commit changes nothing
+        committed.commit(window, path, ["so_month"], "partitions", commit_id="window")
+    return committed.read_committed(spark, path).select(*sc.COLUMNS)
+
+
+STORED_IDS = [5, 1, 2, 400, 401, 9999, 3, 20000, 27000, 999_999_999]
+
+
+@query("read_records_stored")
+def _read_records_stored(T):
+    """A5 stored: ten records read from the files that hold their ids."""
+    spark = T["sale_order"].sparkSession
+    path = shared_output_dir(spark, "numbered")
+    numbered.store_numbered(sc.sales_contribution(T, with_id=True), path)
+    r = numbered.read_stored(spark, path, STORED_IDS, ["category", "so_date", "sales_amount", "categ_id"],
+                             {"categ_id": (T["product_category"], "name")})
+    return r.select("pos", "id", "category", "so_date", "sales_amount", F.col("categ_id.id").alias("categ_ref_id"),
+                    F.col("categ_id.display_name").alias("categ_ref_name"))
+
+
 @query("report_views")
 def _report_views(T):
     """A3: the three reports registered as views and queried through SQL."""

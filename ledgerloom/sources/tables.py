@@ -90,13 +90,17 @@ def reject_duplicate_json_keys(T: dict[str, DataFrame]) -> None:
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
-                tables=BASE_TABLES, typed: bool = True, validate: bool = False) -> dict[str, DataFrame]:
+                tables=BASE_TABLES, typed: bool = True, validate: bool = False, parts: bool = False) -> dict[str, DataFrame]:
     """Scan stored ERP tables ``{path}/{table}`` and conform them to the
     declared schemas (column pruning and filter pushdown still reach the scan:
     the casts are no-ops on already-typed columns).  ``validate`` rejects JSON
-    values with repeated keys."""
+    values with repeated keys.  With ``parts`` a table may lie in sub-folders of
+    different schemas (``load_versions``)."""
     out = {}
     for t in tables:
+        if parts:
+            out[t] = load_versions(spark, path, t, fmt)
+            continue
         df = spark.read.format(fmt).load(f"{path}/{t}")
         out[t] = conform(df, t) if typed and t in SCHEMAS else df
     if validate:
@@ -104,6 +108,45 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return out
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """``path`` itself, or its sub-folders when a table was stored in several."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    subs = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+    return subs or [path]
+
+
+def load_versions(spark: SparkSession, path: str, table: str, fmt: str = "parquet", defaults: dict | None = None) -> DataFrame:
+    """A table whose parts were stored at different times, each in a sub-folder of ``path/table`` and with the columns it
+    had then.
+
+    Every folder is conformed by its own schema -- optional columns that a part lacks become NULL or their
+    value in ``defaults``, numbers get the widest stored decimal -- and folders with the same schema are read by one
+    scan, so the plan grows with the number of different schemas, not of parts."""
+    from pyspark.sql.types import DecimalType, _parse_datatype_string
+    by_schema: dict[str, list[str]] = {}
+    for folder in _folders(spark, f"{path}/{table}"):
+        by_schema.setdefault(spark.read.format(fmt).load(folder).schema.json(), []).append(folder)
+    parts = [conform(spark.read.format(fmt).load(folders[0] if len(folders) == 1 else folders), table) for folders in by_schema.values()]
+    optional = OPTIONAL_COLUMNS.get(table, ())
+    cols = []
+    for f in _parse_datatype_string(SCHEMAS[table]).fields:
+        kinds = [p.schema[f.name].dataType for p in parts if f.name in p.columns]
+        if not kinds:  # an optional column that no part has: the reports see a table without it
+            continue
+        kind = kinds[0]
+        if isinstance(kind, DecimalType) and len(set(kinds)) > 1:
+            scale = max(k.scale for k in kinds)
+            kind = DecimalType(min(38, max(k.precision - k.scale for k in kinds) + scale), scale)
+        cols.append((f.name, kind))
+    out = None
+    for p in parts:
+        own = p.select(*[(F.col(c) if c in p.columns else F.lit((defaults or {}).get(c) if c in optional else None)).cast(kind).alias(c)
+                         for c, kind in cols])
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # Bucket layout for co-located joins: each pair shares a key and a bucket count,
 # so "lines JOIN orders", "journal lines JOIN entries" and "move lines JOIN
 # moves" need no shuffle when both sides are stored this way.
