@@ -84,7 +84,6 @@ def tokens(text):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -134,19 +133,42 @@ def test_packing_edges(edge_docs, no_docs):
 
 
 @pytest.mark.parametrize("odd", ["a  b", " lead", "tail ", "a\n\nb", "", " ", "\n", "I'm don't we'll", "x\ty\r\nz", "　wide b",
-                                 "\u0085a b", "\x1c a b\x1d c", "a <|endoftext|> b", "1 22 333 a1b2", "é ü ñ\n\nß", "a b", "a᠎b"])
+                                 "\u0085a b", "\x1c a b\x1d c", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y <|endoftext", "1 22 333 a1b2", "é ü ñ\n\nß", "a b", "a᠎b"])
 def test_encoder_agrees_with_the_tokenizer(odd):
     import public_tokenizers
     import pyarrow as pa
 
     from ledgerloom.llm.common import utf8
-    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    own = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
     batch = ["The first text.", odd, "another text\nwith lines", odd, odd + "x", "x" + odd]
     ids, edge = own.encode(*utf8(pa.array(batch)))
     for i, text in enumerate(batch):
         assert ids[edge[i]:edge[i + 1]].tolist() == tokens(text)[:-1]
 
 
+def test_closed_bins_change_no_result(monkeypatch):
+    """The tree packs into as many sequences as one that hands up every bin."""
+    g = random.Random(8)
+
+    def tree(lengths, keep_all):
+        groups = [lengths[i::32] for i in range(32)]
+        groups = [[(n, [i]) for i, n in enumerate(x)] for x in groups]
+        closed = 0
+        with monkeypatch.context() as m:
+            if keep_all:
+                m.setattr(packing, "FAN_IN", 10 ** 9)
+            for level, left in ((0, 2), (1, 1), (2, 0)):
+                packed = [packing._pack(k, [f for f, _ in x], [h for _, h in x], level, left) for k, x in enumerate(groups)]
+                closed += sum(r[2] is not None for x in packed for r in x)
+                still = [[(r[1], r[3]) for r in x if r[2] is None] for x in packed]
+                groups = [sum(still[i:i + 8], []) for i in range(0, len(still), 8)]
+        return closed
+
+    for law in (lambda: g.randint(1, 2048), lambda: g.choice([1500, 1500, 1500, 300]), lambda: min(2048, int(g.expovariate(1 / 400)) + 1), lambda: g.choice([1025, 1023])):
+        lengths = [law() for _ in range(4000)]
+        assert tree(lengths, False) == tree(lengths, True)
+
+
 def test_best_fit_fills_bins():
     bins = packing.best_fit([1000, 1048, 2000, 48, 500, 500, 1048], 2048)
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
