@@ -35,6 +35,8 @@ START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 255  # all byte values but START
 END_KEY = int(mix(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 GRAM, WORD_KIND = 0, 1
+PART = 1 << 20  # text bytes of a block that are worked on at once
+HELD = 1 << 20  # keys that a block's lists gather before they are merged
 SMOOTH = 0.1  # fixed value of the base score
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -83,6 +85,11 @@ def counted(key: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarr
     return key[first], np.add.reduceat(weight, first) if len(key) else weight
 
 
+def _added(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several lists of keys and counts as one."""
+    return counted(*(np.concatenate(x) for x in zip(*lists, strict=True)))
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams and words of each block, with their counts in its training documents."""
     for batch in batches:
@@ -91,13 +98,17 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in opened(payload):
                 texts = utf8(part.column(1))
                 train = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                for kind, (key, doc) in ((GRAM, stream(*texts)), (WORD_KIND, words(*texts))):
+                for kind, listed in ((GRAM, stream), (WORD_KIND, words)):
+                    key, doc = listed(*texts)
                     used = train[doc]
+                    del doc
                     gathered[kind].append(counted(key[used]))
                     rest = counted(key[~used])[0]
                     gathered[kind].append((rest, np.zeros(len(rest), np.int64)))
-            for kind, lists in gathered.items():
-                key, n = counted(*(np.concatenate(x) for x in zip(*lists, strict=True)))
+                    if sum(len(k) for k, _ in gathered[kind][1:]) > HELD:
+                        gathered[kind] = [_added(gathered[kind])]
+            for kind in (GRAM, WORD_KIND):
+                key, n = _added(gathered.pop(kind))
                 for at in range(0, len(key), 1 << 16):
                     k, c = key[at:at + (1 << 16)], n[at:at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
@@ -177,7 +188,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, train: Column) -> D
     """``doc_id``, ``held_out``, token counts, ``base_score`` and ``score``; ``train`` marks the training rows."""
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = packets(own, "ppm-blocks").select("block", "payload")
+    blocks = packets(own, "ppm-blocks", part_bytes=PART).select("block", "payload")
     rows = staged(blocks.mapInArrow(_vocabulary, "block long, kind byte, key long, n long"), "ppm-vocabulary")
     total = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     total = staged(total, "ppm-counts")
