@@ -6,8 +6,13 @@ The curves' orders are range-partitioned and numbered by Spark; a query meets th
 merged.
 
 ``W`` is the place distance that reaches ``AIM`` of the true neighbours of ``SAMPLE`` queries, found by a block
-scan of those queries over all rows; it follows the data, and there is no cap.  Vectors without structure need
-wide windows, clustered ones narrow ones.
+scan of those queries over all rows; it follows the data, and there is no cap.  The same sample tells how many of
+the curves to search: as many as make the fewest comparisons a query (curves times window).  Clustered vectors get
+several curves and narrow windows, a small share of an exact scan; vectors without structure get one curve and a window
+that comes near to the whole table, never more than it.
+
+The queries that reach into a block of places are dealt into chunks of about ``CHUNK``, each a group of its own
+with the block's rows, so that no task holds more than those, however wide the windows.
 
 Equal vectors are indexed once, with their ``k`` + 1 smallest ids: no answer needs more of them.
 
@@ -32,7 +37,7 @@ from .common import hash_id, staged
 
 CURVES, DIMS, BITS, SEED = 8, 8, 7, 97
 SAMPLE, AIM = 128, 0.97
-BLOCK = 8192  # places of one block
+BLOCK, CHUNK = 8192, 4096  # places of one block, queries of one chunk
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -128,20 +133,23 @@ def _scan(batches: Iterator[pa.RecordBatch], reps: list[int], queries: np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(s, pa.float64()), pa.array(i, pa.int64())], names=["q", "score", "id"])
 
 
-def _block(pdf: pd.DataFrame, width: int, k: int) -> pd.DataFrame:
-    """One block of places: its rows against the queries whose windows reach into it."""
-    rows, asks = pdf[~pdf["ask"]].sort_values("place"), pdf[pdf["ask"]].sort_values("place")
-    out = []
-    if len(rows) and len(asks):
-        v, place, ids = np.array(rows["v"].tolist(), float), rows["place"].to_numpy(), rows["ids"].tolist()
-        for at in range(0, len(asks), 64):
-            some = asks.iloc[at:at + 64]
-            x = np.array(some["v"].tolist(), float)
+FOUND = pa.schema([("q", pa.int64()), ("score", pa.float64()), ("id", pa.int64())])
+
+
+def _block(rows: pa.Table, asks: pa.Table, width: int, k: int) -> pa.Table:
+    """One block of places: its rows against a chunk of the queries whose windows reach into it."""
+    out: list[tuple[int, float, int]] = []
+    if rows.num_rows and asks.num_rows:
+        rows, asks = rows.sort_by("place"), asks.sort_by("place")
+        v, place, ids = _matrix(rows.column("v")), rows.column("place").to_numpy(), rows.column("ids").to_pylist()
+        for at in range(0, asks.num_rows, 64):
+            some = asks.slice(at, 64)
+            x, own = _matrix(some.column("v")), some.column("place").to_numpy()
             rough = cosines(x, v)
-            lo, hi = np.searchsorted(place, some["place"] - width), np.searchsorted(place, some["place"] + width, "right")
-            for q, u, r, a, b in zip(some["rep"], x, rough, lo, hi, strict=True):
+            lo, hi = np.searchsorted(place, own - width), np.searchsorted(place, own + width, "right")
+            for q, u, r, a, b in zip(some.column("rep").to_pylist(), x, rough, lo, hi, strict=True):
                 out += [(q, s, i) for s, i in _best(u, r[a:b], v[a:b], ids[a:b], k)] if b > a else []
-    return pd.DataFrame(out, columns=["q", "score", "id"]).astype({"q": "int64", "score": "float64", "id": "int64"})
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), FOUND.types, strict=True)], schema=FOUND)
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
@@ -150,20 +158,29 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("q").agg(F.slice(F.sort_array(F.collect_set(pair)), 1, k + 1).alias("best"))
 
 
-def window_width(index: DataFrame, places: DataFrame, k: int) -> int:
-    """Place distance that reaches ``AIM`` of the sampled queries' true neighbours."""
+def comparisons(curves: int, width: int, n: int) -> int:
+    """Rows that a query meets on so many curves."""
+    return curves * min(2 * width + 1, n)
+
+
+def window(index: DataFrame, places: DataFrame, k: int, n: int) -> tuple[int, int]:
+    """How many curves to search, and the place distance that reaches ``AIM`` of the sampled queries' true neighbours
+    on them."""
     some = index.filter("asked").orderBy(hash_id("rep", seed=SEED), "rep").limit(SAMPLE).select("rep", "v").collect()
     if not some:
-        return 0
+        return 1, 0
     reps, queries = [r["rep"] for r in some], np.array([r["v"] for r in some], float)
     found = index.select("rep", "v").mapInArrow(partial(_scan, reps=reps, queries=queries, k=k), "q long, score double, id long")
     pairs = [(r["q"], b["id"]) for r in top(found, k).collect() for b in r["best"] if b["id"] != r["q"]]
+    if not pairs:
+        return 1, 0
     wanted = sorted({x for p in pairs for x in p})
-    at: dict[int, dict[int, int]] = {}
+    at = {i: np.zeros(CURVES, np.int64) for i in wanted}
     for r in places.filter(F.col("rep").isin(wanted)).select("rep", "curve", "place").collect():
-        at.setdefault(r["rep"], {})[r["curve"]] = r["place"]
-    apart = [min(abs(at[a][c] - at[b][c]) for c in at[a]) for a, b in pairs]
-    return int(np.quantile(apart, AIM, method="higher")) if apart else 0
+        at[r["rep"]][r["curve"]] = r["place"]
+    apart = np.minimum.accumulate([np.abs(at[a] - at[b]) for a, b in pairs], axis=1)
+    widths = [int(np.quantile(apart[:, c], AIM, method="higher")) for c in range(CURVES)]
+    return min(((c + 1, w) for c, w in enumerate(widths)), key=lambda x: (comparisons(*x, n), x))
 
 
 def search(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5) -> DataFrame:
@@ -182,14 +199,18 @@ def search(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k
     index = staged(merged.join(asked, "v", "left").select(F.col("ids")[0].alias("rep"), "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-index")
     keys = index.select("rep", "v").mapInArrow(_keys, "curve int, key long, rep long")
     places = staged(dense_row_id(keys, [F.col("curve"), F.col("key"), F.col("rep")], "place"), "ann-places").select("curve", "rep", "place")
-    width = window_width(index, places, k)
-    placed = places.join(index, "rep").select("place", "rep", "v", "ids", "asked")
+    curves, width = window(index, places, k, index.count())
+    placed = places.filter(F.col("curve") < curves).join(index, "rep").select("place", "rep", "v", "ids", "asked")
     block = lambda c: F.floor(c / BLOCK).cast("long")
-    rows = placed.select(block(F.col("place")).alias("block"), "place", "rep", "v", "ids", F.lit(False).alias("ask"))
     reach = F.sequence(block(F.greatest(F.col("place") - width, F.lit(0))), block(F.col("place") + width))
-    reaching = placed.filter("asked").select(F.explode(reach).alias("block"), "place", "rep", "v",
-                                             F.array().cast("array<long>").alias("ids"), F.lit(True).alias("ask"))
-    found = rows.unionByName(reaching).groupBy("block").applyInPandas(partial(_block, width=width, k=k), "q long, score double, id long")
+    reaching = placed.filter("asked").select(F.explode(reach).alias("block"), "place", "rep", "v")
+    chunks = reaching.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    asks_of = reaching.join(chunks, "block").withColumn("chunk", F.pmod(hash_id("rep", seed=SEED), F.col("chunks")).cast("int")).drop("chunks")
+    rows = placed.select(block(F.col("place")).alias("block"), "place", "v", "ids").join(chunks, "block").select(
+        "block", "place", "v", "ids", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    rows, asks_of = rows.toDF(*rows.columns), asks_of.toDF(*asks_of.columns)  # columns of their own, though both come from ``placed``
+    found = rows.groupBy("block", "chunk").cogroup(asks_of.groupBy("block", "chunk")).applyInArrow(
+        lambda left, right: _block(left, right, width, k), "q long, score double, id long")
     best = top(found, k)
     answers = asks.join(index.select("v", "rep"), "v").join(best, F.col("rep") == F.col("q")).select(
         F.col("vec_id").alias("query_id"),

@@ -125,6 +125,24 @@ def test_recall(spark):
     assert all(abs(s - score[q, a]) < 1e-12 for q in found for a, s in found[q] if (q, a) in score)
 
 
+def test_clustered_vectors_take_few_comparisons(spark, monkeypatch):
+    """Clusters with one that holds a third of all rows: narrow windows, far fewer comparisons than an exact scan."""
+    g = np.random.default_rng(11)
+    centres = g.normal(0, 1, (200, 32))
+    which = np.where(np.arange(6000) % 3 == 0, 0, g.integers(1, 200, 6000))
+    v = centres[which] + g.normal(0, 0.08, (6000, 32))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    chosen, window = [], neighbours.window
+    monkeypatch.setattr(neighbours, "window", lambda *a: chosen.append((*window(*a), a[3])) or chosen[-1][:2])
+    found = answers(neighbours.op9(df))
+    curves, width, n = chosen[0]
+    assert n == 6000 and neighbours.comparisons(curves, width, n) < n
+    want_ = exact_neighbours(list(range(6000)), v.astype(np.float32).tolist())
+    assert np.mean([len({a for a, _ in found[q]} & {a for a, _ in want_[q]}) / 5 for q in want_]) >= 0.9
+    monkeypatch.setattr(neighbours, "CHUNK", 7)  # a block's queries in many chunks give the same answers
+    assert answers(neighbours.op9(df)) == found
+
+
 def test_copies_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0], 0) for i in range(300)] + [(300, [3.0, 2.0, 1.0], 0), (301, [0.0, 0.0, 0.0], 0), (350, None, 0), (400, [nan, 1.0, 1.0], 0),
