@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,7 +50,80 @@ def test_shard_edges(edge_docs, no_docs):
     assert rows.select("record.*").columns == edge_docs.columns
     held(rows)
     got = Counter((r["doc_id"], r["size"]) for r in sharding.op5(edge_docs).collect())
-    assert got[(1, 8)] == 1 and got[(5, 8 + 108)] == 2 or sum(got.values()) == edge_docs.count()
+    assert got == Counter((r["doc_id"], len((r["text"] or "").encode()) + 8) for r in edge_docs.select("doc_id", "text").collect())
+
+
+def test_equal_rows_fill_all_buckets(spark, make_docs, tmp_path):
+    same = make_docs(["one text"] * 20000, [None] * 20000)
+    same.write.parquet(str(tmp_path / "d"))
+    for df in (same, spark.read.parquet(str(tmp_path / "d"))):
+        sizes = [r["count"] for r in sharding.scatter(df, "doc_id", "text", 10, 17).groupBy("bucket").count().collect()]
+        assert len(sizes) == 10 and max(sizes) < 1.2 * min(sizes)
+        out = sharding.external_shuffle(df, "doc_id", "text", 7, bucket_bytes=32_000)
+        rows = sorted(len(x) for x in held(out).values())
+        assert sum(rows) == 20000 and rows[-1] - rows[0] <= 1
+
+
+def test_order_depends_on_the_files_alone(spark, documents, tmp_path):
+    documents.repartition(6).write.parquet(str(tmp_path / "d"))
+
+    def read():
+        return spark.read.parquet(str(tmp_path / "d"))
+
+    def result():
+        return read().rdd.getNumPartitions(), {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.op5(read()).collect()}
+    parts, one = result()
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        fewer, again = result()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert fewer < parts and again == one
+
+
+def shuffled_places(seed, partition, sizes):
+    """The inside-out Fisher-Yates shuffle of arrays of these sizes, from one Mersenne twister of the seed."""
+    r, out = random.Random(seed + partition << 32), []
+    for n in sizes:
+        places = list(range(n))
+        for i in range(n):
+            if i + 1 & i == 0:
+                j = (i + 1) * r.getrandbits(31) >> 31
+            else:
+                while True:
+                    bits = r.getrandbits(31)
+                    j = bits % (i + 1)
+                    if bits - j + i < 1 << 31:
+                        break
+            if j != i:
+                places[i] = places[j]
+            places[j] = i
+        out.append(places)
+    return out
+
+
+def test_slots_are_those_of_a_brute_force_fisher_yates(spark, documents):
+    docs, buckets = documents.select("doc_id", "text"), 6
+    volume = sum(len(r["text"].encode()) + 8 for r in docs.collect())
+    size = volume // buckets + 1
+    scattered = defaultdict(list)
+    for r in sharding.scatter(docs, "doc_id", "text", buckets, 17).collect():
+        scattered[r["bucket"]].append(r["row"]["id"])
+    target = {r["b"]: r["p"] for r in spark.createDataFrame([(b,) for b in scattered], "b long").select("b", F.pmod(F.hash("b"), F.lit(buckets)).alias("p")).collect()}
+    start, before = {}, 0
+    for b in sorted(scattered):
+        start[b] = before
+        before += len(scattered[b])
+    place = {}
+    for p in set(target.values()):
+        mine = sorted(b for b in scattered if target[b] == p)
+        for b, order in zip(mine, shuffled_places(17, p, [len(scattered[b]) for b in mine]), strict=True):
+            ids = sorted(scattered[b])
+            place.update({ids[x]: start[b] + k for k, x in enumerate(order)})
+    n, shards = len(place), 5
+    want = {d: (x * shards // n, x - -(-(x * shards // n) * n // shards)) for d, x in place.items()}
+    got = sharding.external_shuffle(docs, "doc_id", "text", shards, bucket_bytes=size)
+    assert {r["record"]["doc_id"]: (r["shard"], r["slot"]) for r in got.collect()} == want
 
 
 @settings(max_examples=60, deadline=None)
