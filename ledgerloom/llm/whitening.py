@@ -152,13 +152,27 @@ def _whitened(batches: Iterator[pa.RecordBatch], fit: Fit) -> Iterator[pa.Record
                                               _numbers(fit.deviations(x))], names=["vec_id", "whitened", "deviation_exact"])
 
 
+def _to_integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a vector of whole, finite entries, as integers."""
+    for batch in batches:
+        col = batch.column(1)
+        size = np.asarray(col.value_lengths().fill_null(0))
+        entry = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null is not a number
+        row = np.repeat(np.arange(len(col)), size)
+        good = size > 0
+        good[row[~(np.abs(entry) < (1 << 62) / SCALE)]] = False
+        x = np.floor(SCALE * entry[good[row]]).astype(np.int64) + SHIFT
+        edge = np.append(0, np.cumsum(size[good])).astype(np.int32)
+        ids = batch.column(0).filter(pa.array(good))
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(edge), pa.array(x))], names=["vec_id", "x"])
+
+
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id`` and the integer vector ``x`` of the rows that take part."""
-    own = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
-        f"size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < {float((1 << 62) // SCALE)!r})")
-    size = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return own.filter(F.size("v") == (size["n"] if size else 0)).select(
-        "vec_id", F.transform("v", lambda c: F.floor(F.lit(SCALE) * c) + F.lit(SHIFT)).alias("x"))
+    """``vec_id`` and the integer vector ``x`` of the rows that take part, written once."""
+    own = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
+    rows = staged(own.mapInArrow(_to_integers, f"vec_id {dict(own.dtypes)['vec_id']}, x array<long>"), "whitening-rows")
+    sizes = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(2).collect()
+    return rows.filter(F.size("x") == sizes[0]["n"]) if len(sizes) > 1 else rows
 
 
 def fitted(distinct: DataFrame) -> Fit:
@@ -184,7 +198,7 @@ def identity_error(distinct: DataFrame, fit: Fit) -> float:
 
 def whiten(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, Fit, float]:
     """One row for each vector (``vec_id``, ``whitened`` array, ``deviation_exact``), the fit and its error."""
-    rows = staged(integer_vectors(vectors, id_col, vector_col), "whitening-rows")
+    rows = integer_vectors(vectors, id_col, vector_col)
     distinct = staged(rows.select("x").distinct(), "whitening-fit")
     fit = fitted(distinct)
     if not fit.n or not len(fit.value):
