@@ -175,9 +175,8 @@ class ExportParams:
 
 
 def export_name(report_type: str, as_of: dt.date | None = None) -> str:
-    """An export's name, with its kind and its day as text."""
-    day = f"{as_of or dt.date.today():%Y%m%d}"
-    return f"SALES_RECAP_{day}" if report_type == "all" else f"SALES_RECAP_{report_type.upper()}_{day}"
+    """A name for an export, of its kind and its day as text."""
+    return f"export_{report_type}_{as_of or dt.date.today():%Y%m%d}"
 
 
 def export_all(T: Tables, params: ExportParams) -> dict[str, DataFrame]:

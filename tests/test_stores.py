@@ -214,8 +214,8 @@ def test_an_export_reads_each_report_once(spark, T1):
         assert not any("lineitem" in f for f in sheets[name].inputFiles())
     assert rows(sheets["gross_profit_total"]) == rows(exports.gross_profit_total(T1, "1998-06-15"))
     assert rows(sheets["sales_contribution_total"]) == rows(exports.sales_contribution_total(T1, "1998-01-01", "1998-06-30"))
-    assert exports.export_name("all", dt.date(1998, 6, 5)) == "SALES_RECAP_19980605"
-    assert exports.export_name("gross_profit", dt.date(1998, 6, 5)) == "SALES_RECAP_GROSS_PROFIT_19980605"
+    assert exports.export_name("all", dt.date(1998, 6, 5)) == "export_all_19980605"
+    assert exports.export_name("gross_profit", dt.date(1998, 6, 5)) == "export_gross_profit_19980605"
 
 
 def test_tables_in_parts(spark, path):
