@@ -12,7 +12,11 @@ the same surrogate where they are one of its parts, title or not.  Initials beco
 
 The distinct entities form a table; a keyed hash proposes a surrogate for each.  A proposal that is another
 entity's surrogate, or an entity of the corpus itself, is drawn again until no two entities share one, so
-distinct entities stay distinct, and one entity has one surrogate in all documents and spellings.
+distinct entities stay distinct, and one entity has one surrogate in all documents and spellings.  Domains are
+entities of their own, settled before the addresses in them.  Names are drawn from the listed ones first, then put
+together from stems and gendered endings; names and addresses grow with the attempts, so their space never runs out.
+Numbers keep their length: where ``ROUNDS`` rounds do not settle them (nearly all numbers of a length taken) the
+operator raises an error.
 
 Edge cases: a null text stays null; an empty text stays empty; repeated rows are rewritten alike; a long text
 is rewritten whole; an empty table gives no rows; other columns are kept as they are, whatever their names.
@@ -20,6 +24,8 @@ is rewritten whole; an empty table gives no rows; other columns are kept as they
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,20 @@ NAMES = {
     "greek": {"m": "νίκος γιώργος πέτρος", "f": "μαρία ελένη άννα", "n": "άρης χάρις",
               "family": "δήμου λάμπρου ράπτη"},
 }
+# fixed values: what further names are put together from: stems, middles, endings by role
+STEMS = {
+    "latin": {"stem": "al ber cas dan el fer gar hal jor kel lan mar nor or per ral sam tor val wil",
+              "middle": "ba da di fa ga ka la li ma mi na ni ra ri sa ta ti va ve zo",
+              "m": "n s r l x rd ck ld st us", "f": "na ne lle tte ra la ssa nia ria ya", "n": "y i o u",
+              "family": "son mann berg ley ton field sen ski wood er"},
+    "cyrillic": {"stem": "ал бор вас гер дан ег кир лев мар ник ол пав род сав тим фёд яр",
+                 "middle": "ба да ли ма ни ра ро са та ви", "m": "н й м р т к", "f": "на ла ра ся ия ва", "n": "е о у",
+                 "family": "нко чук лаш бец дюк рга"},
+    "greek": {"stem": "αλ βασ γερ δημ ευ θεο κων λεω μαν νικ παν σπυ", "middle": "ολ αν ιδ ερ ατ ον ικ αρ",
+              "m": "ος ης ας", "f": "α η ω", "n": "ι υ", "family": "ίδης άκης όπουλος άτος"},
+}
+ROUNDS = 64  # of redrawing what clashes
+ROWS = 2000  # entities of one task, each costing a millisecond
 LETTERS = {"latin": ("aeiou", "bcdfghklmnprstvw"), "cyrillic": ("аеиоу", "бвгдзклмнпрст"), "greek": ("αειου", "βγδζκλμνπρστ")}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -155,28 +175,41 @@ def _shifted(stream: Column):
     return change
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of an entity at this attempt."""
-    stream = _stream(key, kind, value, attempt.cast("string"))
+def _grown(stream: Column, letters: Column) -> Column:
+    """So many further letters."""
+    alphabet = F.lit("abcdefghijklmnopqrstuvwxyz")
+    some = F.transform(F.sequence(F.lit(1), letters), lambda i: F.substr(alphabet, _byte(stream, F.lit(64) - i) % 26 + 1, F.lit(1)))
+    return F.when(letters > 0, F.array_join(some, "")).otherwise("")
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, stream: Column, domain: Column) -> Column:
+    """The canonical surrogate of an entity at this attempt, drawn from its ``stream``; ``domain`` is that of a mail
+    address's surrogate."""
     first = F.substr(value, F.lit(1), F.lit(1))
     number = F.concat(first, _each(F.substr(value, F.lit(2)), _shifted(stream)))
     body = F.substr(number, F.lit(1), F.length(number) - 1)
     check = ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    top = F.regexp_extract(domain, r"\.[^.]+$", 0)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_each(local, _shifted(stream)), F.lit("@"), _each(host, _shifted(_stream(key, F.lit("host"), host))), top)
+    longer = F.greatest(attempt - 8, F.lit(0))
+    email = F.concat(_each(F.substring_index(value, "@", 1), _shifted(stream)), _grown(stream, longer), F.lit("@"), domain)
+    top = F.regexp_extract(value, r"\.[^.]+$", 0)
+    host = F.substr(value, F.lit(1), F.length(value) - F.length(top))
+    site = F.concat(_each(host, _shifted(stream)), _grown(stream, F.when(host.rlike("[a-z0-9]"), longer).otherwise(attempt + 1)), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.concat(body, check)).when(kind == "phone", number)
-    out = out.when(kind == "ssn", _each(value, _shifted(stream)))
+    out = out.when(kind == "ssn", _each(value, _shifted(stream))).when(kind == "domain", site)
+
+    def drawn(words: str, i: Column) -> Column:
+        return F.element_at(F.split(F.lit(words), " "), _byte(stream, i) % len(words.split()) + 1)
+
+    def several(words: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.floor(attempt / 3).cast("int")), lambda i: drawn(words, i)), "")
+
     for script, lists in NAMES.items():
-        vowels, others = LETTERS[script]
-        pick = lambda letters, b: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
-        made = _each(value, lambda c, i, v=vowels, o=others, p=pick: F.when(F.lit(v).contains(c), p(v, _byte(stream, i))).otherwise(p(o, _byte(stream, i))))
+        made = STEMS[script]
+        middles = several(made["middle"])
         for role, names in lists.items():
-            listed = F.split(F.lit(names), " ")
-            drawn = F.element_at(listed, _byte(stream, F.lit(0)) % len(names.split()) + 1)
-            out = out.when(kind == f"{role}:{script}", F.when(attempt == 0, drawn).otherwise(F.concat(made, F.when(attempt > 8, pick(others, attempt)).otherwise(""))))
+            built = F.concat(drawn(made["stem"], F.lit(0)), middles, drawn(made[role], F.lit(63)))
+            out = out.when(kind == f"{role}:{script}", F.when(attempt == 0, drawn(names, F.lit(0))).otherwise(built))
     return out
 
 
@@ -191,20 +224,40 @@ def _initial(kind: Column, value: Column, key: str) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``value``, ``surrogate``: one to one within each kind (names: script), no surrogate an entity itself.  Each round
-    redraws what clashes and is written once; only the number of clashes reaches the driver."""
-    drawn = entities.select("kind", "value", F.lit(0).alias("attempt"))
-    while True:
-        drawn = staged(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "pii-entities")
-        space = _space(F.col("kind")).alias("space")
-        owner = drawn.groupBy(space, "surrogate").agg(F.min(F.struct("attempt", "value")).alias("owner"))
-        real = drawn.select(space, F.col("value").alias("surrogate"), F.lit(True).alias("real"))
-        judged = (drawn.withColumn("space", space).join(owner, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
-                  .withColumn("clash", F.col("real").isNotNull() | (F.col("owner.value") != F.col("value"))))
-        judged = staged(judged.select("kind", "value", "attempt", "surrogate", "clash"), "pii-clashes")
-        if not judged.filter("clash").count():
-            return judged.select("kind", "value", "surrogate")
-        drawn = judged.select("kind", "value", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+    """``kind``, ``value``, ``surrogate``: one to one within each kind (names: script), no surrogate an entity itself."""
+    mail = F.col("kind") == "email"
+    site = F.substring_index("value", "@", -1)
+    sites = _settled(entities.filter(mail).select(F.lit("domain").alias("kind"), site.alias("value")).distinct().withColumn("domain", F.lit("")), key)
+    sites = sites.select(F.col("value").alias("site"), F.col("surrogate").alias("domain"))
+    own = entities.select("kind", "value")
+    known = own.filter(mail).join(sites, site == F.col("site")).select("kind", "value", "domain")
+    return _settled(own.filter(~mail).withColumn("domain", F.lit("")).unionByName(known), key)
+
+
+def _settled(entities: DataFrame, key: str) -> DataFrame:
+    """Draw surrogates round by round.  What is drawn is judged against the entities, the settled surrogates and the round's
+    other proposals; only what clashes is drawn again.  The number of clashes alone reaches the driver."""
+    own = staged(entities.withColumn("space", _space(F.col("kind"))), "pii-entities")
+    real = own.select("space", F.col("value").alias("surrogate"), F.lit(True).alias("taken"))
+    left, n, settled = own, own.count(), []
+    for attempt in range(ROUNDS):
+        tries = left.repartition(min(max(1, n // ROWS), 20000)) if n > ROWS else left
+        tries = tries.withColumn("stream", _stream(key, F.col("kind"), F.col("value"), F.lit(str(attempt))))
+        drawn = tries.select("space", "kind", "value", "domain", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), F.col("stream"), F.col("domain")).alias("surrogate"))
+        drawn = staged(drawn, "pii-drawn")
+        owner = drawn.groupBy("space", "surrogate").agg(F.min("value").alias("owner"))
+        taken = real
+        for before in settled:
+            taken = taken.unionByName(before.select("space", "surrogate", F.lit(True).alias("taken")))
+        judged = drawn.join(owner, ["space", "surrogate"]).join(taken.distinct(), ["space", "surrogate"], "left").withColumn(
+            "clash", F.col("taken").isNotNull() | (F.col("owner") != F.col("value")))
+        judged = staged(judged.select("space", "kind", "value", "domain", "surrogate", "clash"), "pii-judged")
+        settled.append(judged.filter(~F.col("clash")))
+        left = judged.filter("clash").select("space", "kind", "value", "domain")
+        n = left.count()
+        if not n:
+            return reduce(DataFrame.unionByName, settled).select("kind", "value", "surrogate")
+    raise RuntimeError(f"{n} entities have no free surrogate of their format after {ROUNDS} rounds")
 
 
 def _written(kind: Column, raw: Column, new: Column) -> Column:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, ppm
@@ -52,6 +53,75 @@ def test_distinct_stays_distinct(spark):
     assert len(rows) == len(new) == 3000 and not real & new
 
 
+def drawn(spark, kind, values, key="k"):
+    rows = pii.surrogates(spark.createDataFrame([(kind, v) for v in values], "kind string, value string"), key).collect()
+    return {r["value"]: r["surrogate"] for r in rows}
+
+
+def test_small_and_empty_spaces_end(spark, make_docs):
+    """Mailboxes that fill their space, hosts without letters, one-letter names: every draw can differ in the end."""
+    letters = [f"{chr(97 + i)}@x.org" for i in range(26)]
+    new = drawn(spark, "email", [*letters, "_@-.com", "_@x.org", "-@-.com"])
+    assert len(set(new.values())) == len(new) == 29 and not set(new) & set(new.values())
+    assert {v.split("@")[1] for k, v in new.items() if k.endswith("@x.org")} == {new["a@x.org"].split("@")[1]}
+    assert len({v.split("@")[1] for v in new.values()}) == 2
+    assert pii.op10(make_docs(["write to _@-.com now"])).first()["text"] != "write to _@-.com now"
+
+
+def test_a_full_space_of_numbers_is_an_error(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        drawn(spark, "phone", [f"1{i}" for i in range(10)])  # one digit is free, all ten are taken
+
+
+def test_names_read_as_their_gender(spark):
+    """Two thousand given names of each gender (fewer in other scripts): distinct, unlike the originals, of the gender's endings."""
+    own = {(script, g): [letters + "".join(letters[int(c, 4)] for c in np.base_repr(i, 4)) for i in range(first, first + n)]
+           for script, letters, n in (("latin", "give", 2000), ("cyrillic", "имяу", 300), ("greek", "ονεμ", 300)) for g, first in (("m", 64), ("f", 5000))}
+    entities = spark.createDataFrame([(f"{g}:{script}", v) for (script, g), names in own.items() for v in names], "kind string, value string")
+    rows = pii.surrogates(entities, "k").collect()
+    for script in pii.STEMS:
+        mine = [r for r in rows if r["kind"].endswith(script)]
+        made = {r["surrogate"] for r in mine}
+        assert len(made) == len(mine) == len({r["value"] for r in mine}) and not made & {r["value"] for r in mine}
+        for gender, other in ("mf", "fm"):
+            new = [r["surrogate"] for r in mine if r["kind"][0] == gender]
+            listed = set(pii.NAMES[script][gender].split())
+            ends, others = (tuple(pii.STEMS[script][g].split()) for g in (gender, other))
+            assert len(new) == len(own[script, gender]) and sum(v in listed or v.endswith(ends) and not v.endswith(others) for v in new) > 0.95 * len(new)
+
+
+def test_distinct_and_coreferent_over_a_corpus(make_docs):
+    """Planted entities in many documents: one surrogate for each entity everywhere, no two alike, none of the originals."""
+    import random
+    g = random.Random(12)
+    digits = lambda n: "".join(g.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+    given, family = ["Ana", "John", "Marie", "Peter", "Olga", "Tom"], ["Smith", "Ruiz", "Fischer", "Moreau", "Lindt"]
+    pool = {"email": [f"{a}.{b}@{c}.example.org" for a in "abc" for b in ("lee", "kim") for c in ("one", "two", "ten")],
+            "phone": [f"+1 {digits(3)} {digits(3)} {digits(4)}" for _ in range(30)], "ssn": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(30)],
+            "ip": [f"10.{g.randrange(256)}.{g.randrange(256)}.{g.randrange(1, 255)}" for _ in range(30)], "card": [card() for _ in range(20)]}
+    docs = []
+    for _ in range(120):
+        who = f"Mr {g.choice(given)} {g.choice(family)}"
+        docs.append(" | ".join([who, *(g.choice(pool[k]) for k in pool), who.split()[1] + " again"]))
+    out = {r["doc_id"]: r["text"] for r in pii.op10(make_docs(docs)).collect()}
+    forward, backward = defaultdict(set), defaultdict(set)
+    for i, text in enumerate(docs):
+        a, b = text.split(" | "), out[i].split(" | ")
+        assert len(a) == len(b) and a[-1].split()[0] != b[-1].split()[0] == b[0].split()[1]
+        for kind, x, y in [("given", a[0].split()[1], b[0].split()[1]), ("family", a[0].split()[2], b[0].split()[2]), *zip(pool, a[1:], b[1:]),
+                           ("domain", a[1].split("@")[1], b[1].split("@")[1])]:
+            forward[kind, x].add(y)
+            backward[kind, y].add(x)
+    assert all(len(v) == 1 for v in [*forward.values(), *backward.values()])
+    assert not {(k, y) for (k, _), ys in forward.items() for y in ys} & set(forward)
+
+
 def test_clean_documents_are_left_alone(documents, texts):
     out = {r["doc_id"]: r for r in pii.op10(documents).collect()}
     assert set(out) == set(texts)
