@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from ledgerloom.llm import quality, secrets
+from tests.conftest import SF001
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -154,6 +155,26 @@ def test_candidates_of_all_kinds(make_docs):
     assert sum(rows[i]["n_model"] for i in range(400)) <= 4
 
 
+def test_added_spans_are_secrets(spark):
+    """Keys planted without a name beside them, among the cards, telephone numbers, mail addresses and ids of real
+    documents: most are found, and nearly all that is added is one of them."""
+    g = np.random.default_rng(6)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()]
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    planted = {}
+    for i in range(0, len(docs), 25):
+        key = "".join(g.choice(letters, 40))
+        d, t = docs[i]
+        docs[i] = (d, f"{t} see {key} and 0b5c1c3e-8f1d-4a57-9d0e-3b5f6a7c8d9e")
+        planted[d] = f"model:{len(t) + 5}:{len(t) + 45}"
+    for i in range(7, len(docs), 10):  # findings of that form to learn from
+        docs[i] = (docs[i][0], f"{docs[i][1]} api_key: {''.join(g.choice(letters, 40))} end")
+    rows = secrets.op3(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    added = [(r["doc_id"], x) for r in rows for x in r["spans"].split(",") if x.startswith("model")]
+    true = sum(planted.get(d) == x for d, x in added)
+    assert true >= 0.6 * len(planted) and true >= 0.75 * len(added)
+
+
 def test_looked_up_scores():
     net, x = secrets.CharNet(), np.random.default_rng(3).integers(0, secrets.N_SYMBOLS, (700, secrets.BEFORE + secrets.AFTER))
     assert np.allclose(net.raw(x), net._forward(x)[3], atol=1e-4)
