@@ -2,17 +2,23 @@
 
 Every rule is modular arithmetic on keys (see FIXTURES.md section 2), so the
 result is deterministic at every scale factor.  Apart from the per-order line
-numbering (one shuffle on ``l_orderkey``) and the distinct brand list, every
-table is a narrow projection / ``explode`` of one driver table: no joins, so
-the derivation scales with the driver tables and adds no wide stages.
+numbering (one shuffle on ``l_orderkey``, staged when a table built on it is first
+asked for) and the distinct brand list, every table is a narrow projection /
+``explode`` of one driver table: no joins, so the derivation scales with the
+driver tables and adds no wide stages.
 """
 
 from __future__ import annotations
 
+from collections import UserDict
+from collections.abc import Callable
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literal import literal_table
+from .staging import stage
 
 DRIVER_TABLES = ("orders", "lineitem", "part", "customer", "supplier")
 
@@ -118,14 +124,20 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def order_lines(li: DataFrame) -> DataFrame:
+def numbered_lines(li: DataFrame) -> DataFrame:
     """Whole lineitem rows are unique, (orderkey, linenumber) is not: number
     lines over all columns within their order (one shuffle on l_orderkey)."""
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    lid = F.col("l_orderkey") * 1000 + F.row_number().over(w)
+    return li.select("l_orderkey", F.row_number().over(w).alias("place"), "l_partkey", "l_linenumber",
+                     "l_quantity", "l_extendedprice", "l_tax")
+
+
+def order_lines(numbered: DataFrame) -> DataFrame:
+    """Order lines of ``numbered_lines``: a projection."""
+    lid = F.col("l_orderkey") * 1000 + F.col("place")
     sub = F.col("l_extendedprice").cast(MONEY)
     tax = (sub * F.col("l_tax").cast(MONEY)).cast(MONEY)
-    return (li.select(lid.alias("id"), "*")
+    return (numbered.select(lid.alias("id"), "*")
             .select(
                 "id",
                 F.col("l_orderkey").alias("order_id"),
@@ -309,21 +321,46 @@ def bundle_components(lines: DataFrame) -> DataFrame:
     )
 
 
-def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All base tables the reports read, as lazy DataFrames keyed by ERP table name."""
+def _once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """``make``, called once, also when several threads ask for its table."""
+    lock, made = Lock(), []
+
+    def get() -> DataFrame:
+        with lock:
+            if not made:
+                made.append(make())
+        return made[0]
+    return get
+
+
+class Derived(UserDict):
+    """Tables by name; a value may be a function that makes the table when it is first asked for."""
+
+    def __getitem__(self, name):
+        made = self.data[name]
+        if not isinstance(made, DataFrame):
+            made = self.data[name] = made()
+        return made
+
+
+def derive(spark: SparkSession, sf_dir: str) -> Derived:
+    """All base tables the reports read, as lazy DataFrames keyed by ERP table name.
+
+    Six tables are built on the numbered order lines.  A query that reads one of them stages the numbers first, so
+    the numbering window is computed once, not once for each of the tables and scans."""
     d = read_driver(spark, sf_dir)
-    lines = order_lines(d["lineitem"])
     mv = moves(d["orders"])
-    sm = stock_moves(lines)
-    return {
+    lines = _once(lambda: order_lines(stage(numbered_lines(d["lineitem"]), "order-lines")))
+    sm = _once(lambda: stock_moves(lines()))
+    return Derived({
         "product_category": categories(d["part"]),
         "product_template": templates(d["part"]),
         "product_product": products(d["part"]),
         "sale_order": orders(d["orders"]),
         "sale_order_line": lines,
         "account_move": mv,
-        "account_move_line": move_lines(lines, mv),
-        "sale_order_line_invoice_rel": invoice_rel(lines),
+        "account_move_line": lambda: move_lines(lines(), mv),
+        "sale_order_line_invoice_rel": lambda: invoice_rel(lines()),
         "account_account": _small(spark, ACCOUNTS, "id long, account_type string"),
         "account_partial_reconcile": reconciles(d["orders"]),
         "account_payment": payments(d["orders"]),
@@ -331,13 +368,13 @@ def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "stock_picking_type": _small(spark, PICKING_TYPES, "id long, code string, warehouse_id long"),
         "stock_warehouse": _small(spark, WAREHOUSES, "id long, name string"),
         "stock_move": sm,
-        "stock_move_line": stock_move_lines(sm),
+        "stock_move_line": lambda: stock_move_lines(sm()),
         "res_partner": partners(d["customer"], d["supplier"]),
         "res_users": users(d["supplier"]),
         "account_incoterms": _small(spark, INCOTERMS, "id long, name string"),
-        "sale_order_line_bundle": bundle_components(lines),
+        "sale_order_line_bundle": lambda: bundle_components(lines()),
         "uom_uom": _small(spark, UNITS, "id long, name string"),
-    }
+    })
 
 
 def materialize(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFrame]:
@@ -352,7 +389,7 @@ def materialize(spark: SparkSession, sf_dir: str, path: str) -> dict[str, DataFr
         return spark.read.parquet(f"{path}/{name}")
 
     out: dict[str, DataFrame] = {}
-    lines = out["sale_order_line"] = store("sale_order_line", order_lines(d["lineitem"]))
+    lines = out["sale_order_line"] = store("sale_order_line", order_lines(numbered_lines(d["lineitem"])))
     mv = out["account_move"] = store("account_move", moves(d["orders"]))
     sm = out["stock_move"] = store("stock_move", stock_moves(lines))
     lazy = {
