@@ -218,9 +218,9 @@ def _text_fallbacks(T):
 
 @query("row_id")
 def _row_id(T):
-    """Dense ordered row id over the order-to-cash rows (two-pass, parallel)."""
-    r = o2c.order_to_cash(T, with_id=True, keep_keys=True)
-    return r.select("id", "line_id", "picking_id", "move_product_id", "bundle_line_id", "invoice_id")
+    """Dense ordered row id over the order-to-cash rows (two-pass, parallel); only the keys are cut and sorted."""
+    keys = ["line_id", "picking_id", "move_product_id", "bundle_line_id", "invoice_id"]
+    return dense_row_id(o2c.order_to_cash(T, keep_keys=True).select(*keys), o2c.id_order()).select("id", *keys)
 
 
 @query("order_to_cash")
