@@ -16,7 +16,7 @@ import datetime as dt
 from .plans import contribution, exports, gross_profit, order_to_cash
 from .session import build_session
 from .sources.sinks import FORMATS, ordered_for_sink, write_report
-from .sources.staging import drop_stages
+from .sources.staging import drop_stages, staged_so_far
 
 REPORTS = {
     "gross_profit": (gross_profit.gross_profit, gross_profit.report_order, [], ["so_month"]),
@@ -50,6 +50,7 @@ def main(argv=None) -> None:
     from pyspark.sql import SparkSession
     owned = SparkSession.getActiveSession() is None
     spark = build_session(a.master)
+    before = staged_so_far()
     if a.tables:
         from .sources.tables import load_tables
         T = load_tables(spark, a.tables, validate=True)
@@ -64,7 +65,6 @@ def main(argv=None) -> None:
         for sheet, df in exports.export_all(T, params).items():
             write_report(df, f"{folder}/{sheet}", a.format)
             print(f"{sheet}: {folder}/{sheet}")
-        drop_stages(spark)
     else:
         if a.name not in REPORTS:
             p.error(f"report must be one of {sorted(REPORTS)}")
@@ -72,6 +72,7 @@ def main(argv=None) -> None:
         df = ordered_for_sink(build(T, _date(a.date_from), _date(a.date_to)), order(), hidden)
         write_report(df, a.out, a.format, partition_by=parts or None)
         print(f"{a.name}: {a.out}")
+    drop_stages(spark, before)
     if owned:
         spark.stop()
 

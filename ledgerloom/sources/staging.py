@@ -29,8 +29,13 @@ def at_once(*jobs):
         return [f.result() for f in [pool.submit(j) for j in jobs]]
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Remove the tables that ``stage`` wrote; results that read them must have been written before."""
-    while _PATHS:
+def staged_so_far() -> int:
+    return len(_PATHS)
+
+
+def drop_stages(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the tables that ``stage`` wrote, but for the first ``keep``; results that read them must have been
+    written before."""
+    while len(_PATHS) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -83,3 +83,12 @@ def test_line_numbers_ship_no_more_than_they_need(spark):
     twice = raw.unionByName(raw.withColumn("l_returnflag", F.lit("x"))).limit(500)
     got = numbered_lines(twice)
     assert got.count() == 500 and got.select("l_orderkey", "place").distinct().count() == 500
+
+
+def test_an_export_drops_its_own_stages_only(spark, tmp_path):
+    from ledgerloom.__main__ import main
+    from ledgerloom.sources.staging import stage, staged_so_far
+    mine = stage(spark.range(3).toDF("k"), "mine")
+    before = staged_so_far()
+    main(["report", "sales_contribution", "--driver-sf", SF0001, "--out", str(tmp_path / "sc"), "--date-from", "1998-06-01", "--date-to", "1998-06-05"])
+    assert staged_so_far() == before and mine.count() == 3
