@@ -185,3 +185,28 @@ def test_rare_findings_train_the_network(spark):
     docs = spark.range(60000).selectExpr("id doc_id", "concat('plain document', id % 1000, if(id % 5000 = 7, concat(' token: ', md5(string(id))), '')) text")
     one, two = secrets.train(docs), secrets.train(docs.repartition(5))
     assert one is not None and one.threshold == two.threshold and all(np.array_equal(a, b) for a, b in zip(one.p, two.p, strict=True))
+
+
+def test_every_value_trains_the_network(spark):
+    # 4500 findings and as many words: the findings that come last by their hash count as well
+    values = [hashlib.md5(str(i).encode()).hexdigest() for i in range(4500)]
+    data = np.frombuffer("".join(values).encode(), np.uint8)
+    at = np.arange(len(values) + 1) * 32
+    last = values[int(secrets.span_hashes(data, at[:-1], at[1:]).view(np.int64).argmax())]
+    docs = lambda some: spark.createDataFrame(
+        [(i, f"document{v[:5].translate(str.maketrans('0123456789', 'qrstuvwxyz'))} token: {v}") for i, v in enumerate(some)], "doc_id long, text string")
+    one, two = secrets.train(docs(values)), secrets.train(docs([v for v in values if v != last]))
+    assert any((a != b).any() for a, b in zip(one.p, two.p, strict=True))
+
+
+def test_values_of_many_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK_BYTES", 60_000)
+    g = np.random.default_rng(3)
+    draw = lambda letters, n: "".join(g.choice(list(letters), n))
+    plain = [" ".join(draw("abcdefghijklmnop", int(g.integers(3, 12))) for _ in range(60)) + f" Token = {draw('0123456789ABCDEFXYZ', 36)}" for _ in range(600)]
+    docs = make_docs([*plain, *(f"see {draw('0123456789ABCDEFXYZ', 36)} here" for _ in range(20)), *("see abcdefghijkl here" for _ in range(20))])
+    one, two = secrets.train(docs), secrets.train(docs.repartition(5))
+    assert one.threshold == two.threshold and all(np.array_equal(a, b) for a, b in zip(one.p, two.p, strict=True))
+    rows = {r["doc_id"]: r["n_model"] for r in secrets.scan_secrets(docs, net=one).collect()}
+    assert sum(rows[i] for i in range(600, 620)) >= 18 and sum(rows[i] for i in range(620, 640)) == 0
+    assert sum(rows[i] for i in range(600)) <= 6
