@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literal import literal_table
-from .staging import stage
+from .staging import stage_by
 
 DRIVER_TABLES = ("orders", "lineitem", "part", "customer", "supplier")
 
@@ -350,7 +350,7 @@ def derive(spark: SparkSession, sf_dir: str) -> Derived:
     the numbering window is computed once, not once for each of the tables and scans."""
     d = read_driver(spark, sf_dir)
     mv = moves(d["orders"])
-    lines = _once(lambda: order_lines(stage(numbered_lines(d["lineitem"]), "order-lines")))
+    lines = _once(lambda: order_lines(stage_by(numbered_lines(d["lineitem"]), "order-lines", "l_orderkey")))
     sm = _once(lambda: stock_moves(lines()))
     return Derived({
         "product_category": categories(d["part"]),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .sinks import shared_output_dir
 
 _PATHS: list[str] = []  # written by this driver
+_TABLES: dict[str, str] = {}  # names of those laid out by a key
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +24,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stage``, laid out by ``key`` as a shuffle would: joins on it read the rows where they lie."""
+    spark = df.sparkSession
+    path = shared_output_dir(spark, f"stage-{name}")
+    table = f"stage_{path.rsplit('/', 1)[1]}"
+    _PATHS.append(path)
+    _TABLES[path] = table
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def at_once(*jobs):
     """Results of several independent staging functions, their Spark jobs submitted side by side."""
     with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
@@ -37,5 +50,8 @@ def drop_stages(spark: SparkSession, keep: int = 0) -> None:
     """Remove the tables that ``stage`` wrote, but for the first ``keep``; results that read them must have been
     written before."""
     while len(_PATHS) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        written = _PATHS.pop()
+        if written in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(written)}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(written)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

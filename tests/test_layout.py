@@ -92,3 +92,21 @@ def test_an_export_drops_its_own_stages_only(spark, tmp_path):
     before = staged_so_far()
     main(["report", "sales_contribution", "--driver-sf", SF0001, "--out", str(tmp_path / "sc"), "--date-from", "1998-06-01", "--date-to", "1998-06-05"])
     assert staged_so_far() == before and mine.count() == 3
+
+
+def test_order_lines_stay_where_they_are_stored(spark):
+    from ledgerloom.sources.staging import drop_stages, stage_by, staged_so_far
+    before = staged_so_far()
+    mine = spark.createDataFrame([(i % 40 if i % 41 else None, i) for i in range(400)], "k long, v long")
+    stored = stage_by(mine, "test", "k")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, mine.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = stored.join(spark.range(20).withColumnRenamed("id", "k").repartition("k"), "k")
+        assert both.count() == mine.where("k < 20").count()
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        drop_stages(spark, before)
+    assert staged_so_far() == before
