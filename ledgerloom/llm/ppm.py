@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, opened, packets, span_hashes, staged, utf8, word_bounds
+from .common import SPACE, mix, opened, packets, shrink, span_hashes, staged, utf8, word_bounds
 
 ORDER = 4
 START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 255  # all byte values but START
 END_KEY = int(mix(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 GRAM, WORD_KIND = 0, 1
-PART = 1 << 20  # text bytes of a block that are worked on at once
+PART = 1 << 18  # text bytes of a block that are worked on at once
 HELD = 1 << 20  # keys that a block's lists gather before they are merged
 SMOOTH = 0.1  # fixed value of the base score
 
@@ -114,6 +114,8 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(k), block)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(c.astype(np.int64))],
                         names=["block", "kind", "key", "n"])
+            key = n = k = c = None
+            shrink()
 
 
 def trie(grams: DataFrame) -> DataFrame:
@@ -181,6 +183,8 @@ def _scores(left: pa.Table, right: pa.Table, n_all: int, n_kinds: int, id_type:
                 "n_tokens": pa.array(np.bincount(doc_w, minlength=n)), "n_known": pa.array(np.bincount(doc_w[c > 0], minlength=n)),
                 "train_tokens": pa.array(np.full(n, n_all)), "base_score": pa.array(np.bincount(doc_w, np.log10(c + SMOOTH) - base, minlength=n)),
                 "score": pa.array(score)}))
+    del kind, key, value, own, v, order, model
+    shrink()
     return pa.concat_tables(out) if out else pa.table({})
 
 

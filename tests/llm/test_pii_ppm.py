@@ -1,12 +1,15 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import pii, ppm
+from ledgerloom.llm.common import slices
 
 
 def luhn(s):
@@ -245,3 +248,18 @@ def test_score_edges(edge_docs, no_docs, make_docs):
     check(ppm.op7(edge_docs).collect(), [(r["doc_id"], r["text"]) for r in edge_docs.collect()])
     untrained = [d for d in range(200) if held(d)][:2]
     check(ppm.op7(make_docs(["ab c", None], untrained)).collect(), list(zip(untrained, ["ab c", None])))
+
+
+def test_a_block_is_listed_in_little_memory():
+    texts = [f"{i} some few words that come again and again " * 40 for i in range(2000)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "train": [True] * len(texts)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        for part in slices(rows, "text", ppm.PART):
+            writer.write_batch(part)
+    block = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+    tracemalloc.start()
+    listed = sum(b.num_rows for b in ppm._vocabulary(iter([block])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert listed > 2000 and most < 32 << 20, most
