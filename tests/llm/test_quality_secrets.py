@@ -1,7 +1,9 @@
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import quality, secrets
 from tests.conftest import SF001
@@ -210,3 +212,12 @@ def test_values_of_many_blocks(make_docs, monkeypatch):
     rows = {r["doc_id"]: r["n_model"] for r in secrets.scan_secrets(docs, net=one).collect()}
     assert sum(rows[i] for i in range(600, 620)) >= 18 and sum(rows[i] for i in range(620, 640)) == 0
     assert sum(rows[i] for i in range(600)) <= 6
+
+
+def test_texts_are_judged_in_little_memory():
+    rows = pa.RecordBatch.from_pydict({"text": [f"{i} some few words that come again and again\n" * 40 for i in range(3000)]})
+    tracemalloc.start()
+    kept = sum(b.num_rows for b in quality._kept(iter([rows]), "text", None))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == 0 and most < 100 << 20, most
