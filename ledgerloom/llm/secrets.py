@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import slices, span_hashes, staged, utf8
 
 LABEL_WEIGHT, RECALL, SEED = 2000, 0.98, 31
+LABEL_SLICE = 4 << 20  # text bytes whose values are told apart at once
 BLOCK_BYTES = 8 << 20  # text for each block of distinct values
 VISITS, PASSES, ROUNDS = 400_000, 72, 8  # values shown in a fit, at least; passes over few values, at most; averages
 BATCH, SHARE = 128, 16  # values of a step, and of a label that is rare in the block
@@ -50,8 +51,11 @@ LEAST = 8  # characters of a candidate that no base pattern finds
 STEP, TRAIN_WINDOWS = 16, 16  # bytes from a window's place to the next; windows of a candidate in training
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
+ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")  # what ASSIGN begins with, in small letters
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-HEX = re.compile(rb"[0-9a-f]{24,}")  # runs are maximal, so this finds the runs of 24 and more
+HEX_LEAST = 24
+HEX_BYTE = np.zeros(256, bool)
+HEX_BYTE[list(b"0123456789abcdef")] = True
 
 TOKEN = np.zeros(256, bool)
 TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -67,23 +71,46 @@ INSIDE = 80  # added to the symbols of the candidate itself, so that a neighbour
 N_SYMBOLS, EMBED, WIDTH, FILTERS = 2 * INSIDE, 12, 5, 24
 
 
+def maximal(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of ``least`` or more bytes that are ``inside``, which has one more byte on both sides."""
+    border = np.flatnonzero(inside[1:] != inside[:-1])
+    lo, hi = border[::2], border[1::2]
+    long = hi - lo >= least
+    return lo[long], hi[long]
+
+
 def runs(data: np.ndarray, base: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of ``LEAST`` or more token characters outside the base findings."""
-    inside = np.zeros(len(data) + 2, np.int8)
+    inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = TOKEN[data]
     for a, b, _, _ in base:
-        inside[a + 1:b + 1] = 0
-    step = np.diff(inside)
-    lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    long = hi - lo >= LEAST
-    return lo[long], hi[long]
-
-
-def base_findings(blob: bytes) -> list[tuple[int, int, int, int]]:
+        inside[a + 1:b + 1] = False
+    return maximal(inside, LEAST)
+
+
+def assignments(blob: bytes) -> Iterator[re.Match]:
+    """The matches of ``ASSIGN`` in turn, tried only where one of its words stands."""
+    low, at = blob.lower(), []
+    for word in ASSIGN_WORDS:
+        i = low.find(word)
+        while i >= 0:
+            at.append(i)
+            i = low.find(word, i + 1)
+    end = 0
+    for i in sorted(at):
+        if i >= end and (m := ASSIGN.match(blob, i)):
+            end = m.end()
+            yield m
+
+
+def base_findings(data: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(start, end, kind, start of the value) of the base findings, in byte places."""
-    found = [(m.start(), m.end(), 0, m.start(2)) for m in ASSIGN.finditer(blob) if m.end(2) - m.start(2) >= 6]
+    blob = data.tobytes()
+    found = [(m.start(), m.end(), 0, m.start(2)) for m in assignments(blob) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), m.end(), 1, m.start()) for m in ACCESS.finditer(blob) if m.end() - m.start() >= 20]
-    found += [(m.start(), m.end(), 2, m.start()) for m in HEX.finditer(blob)]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = HEX_BYTE[data]
+    found += [(a, b, 2, a) for a, b in zip(*(x.tolist() for x in maximal(inside, HEX_LEAST)), strict=True)]
     return sorted(found)
 
 
@@ -137,12 +164,23 @@ class CharNet:
         top = np.take_along_axis(conv, best[:, None], 1)[:, 0] + self.p[2]
         return conv, best, top, np.maximum(top, 0) @ self.p[3] + self.p[4]
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        """The raw scores of ``_forward``, few rows at a time."""
-        found = np.empty(len(x))
-        for i in range(0, len(x), 512):
-            found[i:i + 512] = np.maximum(self._convolved(x[i:i + 512]).max(1) + self.p[2], 0) @ self.p[3] + self.p[4]
-        return found
+    def raw(self, x: np.ndarray, rows: int = 64) -> np.ndarray:
+        """The raw scores of ``_forward``; few rows at a time, place by place, so that they stay in the processor's cache."""
+        embed, kernel = self.p[:2]
+        products = [(embed @ kernel[j * EMBED:(j + 1) * EMBED]).astype(np.float32) for j in range(WIDTH)]
+        count = x.shape[1] - WIDTH + 1
+        top = np.empty((len(x), FILTERS))
+        conv, more = np.empty((2, count, min(rows, len(x)), FILTERS), np.float32)
+        for i in range(0, len(x), rows):
+            at = np.ascontiguousarray(x[i:i + rows].T)
+            if at.shape[1] < conv.shape[1]:
+                conv, more = np.empty((2, count, at.shape[1], FILTERS), np.float32)
+            np.take(products[0], at[:count], axis=0, out=conv, mode="clip")
+            for j in range(1, WIDTH):
+                np.take(products[j], at[j:j + count], axis=0, out=more, mode="clip")
+                conv += more
+            top[i:i + rows] = conv.max(0) + self.p[2]
+        return np.maximum(top, 0) @ self.p[3] + self.p[4]
 
     def highest(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
         """The highest raw score of the windows over each candidate; few windows are held at a time."""
@@ -226,19 +264,21 @@ def _label_rows(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 2
     the least.  A value seen before in the partition comes again only with a smaller one; ``most`` are remembered."""
     seen = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 4
     for batch in batches:
-        for part in slices(batch, text):
+        for part in slices(batch, text, LABEL_SLICE):
             data, begins = separated(*utf8(part.column(part.schema.get_field_index(text))))
-            base = base_findings(data.tobytes())
+            base = base_findings(data)
             mine = np.array([(v, b) for _, b, _, v in base], np.int64).reshape(-1, 2)
             lo, hi = runs(data, base)
             kind = form(data, lo, hi)
             borders = np.append(begins, len(data) + 1)
-            for label, (a, b) in ((FINDING, mine.T), *((k, (lo[kind == k], hi[kind == k])) for k in (SMALL, PLAIN, MIXED))):
+            lo, hi, kind = np.append(mine[:, 0], lo), np.append(mine[:, 1], hi), np.append(np.full(len(mine), FINDING), kind)
+            own = np.searchsorted(begins, lo, "right") - 1
+            around = np.maximum(lo - BEFORE, borders[own]), np.minimum(hi + AFTER, borders[own + 1] - 1)
+            hashes = span_hashes(data, np.append(lo, around[0]), np.append(hi, around[1])).view(np.int64).reshape(2, -1)
+            for label in (FINDING, SMALL, PLAIN, MIXED):
+                a, b, key, mention = (x[kind == label] for x in (lo, hi, *hashes))
                 if not len(a):
                     continue
-                own = np.searchsorted(begins, a, "right") - 1
-                key = span_hashes(data, a, b).view(np.int64)
-                mention = span_hashes(data, np.maximum(a - BEFORE, borders[own]), np.minimum(b + AFTER, borders[own + 1] - 1)).view(np.int64)
                 old = len(seen[label][0])
                 keys, mentions = np.append(seen[label][0], key), np.append(seen[label][1], mention)
                 order = np.lexsort((mentions, keys))
@@ -455,25 +495,24 @@ def scan(offsets: np.ndarray, data: np.ndarray, net: CharNet | None) -> list[lis
     """For each text its spans (start, end, kind, score) in code points, by start, then kind; kind 3 is the
     network's own."""
     glued, begins = separated(offsets, data)
-    base = base_findings(glued.tobytes())
-    spans, score = list(base), np.ones(len(base))
+    base = base_findings(glued)
+    spans = np.array(base, np.int64).reshape(-1, 4)
+    (start, end, kind, value), score = spans.T, np.ones(len(spans))
     if net:
         lo, hi = runs(glued, base)
-        ends = np.array([(v, b) for _, b, _, v in base], np.int64).reshape(-1, 2).T
-        mine, score = net.score(net.highest(glued, lo, hi)), net.score(net.highest(glued, *ends))
+        mine, score = net.score(net.highest(glued, lo, hi)), net.score(net.highest(glued, value, end))
         ok = mine >= net.threshold
-        spans += [(int(a), int(b), 3, int(a)) for a, b in zip(lo[ok], hi[ok], strict=True)]
-        score = np.concatenate([score, mine[ok]])
+        start, end, kind = np.append(start, lo[ok]), np.append(end, hi[ok]), np.append(kind, np.full(ok.sum(), 3))
+        score = np.append(score, mine[ok])
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in range(len(begins))]
-    if not spans:
+    if not len(start):
         return out
     point = np.zeros(len(glued) + 1, np.int64)
     np.cumsum((glued & 0xC0) != 0x80, out=point[1:])
-    start, end = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
     doc = np.searchsorted(begins, start, "right") - 1
     origin = point[begins[doc]]
-    for d, a, b, s, p in zip(doc, point[start] - origin, point[end] - origin, spans, score, strict=True):
-        out[d].append((int(a), int(b), s[2], float(p)))
+    for d, *span in zip(*(c.tolist() for c in (doc, point[start] - origin, point[end] - origin, kind, score)), strict=True):
+        out[d].append(tuple(span))
     for own in out:
         own.sort(key=lambda s: (s[0], s[2]))
     return out

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import tracemalloc
 
@@ -111,6 +112,17 @@ def test_odd_findings(make_docs, no_docs):
     assert secrets.op3(no_docs).count() == 0
 
 
+def test_assignments_are_tried_where_their_words_stand():
+    g = random.Random(3)
+    pieces = ["password", "PassWd", "secret", "token", "api", "_", "key", "=", ":", " ", '"', "'", "abcdef0123456789", "a", "\n", "é",
+              "0" * 13, "tokenToken=abcdefgh", "-", "x.y"]
+    for _ in range(300):
+        blob = "".join(g.choices(pieces, k=g.randint(0, 60))).encode()
+        assert [m.span(2) for m in secrets.assignments(blob)] == [m.span(2) for m in secrets.ASSIGN.finditer(blob)]
+        hexes = [(a, b) for a, b, kind, _ in secrets.base_findings(np.frombuffer(blob, np.uint8)) if kind == 2]
+        assert hexes == [m.span() for m in re.finditer(rb"[0-9a-f]{24,}", blob)]
+
+
 def test_network_adds_what_looks_like_the_findings(make_docs):
     g = np.random.default_rng(1)
     word = lambda n: "".join(g.choice(list("abcdefghijklmnop"), n))
