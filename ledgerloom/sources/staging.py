@@ -32,7 +32,7 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     _PATHS.append(path)
     _TABLES[path] = table
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("parquet.writer.version", "v2").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

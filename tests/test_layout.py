@@ -110,3 +110,28 @@ def test_order_lines_stay_where_they_are_stored(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         drop_stages(spark, before)
     assert staged_so_far() == before
+
+
+def test_sums_of_moves_come_to_orders_by_key(spark, T1):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        plan = o2c.order_to_cash(T1)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by_move = [i for i, row in enumerate(plan) if "Exchange hashpartitioning(move_id#" in row]
+    read = [next(row for row in plan[i:] if "Scan" in row) for i in by_move]
+    assert by_move and not [row for row in read if "picking_id" in row or "move_product_id" in row]
+
+
+def test_stored_buckets_are_sorted(spark):
+    from ledgerloom.sources.staging import drop_stages, stage_by, staged_so_far
+    before = staged_so_far()
+    mine = spark.createDataFrame([((i * 7919) % 997 if i % 41 else None, i) for i in range(2000)], "k long, v long")
+    files = stage_by(mine.coalesce(2), "test", "k").inputFiles()
+    got = [[r["k"] for r in spark.read.parquet(f).collect()] for f in files]
+    assert sum(map(len, got)) == 2000 and all(ks == sorted(ks, key=lambda k: (k is not None, k)) for ks in got)
+    drop_stages(spark, before)
