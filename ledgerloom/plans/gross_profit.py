@@ -80,9 +80,10 @@ def daily_category_sales(T: Tables, date_from=None, date_to=None,
     return by_category(T, product_day_sales(T, date_from, date_to, custom_date))
 
 
-def invoiced_lines(T: Tables, month_from=None, month_to=None) -> DataFrame:
+def invoiced_lines(T: Tables, month_from=None, month_to=None, few_lines: bool = False) -> DataFrame:
     """Posted customer-invoice lines joined with the order lines they bill: product, month, revenue, quantity and
-    the line's non-zero cost."""
+    the line's non-zero cost.  With ``few_lines`` the joins start from the order lines, so that only journal lines of
+    those go on to their invoices."""
     am = T["account_move"].where((F.col("move_type") == CUSTOMER_INVOICE) & (F.col("state") == POSTED))
     if month_from is not None:
         am = am.where(F.col("invoice_date") >= F.lit(_d(month_from)))
@@ -91,9 +92,13 @@ def invoiced_lines(T: Tables, month_from=None, month_to=None) -> DataFrame:
     am = am.select(F.col("id").alias("move_id"), month_start("invoice_date").alias("inv_month"))
     aml = T["account_move_line"].select(F.col("id").alias("invoice_line_id"), "move_id",
                                         "quantity", "price_subtotal")
-    rel = T["sale_order_line_invoice_rel"].select("invoice_line_id", "order_line_id")
+    rel = T["sale_order_line_invoice_rel"].select("order_line_id", "invoice_line_id")
     sol = T["sale_order_line"].select(F.col("id").alias("order_line_id"), "product_id", "purchase_price")
-    return (aml.join(am, "move_id").join(rel, "invoice_line_id").join(sol, "order_line_id")
+    if few_lines:
+        billed = rel.join(sol, "order_line_id").join(aml, "invoice_line_id").join(am, "move_id")
+    else:
+        billed = aml.join(am, "move_id").join(rel, "invoice_line_id").join(sol, "order_line_id")
+    return (billed
             .select("product_id", "inv_month", F.col("price_subtotal").alias("revenue"), dbl("quantity").alias("quantity"),
                     F.nullif(F.col("purchase_price").cast("double"), F.lit(0.0)).alias("line_cost")))
 

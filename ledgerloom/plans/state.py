@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from ..functions.dates import month_start
 from ..sources.committed import commit, current, read_committed
@@ -38,8 +39,8 @@ STATES: dict[str, tuple[list[str], str, list[str]]] = {
 }
 
 
-def _rows(T: Tables, name: str) -> DataFrame:
-    """The rows that a table sums."""
+def _rows(T: Tables, name: str, few_lines: bool = False) -> DataFrame:
+    """The rows that a table sums; with ``few_lines`` the order lines are few beside the journal."""
     if name == "sales":
         orders = valid_orders(T, date_col="so_date")
         display = F.col("display_type")
@@ -49,25 +50,35 @@ def _rows(T: Tables, name: str) -> DataFrame:
         return valid_orders(T, date_col="so_date").select("so_date")
     if name == "margin":
         cost, quantity = F.col("line_cost"), F.col("quantity")
-        return gp.invoiced_lines(T).select("product_id", "inv_month", "revenue", (quantity * cost).alias("costed"),
+        return gp.invoiced_lines(T, few_lines=few_lines).select("product_id", "inv_month", "revenue", (quantity * cost).alias("costed"),
                                            F.when(cost.isNull(), quantity).alias("uncosted_qty"))
     return sc.dated_lines(T)
 
 
-def partials(T: Tables, name: str, sign: int = 1) -> DataFrame:
+def _exact(rows: DataFrame, measure: str) -> Column:
+    """A measure as it is summed: decimals that fit keep their own places, which are fewer to shuffle."""
+    kind = rows.schema[measure].dataType
+    fits = isinstance(kind, DecimalType) and kind.scale <= 12 and kind.precision - kind.scale <= 16
+    return F.col(measure) if fits else F.col(measure).cast(SUM)
+
+
+def partials(T: Tables, name: str, sign: int = 1, few_lines: bool = False) -> DataFrame:
     """Signed partial sums: the keys, ``n`` rows, and each measure's sum and number of known values."""
     keys, day, measures = STATES[name]
-    rows = _rows(T, name)
+    rows = _rows(T, name, few_lines)
     signed = (lambda c: -c) if sign < 0 else (lambda c: c)
     aggs = [signed(F.count(F.lit(1))).alias("n")]
     for m in measures:
-        aggs += [signed(F.coalesce(F.sum(F.col(m).cast(SUM)), F.lit(0))).cast(SUM).alias(m), signed(F.count(m)).alias(f"n_{m}")]
+        aggs += [signed(F.coalesce(F.sum(_exact(rows, m)), F.lit(0))).cast(SUM).alias(m), signed(F.count(m)).alias(f"n_{m}")]
     return rows.groupBy(*keys).agg(*aggs).withColumn("month", month_start(day))
 
 
 def _merged(parts: DataFrame, name: str) -> DataFrame:
-    """Sums of partial sums; keys whose rows have all been taken back are gone."""
+    """Sums of partial sums; keys whose rows have all been taken back are gone.  A key has one row for each version
+    at most, so the rows are laid out by product at once, as the lookups by product need them."""
     keys, _, measures = STATES[name]
+    if "product_id" in keys:
+        parts = parts.repartition("product_id")
     counts = ["n", *(f"n_{m}" for m in measures)]
     return parts.groupBy("month", *keys).agg(*[F.sum(c).alias(c) for c in counts], *[F.sum(m).cast(SUM).alias(m) for m in measures]).where("n <> 0")
 
@@ -82,9 +93,9 @@ def add_delta(before: Tables | None, after: Tables, path: str, commit_id: str |
     journal and junction rows of those lines, or any set of them that contains these), as they were and as they
     are now; ``before`` is None for new ones."""
     def one(name: str) -> None:
-        parts = partials(after, name)
+        parts = partials(after, name, few_lines=True)
         if before is not None:
-            parts = parts.unionByName(partials(before, name, -1))
+            parts = parts.unionByName(partials(before, name, -1, few_lines=True))
         commit(_merged_delta(parts, name), f"{path}/{name}", ["month"], "append", commit_id=commit_id)
     at_once(*[lambda n=name: one(n) for name in STATES])
 

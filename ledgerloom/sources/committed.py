@@ -97,7 +97,7 @@ def commit(df: DataFrame, path: str, partition_by: Iterable[str] = (), mode: str
     if before.number and mode != "replace" and before.partition_by != partition_by:
         raise ValueError(f"{path} is partitioned by {before.partition_by}")
     version = f"v{before.number + 1}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
     new = _directories(spark, f"{path}/{version}", len(partition_by))
     parts = {} if mode == "replace" else {k: list(v) for k, v in before.parts.items()}

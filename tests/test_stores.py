@@ -165,6 +165,42 @@ def test_unknown_values_and_taken_back_rows(tiny, path):
     assert state.gross_profit(T, path).count() == state.sales_contribution(T, path).count() == 0
 
 
+def test_stored_sums_are_laid_out_by_product_once(spark, T1, sums):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        plan = state.sales_contribution(T1, sums)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    stored = plan.split("Exchange hashpartitioning(product_id#")
+    assert len(stored) == 3  # the sums and the products
+    assert "hashpartitioning(month#" not in plan
+
+
+def test_a_delta_follows_its_order_lines_to_the_journal(spark, T1):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        few = state.partials(T1, "margin", few_lines=True)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("hashpartitioning(move_id#") < plan.index("hashpartitioning(invoice_line_id#") < plan.index("hashpartitioning(order_line_id#")
+        assert rows(few) == rows(state.partials(T1, "margin"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_sums_keep_the_places_of_decimals_that_fit(spark):
+    wide = spark.sql("SELECT CAST(1.25 AS DECIMAL(18,2)) a, CAST(1.25 AS DECIMAL(38,18)) b, 1.25D c")
+    got = [wide.select(state._exact(wide, m)).schema[0].dataType.simpleString() for m in "abc"]
+    assert got == ["decimal(18,2)", state.SUM.replace(" ", ""), state.SUM]
+
+
 # ---- numbered reports ----------------------------------------------------------------------------------
 
 def test_records_come_from_their_files(spark, T1, path):
